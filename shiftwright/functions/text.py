@@ -40,11 +40,8 @@ def rstrip(text: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """All lines without their ends; a final line end opens no further line."""
-    parts = F.split(text, LINE_END)
-    return F.filter(
-        parts,
-        lambda line, i: (line != "") | (i < F.size(parts) - 1),
-    )
+    body = F.regexp_replace(text, f"(?:{LINE_END})\\z", "")
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(body, LINE_END))
 
 
 def tail_lines(text: Column, n: int) -> Column:

@@ -9,8 +9,6 @@ from shiftwright import fixed_values as fixed
 from shiftwright import schemas
 from shiftwright.functions.text import contains_any, file_name, file_stem
 
-# Columns the detection aggregates read; see with_signals.
-PATH, CONTENT = F.col("path"), F.col("content")
 
 
 def _dirs(path: Column) -> Column:
@@ -20,10 +18,10 @@ def _dirs(path: Column) -> Column:
 
 def with_signals(files: DataFrame) -> DataFrame:
     """Add ``manifest`` (the parsed root package.json, null elsewhere) and ``dirs``."""
-    is_manifest = PATH == "package.json"
+    is_manifest = F.col("path") == "package.json"
     return files.withColumn(
-        "manifest", F.when(is_manifest, F.from_json(CONTENT, schemas.MANIFEST))
-    ).withColumn("dirs", _dirs(PATH))
+        "manifest", F.when(is_manifest, F.from_json(F.col("content"), schemas.MANIFEST))
+    ).withColumn("dirs", _dirs(F.col("path")))
 
 
 def depends_on(package: str) -> Column:
@@ -35,14 +33,14 @@ def depends_on(package: str) -> Column:
 
 def _angular() -> Column:
     template = (
-        PATH.endswith(".html")
+        F.col("path").endswith(".html")
         & ~F.arrays_overlap("dirs", F.array(*map(F.lit, fixed.DETECT_SKIP_DIRS)))
-        & contains_any(F.make_valid_utf8(CONTENT), fixed.DETECT_MARKERS)
+        & contains_any(F.make_valid_utf8(F.col("content")), fixed.DETECT_MARKERS)
     )
     return F.bool_or(
         depends_on("@angular/core")
-        | (PATH == "angular.json")
-        | PATH.startswith(".angular/")
+        | (F.col("path") == "angular.json")
+        | F.col("path").startswith(".angular/")
         | template
     )
 
@@ -65,10 +63,10 @@ def project_facts(files: DataFrame, catalog) -> DataFrame:
     script = F.try_element_at("manifest.scripts", F.lit("test"))
     aggregated = with_signals(files).groupBy("project").agg(
         *[F.coalesce(s, F.lit(False)).alias(f"is_{name}") for name, s in signals.items()],
-        F.bool_or(PATH == "angular.json").alias("has_workspace"),
-        F.bool_or(PATH == "package.json").alias("has_manifest"),
+        F.bool_or(F.col("path") == "angular.json").alias("has_workspace"),
+        F.bool_or(F.col("path") == "package.json").alias("has_manifest"),
         F.max(script).alias("test_script"),
-        F.bool_or(PATH.isin("pytest.ini", "pyproject.toml")).alias("has_pytest"),
+        F.bool_or(F.col("path").isin("pytest.ini", "pyproject.toml")).alias("has_pytest"),
     )
     framework = F.coalesce(
         *[F.when(F.col(f"is_{name}"), F.lit(name)) for name in signals], F.lit(None)

@@ -26,8 +26,8 @@ def line_diff(rewrites: DataFrame) -> DataFrame:
     """
     changed = rewrites.filter(~F.col("before").eqNullSafe(F.col("after"))).select(
         *FILE,
-        F.inline(F.concat(_side(F.coalesce("before", F.lit("")), 0), _side(F.coalesce("after", F.lit("")), 1))),
-    ).repartition(*FILE)
+        F.inline_outer(F.concat(_side(F.coalesce("before", F.lit("")), 0), _side(F.coalesce("after", F.lit("")), 1))),
+    ).filter(F.col("side").isNotNull()).repartition(*FILE)
     nth = F.row_number().over(Window.partitionBy(*FILE, "text", "side").orderBy("line_no"))
     before_line = F.max(F.when(F.col("side") == 0, F.col("line_no")))
     after_line = F.max(F.when(F.col("side") == 1, F.col("line_no")))

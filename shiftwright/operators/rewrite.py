@@ -145,10 +145,12 @@ def _tag_rows(files: DataFrame) -> DataFrame:
         files.select(*FILE, tokens(normalize_newlines(F.col("content"))).alias("_tokens"))
         .select(*FILE, tags.alias("_tags"))
         .select(*FILE, names.alias("_names"), "_tags")
-        .filter(F.size("_names") > 0)
-        .select(*FILE, "_names", F.inline("_tags"))
+        # An inner inline, or a filter that needs _names not to be null, would make
+        # the optimizer repeat the regex pass in a filter below.
+        .select(*FILE, "_names", F.inline_outer("_tags"))
+        .filter(F.col("pos").isNotNull())
         .withColumn("name", F.regexp_extract("tag", NAME, 1))
-        .filter(F.array_contains("_names", F.col("name")))
+        .filter(F.coalesce(F.array_contains("_names", F.col("name")), F.lit(False)))
     )
     return rows.select(
         *FILE,
@@ -678,7 +680,8 @@ def render(edited: DataFrame) -> DataFrame:
     resolved = spliced.withColumn(
         "_fragments", F.aggregate(rounds, start, step, lambda s: s["done"])
     ).withColumn("_text", _filled(F.col("_main"), F.col("_fragments")))
-    parts = F.split("_text", CUT)
+    resolved = resolved.withColumn("_parts", F.split("_text", CUT))
+    parts = F.col("_parts")
     trimmed = F.transform(
         parts,
         lambda p, i: F.when(

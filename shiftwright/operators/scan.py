@@ -189,7 +189,7 @@ def ordered(matches: DataFrame) -> DataFrame:
     return matches.orderBy(*FILE, "start", "rule_idx")
 
 
-def count_matches(files: DataFrame, rules: list) -> DataFrame:
+def count_matches(files: DataFrame, rules: list, keep: list | None = None) -> DataFrame:
     """Per file: matches, deterministic and ambiguous ones, and the highest complexity rank.
 
     A projection. Files without any match keep their row, with zeros.
@@ -203,7 +203,7 @@ def count_matches(files: DataFrame, rules: list) -> DataFrame:
         ).otherwise(0)
         for i, r in enumerate(rules)
     }
-    keep = [c for c in ("readable",) if c in files.columns]
+    keep = keep or []
     counted = files.select(*FILE, *keep, *[c.alias(n) for n, c in columns.items()])
 
     def total(wanted) -> Column:
@@ -250,20 +250,24 @@ def scan_rollup(matches: DataFrame) -> DataFrame:
     )
 
 
-def file_tasks(files: DataFrame, rules: list, route_unmatched: str = "skip") -> DataFrame:
-    """One task per file with matches: strategy and complexity.
+def file_tasks(
+    files: DataFrame, rules: list, route_unmatched: str = "skip", keep: list | None = None
+) -> DataFrame:
+    """One task per file with matches: strategy and complexity, no shuffle.
 
     ``route_unmatched="ambiguous"`` also makes a task for each file without
-    matches, for migrations that have no rules.
+    matches, for migrations that have no rules. Columns in ``keep`` (such as
+    content) stay on the row, which spares a join back to the files.
     """
-    counted = count_matches(files, rules)
+    keep = keep or []
+    counted = count_matches(files, rules, keep)
     if route_unmatched == "skip":
         counted = counted.filter(F.col("matches") > 0)
     elif route_unmatched != "ambiguous":
         raise ValueError("route_unmatched is 'skip' or 'ambiguous'")
     model = (F.col("ambiguous") > 0) | (F.col("matches") == 0)
     return counted.select(
-        *FILE,
+        *FILE, *keep,
         F.when(model, "ambiguous").otherwise("deterministic").alias("strategy"),
         F.get(F.array(*map(F.lit, BY_RANK)), F.col("rank")).alias("complexity"),
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,12 +27,16 @@ def running_totals(df: DataFrame, keys: list, order: list, chunk: Column, totals
     )
     earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     sums = named.groupBy(*keys, "_chunk").agg(*[F.sum(f"_in_{n}").alias(f"_all_{n}") for n in totals])
+    group = [*keys, "_chunk"]
     carried = sums.select(
-        *keys, "_chunk",
+        *[F.col(k).alias(f"_of_{k}") for k in group],
         *[F.coalesce(F.sum(f"_all_{n}").over(earlier), F.lit(0)).alias(f"_carry_{n}") for n in totals],
     )
     local = named.withColumns({f"_local_{n}": F.sum(f"_in_{n}").over(within) for n in totals})
-    joined = local.join(carried, [*keys, "_chunk"])
+    same_group = reduce(
+        lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in group]
+    )
+    joined = local.join(carried, same_group)
     return joined.select(
         *df.columns,
         *[(F.col(f"_local_{n}") + F.col(f"_carry_{n}")).cast("bigint").alias(n) for n in totals],
