@@ -161,26 +161,33 @@ def _tag_rows(files: DataFrame) -> DataFrame:
         .otherwise(1)
         .alias("step"),
         F.when(marked & ~tag.startswith("</"), tag).alias("tag"),
-    ).repartition(*FILE)
+    # The windows cost more time than their small rows suggest: by size alone,
+    # adaptive execution would merge the partitions into too few tasks.
+    ).repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), *FILE)
 
 
 def _with_partners(rows: DataFrame) -> DataFrame:
     """Pair each opening tag with the closing tag of its depth; keep directive tags."""
-    by_name = Window.partitionBy(*FILE, "name").orderBy("pos")
+    by_name = _running(Window.partitionBy(*FILE, "name").orderBy("pos"))
     depth = F.sum("step").over(by_name)
     level = F.when(F.col("step") == 1, depth).when(F.col("step") == -1, depth + 1)
     by_level = Window.partitionBy(*FILE, "name", "level").orderBy("pos")
+    following = F.lead(F.struct("pos", "step")).over(by_level)
     return (
         rows.withColumn("level", level)
-        .withColumn("_next", F.lead(F.struct("pos", "step")).over(by_level))
+        .select(*FILE, "pos", "name", "tag", "step", following.alias("_next"))
         .filter(F.col("tag").isNotNull())
-        .select(
-            *FILE, "pos", "name", "tag",
-            F.when((F.col("step") == 1) & (F.col("_next.step") == -1), F.col("_next.pos")).alias("close"),
+        .withColumn(
+            "close", F.when((F.col("step") == 1) & (F.col("_next.step") == -1), F.col("_next.pos"))
         )
+        .drop("step", "_next")
     )
 
 
+def _running(window):
+    return window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
 # -- directives ------------------------------------------------------------------
 
 
@@ -233,28 +240,20 @@ def _parsed(spans: DataFrame, pattern_id: str | None) -> DataFrame:
         .when(kind == "case", F.concat(F.lit("  @case ("), strip(F.regexp_extract("tag", CASE_VALUE, 1)), F.lit(") {\n")))
         .when(kind == "default", F.lit("  @default {\n"))
     )
-    wanted = F.lit(True) if pattern_id is None else (
-        kind.isin("template", "case", "default") | (F.col("pattern") == pattern_id)
+    wanted = F.lit(True) if pattern_id is None else F.coalesce(
+        kind.isin("template", "case", "default") | (pattern == pattern_id), F.lit(False)
     )
-    return (
-        found.withColumns({"pattern": pattern, "head": head, "opening": opening})
-        .withColumn("wanted", F.coalesce(wanted, F.lit(False)))
-        .withColumn(
-            "editable", kind.isin(EDITED) & F.col("close").isNotNull() & F.col("wanted")
-        )
-        .withColumn("is_template", (kind == "template") & F.col("close").isNotNull())
-        .withColumn(
-            "then_ref", F.when(kind == "then_else", F.regexp_extract("_if", THEN_ELSE, 2))
-        )
-        .withColumn(
-            "else_ref",
-            F.when(kind == "then_else", F.regexp_extract("_if", THEN_ELSE, 3))
-            .when(kind == "else", F.regexp_extract("_if", ELSE, 2)),
-        )
-        .withColumn(
-            "template_ref", F.when(F.col("is_template"), F.regexp_extract("tag", TEMPLATE, 1))
-        )
-        .drop("_for")
+    closed = F.col("close").isNotNull()
+    is_template = (kind == "template") & closed
+    return found.select(
+        *FILE, "pos", "close", "name", "kind", "_if",
+        pattern.alias("pattern"), head.alias("head"), opening.alias("opening"), wanted.alias("wanted"),
+        (kind.isin(EDITED) & closed & wanted).alias("editable"),
+        is_template.alias("is_template"),
+        F.when(kind == "then_else", F.regexp_extract("_if", THEN_ELSE, 2)).alias("then_ref"),
+        F.when(kind == "then_else", F.regexp_extract("_if", THEN_ELSE, 3))
+        .when(kind == "else", F.regexp_extract("_if", ELSE, 2)).alias("else_ref"),
+        F.when(is_template, F.regexp_extract("tag", TEMPLATE, 1)).alias("template_ref"),
     )
 
 
@@ -313,166 +312,164 @@ def _with_references(spans: DataFrame) -> DataFrame:
         )
         .otherwise(no_refs)
     )
-    by_ref = Window.partitionBy(*FILE, "ref")
-    by_span = Window.partitionBy(*FILE, "pos")
-    slot = F.col("slot")
+    by_ref = Window.partitionBy(*FILE, "_use.ref")
+    by_span = Window.partitionBy(*FILE, "pos").orderBy(F.col("_use.slot").asc_nulls_last())
+    all_of_span = by_span.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    slot = F.col("_use.slot")
     return (
-        spans.withColumn("_uses", uses)
-        .withColumn("_use", F.explode_outer("_uses"))
-        .withColumns({"slot": F.col("_use.slot"), "ref": F.col("_use.ref")})
-        .withColumn("_target", F.min(F.when(slot == "template", F.col("pos"))).over(by_ref))
-        .withColumn("_used", F.coalesce(F.bool_or(slot.isin("then", "else")).over(by_ref), F.lit(False)))
-        .withColumn("_kept", F.coalesce(F.bool_or(slot == "kept").over(by_ref), F.lit(False)))
-        .withColumn("then_id", F.max(F.when(slot == "then", F.col("_target"))).over(by_span))
-        .withColumn("else_id", F.max(F.when(slot == "else", F.col("_target"))).over(by_span))
-        .withColumn("_row", F.row_number().over(by_span.orderBy(F.col("slot").asc_nulls_last())))
+        spans.select("*", F.explode_outer(uses).alias("_use"))
+        .withColumns({
+            "_target": F.min(F.when(slot == "template", F.col("pos"))).over(by_ref),
+            "_used": F.coalesce(F.bool_or(slot.isin("then", "else")).over(by_ref), F.lit(False)),
+            "_kept": F.coalesce(F.bool_or(slot == "kept").over(by_ref), F.lit(False)),
+        })
+        .withColumns({
+            "then_id": F.max(F.when(slot == "then", F.col("_target"))).over(all_of_span),
+            "else_id": F.max(F.when(slot == "else", F.col("_target"))).over(all_of_span),
+            "_row": F.row_number().over(by_span),
+        })
         .filter(F.col("_row") == 1)
-        .withColumn("removed", F.col("is_template") & F.col("ref").isNotNull() & F.col("_used"))
-        .withColumn("conflict", F.col("removed") & F.col("_kept"))
-        .drop("_uses", "_use", "slot", "ref", "_target", "_used", "_kept", "_row", "_if", "tag")
+        .withColumns({
+            "removed": F.col("is_template") & F.col("_used"),
+            "conflict": F.col("is_template") & F.col("_used") & F.col("_kept"),
+        })
+        .drop("_use", "_target", "_used", "_kept", "_row", "_if", "is_template", "template_ref")
     )
 
 
 # -- nesting -----------------------------------------------------------------------
 
 
-def _boundaries(spans: DataFrame) -> DataFrame:
-    """Two rows per span that matters (opening and closing), one for any other."""
-    ends = F.when(
-        F.col("editable") | F.col("removed"),
-        F.array(
-            F.struct(F.col("pos").alias("at"), F.lit(1).alias("dir")),
-            F.struct(F.col("close").alias("at"), F.lit(-1).alias("dir")),
-        ),
-    ).otherwise(F.array(F.struct(F.col("pos").alias("at"), F.lit(0).alias("dir"))))
-    return spans.select("*", F.inline(ends))
+def _ends(both: Column) -> Column:
+    """Rows for a span: its opening end and, where ``both``, its closing end."""
+    opening = F.struct(F.col("pos").alias("at"), F.lit(1).alias("dir"))
+    closing = F.struct(F.col("close").alias("at"), F.lit(-1).alias("dir"))
+    return F.inline(F.when(both, F.array(opening, closing)).otherwise(F.array(opening)))
 
 
-def _innermost(rows: DataFrame, marker: Column, carried: Column, out: str) -> DataFrame:
-    """For each opening row, ``carried`` of the innermost marker span around it.
+def _innermost(spans: DataFrame, marker: Column, level: Column, carried: Column, out: str) -> DataFrame:
+    """For each span, ``carried`` of the innermost marker span around it.
 
-    ``rows`` holds both ends of every span. At nesting level n the innermost
-    marker is the last one opened at level n, so the row looks it up in a window
-    over (file, level); a marker takes part at its own level and looks one up.
+    ``level`` counts the markers open at the span, itself included. The innermost
+    marker around a span at level n is the last one opened at level n before it,
+    so spans look it up in a window over (file, level); a marker takes part at
+    its own level and looks one up.
     """
-    in_order = Window.partitionBy(*FILE).orderBy("at")
-    around = F.col("_level") - F.when(F.col("_marker") & (F.col("dir") == 1), 1).otherwise(0)
-    roles = F.when(
-        F.col("_marker") & (F.col("dir") == 1),
-        F.array(
-            F.struct(around.alias("_at_level"), F.lit(False).alias("_self")),
-            F.struct(F.col("_level").alias("_at_level"), F.lit(True).alias("_self")),
-        ),
-    ).otherwise(F.array(F.struct(around.alias("_at_level"), F.lit(False).alias("_self"))))
-    seen = Window.partitionBy(*FILE, "_at_level").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    around = level - F.when(marker, 1).otherwise(0)
+    asks = F.struct(around.alias("_at_level"), F.lit(False).alias("_self"))
+    answers = F.struct(level.alias("_at_level"), F.lit(True).alias("_self"))
+    roles = F.when(marker, F.array(asks, answers)).otherwise(F.array(asks))
+    before = Window.partitionBy(*FILE, "_at_level").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     return (
-        rows.withColumn("_marker", marker)
-        .withColumn("_level", F.sum(F.when(F.col("_marker"), F.col("dir")).otherwise(0)).over(in_order))
-        .select("*", F.inline(roles))
-        .withColumn(out, F.last(F.when(F.col("_self"), carried), ignorenulls=True).over(seen))
+        spans.select("*", F.inline(roles))
+        .withColumn(out, F.last(F.when(F.col("_self"), carried), ignorenulls=True).over(before))
         .filter(~F.col("_self"))
-        .drop("_marker", "_level", "_at_level", "_self")
+        .drop("_at_level", "_self")
     )
 
 
 def _with_nesting(spans: DataFrame) -> DataFrame:
     """Find crossing spans, and the switch, case or removed template around each span."""
-    rows = _boundaries(spans)
-    in_order = Window.partitionBy(*FILE).orderBy("at")
+    paired = F.col("editable") | F.col("removed")
+    marker = F.col("removed") | (F.col("editable") & F.col("kind").isin("switch", "case", "default"))
+    in_order = _running(Window.partitionBy(*FILE).orderBy("at"))
+    direction = F.when(paired, F.col("dir")).otherwise(0)
+    dropping = F.when(paired & (F.col("kind") == "then_else"), F.col("dir")).otherwise(0)
+    after = F.sum(direction).over(in_order)
     by_depth = Window.partitionBy(*FILE, "_depth").orderBy("at")
-    after = F.sum("dir").over(in_order)
-    then_else = F.when(F.col("kind") == "then_else", F.col("dir")).otherwise(0)
     rows = (
-        rows.withColumn("_depth", F.when(F.col("dir") == -1, after + 1).when(F.col("dir") == 1, after))
-        # At one depth a closing end must directly follow its own opening end.
-        .withColumn("_before", F.lag("pos").over(by_depth))
-        .withColumn("crossed", (F.col("dir") == -1) & ~F.col("_before").eqNullSafe(F.col("pos")))
-        # How many dropped then/else elements are open here, this one excluded.
-        .withColumn("dropped_depth", F.sum(then_else).over(in_order) - F.greatest(then_else, F.lit(0)))
-        .drop("_depth", "_before")
+        spans.select("*", _ends(paired))
+        .withColumns({
+            "_depth": F.when(direction == -1, after + 1).when(direction == 1, after),
+            "_level": F.sum(F.when(marker, F.col("dir")).otherwise(0)).over(in_order),
+            # How many dropped then/else elements are open here, this one excluded.
+            "dropped_depth": F.sum(dropping).over(in_order) - F.greatest(dropping, F.lit(0)),
+        })
+        # At one depth an opening end must be followed by its own closing end.
+        .withColumn("crossed", paired & ~F.lead("pos").over(by_depth).eqNullSafe(F.col("pos")))
+        .filter(F.col("dir") == 1)
+        .drop("_depth", "at", "dir")
     )
     inside = F.struct("pos", "kind", "close", "head")
-    marker = F.col("removed") | (F.col("editable") & F.col("kind").isin("switch", "case", "default"))
-    rows = _innermost(rows, marker, inside, "inside")
-    by_file = Window.partitionBy(*FILE)
+    rows = _innermost(rows, marker, F.col("_level"), inside, "inside")
     in_switch = F.coalesce(F.col("inside.kind") == "switch", F.lit(False))
     nested_switch = F.col("editable") & (F.col("kind") == "switch") & in_switch
-    return (
-        rows.withColumn(
-            "file_error",
-            F.when(F.bool_or("crossed").over(by_file), "misnested directives")
-            .when(F.bool_or(nested_switch).over(by_file), "switch inside a switch but outside its cases")
-            .when(F.bool_or("conflict").over(by_file), "template shared with an element left as it is"),
-        )
-        .withColumn("in_switch", in_switch)
-        .drop("crossed", "conflict")
-    )
 
+    def reason(nth: int, text: str) -> Column:
+        return F.struct(F.lit(nth).alias("nth"), F.lit(text).alias("text"))
 
-def _with_children(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({
+        "in_switch": in_switch,
+        # What spoils the whole file, the first reason counting.
+        "spoiled": F.when(F.col("crossed"), reason(1, "misnested directives"))
+        .when(nested_switch, reason(2, "switch inside a switch but outside its cases"))
+        .when(F.col("conflict"), reason(3, "template shared with an element left as it is")),
+    }).drop("crossed", "conflict", "_level")
+
+
+def _with_children(spans: DataFrame) -> DataFrame:
     """Put the cases of each switch in order, the first default last.
 
     A default that is not the last child, or not the first default, becomes a
     fragment of its own: it is written elsewhere than it stands, or dropped.
     """
-    attached = F.col("editable") & F.col("kind").isin("case", "default") & F.col("in_switch")
-    child = attached & (F.col("dir") == 1)
-    is_switch = F.col("editable") & (F.col("kind") == "switch") & (F.col("dir") == 1)
-    # Rows outside any switch form groups of one.
-    group = F.when(is_switch, F.col("pos")).when(child, F.col("inside.pos"))
-    grouped = rows.withColumns({"is_child": child, "switch_id": group})
+    is_case = F.col("editable") & F.col("kind").isin("case", "default")
+    is_child = is_case & F.col("in_switch")
+    is_default = is_child & (F.col("kind") == "default")
+    is_switch = F.col("editable") & (F.col("kind") == "switch")
+    in_group = is_switch | is_child
+    # A switch and its children share a group; all other spans of a file form one.
+    group = F.when(is_switch, F.col("pos")).when(is_child, F.col("inside.pos"))
     whole = Window.partitionBy(*FILE, "switch_id")
-    first_default = F.min(F.when(F.col("is_child") & (F.col("kind") == "default"), F.col("pos"))).over(whole)
-    last_child = F.max(F.when(F.col("is_child"), F.col("pos"))).over(whole)
-    in_group = F.col("switch_id").isNotNull()
+    first_default = F.min(F.when(is_default, F.col("pos"))).over(whole)
+    last_child = F.max(F.when(is_child, F.col("pos"))).over(whole)
+    moved = is_default & ((F.col("pos") != F.col("_last_child")) | (F.col("pos") != F.col("_first_default")))
     info = F.struct("pos", "close", "head", "opening", "name")
-    placed = grouped.withColumns(
-        {
-            "_first_default": F.when(in_group, first_default),
-            "_last_child": F.when(in_group, last_child),
-        }
-    ).withColumn(
-        "moved",
-        F.col("is_child") & (F.col("kind") == "default")
-        & ((F.col("pos") != F.col("_last_child")) | (F.col("pos") != F.col("_first_default"))),
-    )
-    stays = (is_switch | F.col("is_child")) & ~F.col("moved")
-    ordered = Window.partitionBy(*FILE, "switch_id", "_stays").orderBy("at")
-    moved_info = F.max(
-        F.when(F.col("moved") & (F.col("pos") == F.col("_first_default")), info)
-    ).over(whole)
+    ordered = Window.partitionBy(*FILE, "switch_id", "_stays").orderBy("pos")
+    first_default_info = F.min(F.when(is_default, info)).over(whole)
     return (
-        placed.withColumn("_stays", stays)
-        .withColumn("moved_default", F.when(in_group, moved_info))
-        .withColumn("previous", F.when(F.col("_stays"), F.lag(F.struct("is_child", *info_fields())).over(ordered)))
-        .withColumn("is_last", F.col("_stays") & F.lead("pos").over(ordered).isNull())
-        .withColumn("is_orphan", F.col("editable") & F.col("kind").isin("case", "default")
-                    & (F.col("dir") == 1) & ~F.col("is_child"))
-        .drop("_first_default", "_last_child", "switch_id", "_stays")
+        spans.withColumn("switch_id", group)
+        .withColumns({
+            "_first_default": first_default, "_last_child": last_child, "_default_info": first_default_info,
+        })
+        .withColumns({
+            "is_child": is_child,
+            "moved": moved,
+            "_stays": in_group & ~moved,
+            "is_orphan": is_case & ~is_child,
+            "moved_default": F.when(
+                in_group & (F.col("_default_info.pos") != F.col("_last_child")), F.col("_default_info")
+            ),
+        })
+        .withColumns({
+            "previous": F.when(F.col("_stays"), F.lag(F.struct("is_child", *INFO)).over(ordered)),
+            "is_last": F.col("_stays") & F.lead("pos").over(ordered).isNull(),
+            "is_fragment": F.col("removed") | F.col("moved"),
+        })
+        .drop("_first_default", "_last_child", "_default_info", "_stays", "switch_id")
     )
 
 
-def info_fields() -> list:
-    return ["pos", "close", "head", "opening", "name"]
+INFO = ["pos", "close", "head", "opening", "name"]
 
 
-def _with_owner(rows: DataFrame) -> DataFrame:
+def _with_owner(spans: DataFrame) -> DataFrame:
     """The fragment each span belongs to (-1: the file itself), and whether it is written."""
-    # A moved default opens a fragment; its closing end must count as well.
-    by_span = Window.partitionBy(*FILE, "pos")
-    rows = rows.withColumn("is_fragment", F.col("removed") | F.bool_or("moved").over(by_span))
-    carried = F.struct("pos", "dropped_depth")
-    rows = _innermost(rows, F.col("is_fragment"), carried, "owner")
+    fragment = F.col("is_fragment")
+    in_order = _running(Window.partitionBy(*FILE).orderBy("at"))
+    rows = (
+        spans.select("*", _ends(fragment))
+        .withColumn("_level", F.sum(F.when(fragment, F.col("dir")).otherwise(0)).over(in_order))
+        .filter(F.col("dir") == 1)
+    )
+    rows = _innermost(rows, fragment, F.col("_level"), F.struct("pos", "dropped_depth"), "owner")
     hidden = (
         F.col("dropped_depth") > F.coalesce(F.col("owner.dropped_depth"), F.lit(0))
     ) | (F.col("in_switch") & ~F.col("is_child"))
-    return rows.filter(F.col("dir") != -1).select(
-        *FILE, "pos", "close", "name", "kind", "pattern", "head", "opening", "editable", "removed",
-        "wanted", "then_ref", "else_ref", "then_id", "else_id", "file_error", "is_child", "is_last",
-        "is_orphan", "moved", "previous", "moved_default", "is_fragment", "inside",
-        F.coalesce("owner.pos", F.lit(-1).cast("bigint")).alias("owner"),
-        (~hidden).alias("shown"),
-    )
+    return rows.withColumns({
+        "owner": F.coalesce("owner.pos", F.lit(-1).cast("bigint")),
+        "shown": ~hidden,
+    })
 
 
 # -- edits -------------------------------------------------------------------------
@@ -531,7 +528,7 @@ def _edits(spans: DataFrame) -> DataFrame:
     no_edit = F.array().cast("array<struct<from:bigint,to:bigint,text:string>>")
     editable = F.col("editable")
     edits = (
-        F.when(F.col("file_error").isNotNull() | ~F.col("shown"), no_edit)
+        F.when(~F.col("shown"), no_edit)
         .when(F.col("removed"), cut)
         .when(editable & kind.isin("if", "for"), plain)
         .when(editable & (kind == "else"), with_else)
@@ -545,7 +542,7 @@ def _edits(spans: DataFrame) -> DataFrame:
 
 def _collected(spans: DataFrame) -> DataFrame:
     """One row per file, through one row per unit. Both groupings keep the partitioning."""
-    applied = F.col("editable") & F.col("pattern").isNotNull() & F.col("shown") & F.col("file_error").isNull()
+    applied = F.col("editable") & F.col("pattern").isNotNull() & F.col("shown")
     unresolved = (
         (~F.col("editable") & F.col("wanted") & ~F.col("kind").isin("template", "async"))
         | F.col("is_orphan")
@@ -574,9 +571,9 @@ def _collected(spans: DataFrame) -> DataFrame:
         ),
     )
     units = (
-        spans.select(*FILE, "file_error", F.explode(rows).alias("r"))
+        spans.select(*FILE, "spoiled", F.explode(rows).alias("r"))
         .filter(F.col("r").isNotNull())
-        .select(*FILE, "file_error", "r.*")
+        .select(*FILE, "spoiled", "r.*")
         .groupBy(*FILE, "unit")
         .agg(
             F.max("unit_from").alias("from"),
@@ -586,7 +583,7 @@ def _collected(spans: DataFrame) -> DataFrame:
             F.collect_list("applied").alias("applied"),
             F.collect_set("skipped").alias("skipped"),
             F.sum("unresolved").alias("unresolved"),
-            F.max("file_error").alias("file_error"),
+            F.min("spoiled").alias("spoiled"),
         )
     )
     return units.groupBy(*FILE).agg(
@@ -594,7 +591,7 @@ def _collected(spans: DataFrame) -> DataFrame:
         F.array_sort(F.flatten(F.collect_list("applied")))["pattern"].alias("applied"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("skipped")))).alias("skipped"),
         F.sum("unresolved").alias("unresolved"),
-        F.max("file_error").alias("file_error"),
+        F.min("spoiled")["text"].alias("file_error"),
     )
 
 
