@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,22 +41,21 @@ BUILT_IN = [
 ]
 
 
-def run_check(check: Check, text: Column) -> Column:
-    """STRUCT<stage, stage_order, passed, errors> of one check."""
-    errors = F.array_compact(check.errors(text)).cast("array<string>")
-    return F.struct(
-        F.lit(check.stage).alias("stage"),
-        F.lit(check.order).alias("stage_order"),
-        (F.size(errors) == 0).alias("passed"),
-        errors.alias("errors"),
-    )
-
-
 def run_checks(texts: DataFrame, checks: list, content: str = "after") -> DataFrame:
     """One row per text and check, in the scanning task. Rows without text are skipped."""
     keys = [c for c in ATTEMPT if c in texts.columns]
-    results = F.array(*[run_check(c, F.col(content)) for c in checks])
-    return texts.filter(F.col(content).isNotNull()).select(*keys, F.inline(results))
+    results = F.array(*[
+        F.struct(
+            F.lit(c.stage).alias("stage"), F.lit(c.order).alias("stage_order"),
+            F.array_compact(c.errors(F.col(content))).cast("array<string>").alias("errors"),
+        )
+        for c in checks
+    ])
+    # Passing is read off the errors after they are built, so no pattern runs twice.
+    found = texts.filter(F.col(content).isNotNull()).select(*keys, F.inline(results))
+    return found.select(
+        *keys, "stage", "stage_order", (F.size("errors") == 0).alias("passed"), "errors"
+    )
 
 
 def external_results(
@@ -122,7 +119,3 @@ def test_results(files: DataFrame, tests: DataFrame, projects: DataFrame | None
         F.when(ran, F.col("logs")).when(missing, fixed.MISSING_PROJECT_LOG)
         .otherwise(fixed.SKIPPED_TESTS_LOG).alias("logs"),
     )
-
-
-def passed_all(checks: list, text: Column) -> Column:
-    return reduce(lambda a, b: a & b, [run_check(c, text)["passed"] for c in checks], F.lit(True))

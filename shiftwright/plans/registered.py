@@ -1,8 +1,8 @@
 """All registered queries and their SQL, by name."""
 
-from shiftwright.plans import queries_checks, queries_rewrite, queries_scan
+from shiftwright.plans import queries_checks, queries_report, queries_rewrite, queries_scan
 
-_MODULES = [queries_scan, queries_rewrite, queries_checks]
+_MODULES = [queries_scan, queries_rewrite, queries_checks, queries_report]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
