@@ -196,15 +196,18 @@ def count_matches(files: DataFrame, rules: list, keep: list | None = None) -> Da
     """
     text = prepared(F.col("content"))
     can_match = F.coalesce(_any_needle(F.col("content"), rules), F.lit(False))
-    columns = {
-        f"_n{i}": F.when(
+    counts = [
+        F.when(
             can_match if r.needle is None else F.col("content").contains(r.needle),
             F.regexp_count(text, F.lit(r.regex)),
-        ).otherwise(0)
+        ).otherwise(0).alias(f"_n{i}")
         for i, r in enumerate(rules)
-    }
+    ]
     keep = keep or []
-    counted = files.select(*FILE, *keep, *[c.alias(n) for n, c in columns.items()])
+    # A one-row inline keeps the optimizer from copying the pattern counts into
+    # each place that uses them, filters included.
+    generated = F.inline(F.array(F.struct(*counts, F.lit(0).alias("_none"))))
+    counted = files.select(*FILE, *keep, generated)
 
     def total(wanted) -> Column:
         parts = [F.coalesce(F.col(f"_n{i}"), F.lit(0)) for i, r in enumerate(rules) if wanted(r)]

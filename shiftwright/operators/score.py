@@ -18,51 +18,74 @@ def _keys(df: DataFrame) -> list:
     return [c for c in ATTEMPT if c in df.columns]
 
 
-def stage_points(checks: DataFrame) -> DataFrame:
-    """Per text the points of its passed stages; a missing stage gives none."""
+def check_outcomes(checks: DataFrame) -> DataFrame:
+    """Per text, in one aggregation: points of its passed stages, the last recorded
+    stage, the first failed one, and the errors of a failed secrets scan."""
+    entry = F.struct("stage", "passed", "errors")
+    place = F.struct("stage_order", "stage")
+    failed = ~F.col("passed")
     points = reduce(
-        lambda acc, item: acc.when(F.col("stage") == item[0], item[1]),
-        fixed.STAGE_SCORES.items(), F.when(F.lit(False), 0.0),
-    ).otherwise(0.0)
-    per_stage = checks.groupBy(*_keys(checks), "stage").agg(F.bool_or("passed").alias("passed"))
-    return per_stage.groupBy(*_keys(checks)).agg(
-        F.sum(F.when(F.col("passed"), points).otherwise(0.0)).alias("points")
+        lambda a, b: a + b,
+        [
+            F.coalesce(F.max(F.when((F.col("stage") == s) & F.col("passed"), p)), F.lit(0.0))
+            for s, p in fixed.STAGE_SCORES.items()
+        ],
+    )
+    secret = failed & (F.col("stage") == "SecretsScan")
+    return checks.groupBy(*_keys(checks)).agg(
+        points.alias("points"),
+        F.max_by(entry, place).alias("last"),
+        F.min_by(F.when(failed, entry), F.when(failed, place)).alias("failed"),
+        F.max(F.when(secret, F.col("errors"))).alias("secret_errors"),
     )
 
 
-def last_check(checks: DataFrame) -> DataFrame:
-    """Per text the last recorded stage, as a single result."""
-    last = F.max_by(F.struct("stage", "passed", "errors"), F.struct("stage_order", "stage"))
-    return checks.groupBy(*_keys(checks)).agg(last.alias("last"))
-
-
-def confidence(
+def decide(
     tasks: DataFrame, checks: DataFrame, tests: DataFrame, mode: str = "signals",
     threshold: float = fixed.AUTO_APPROVE_THRESHOLD,
 ) -> DataFrame:
-    """Score every task. ``signals`` adds points per stage; ``collapsed`` looks at
-    the last recorded stage only and gives it one weight."""
+    """Score, approval, failure category and errors of every task.
+
+    ``signals`` adds points per stage; ``collapsed`` looks at the last recorded
+    stage only and gives it one weight. A stage without a result gives none.
+    """
     keys = _keys(tasks)
     if mode == "signals":
-        validated = stage_points(checks)
+        points = F.coalesce("points", F.lit(0.0))
     elif mode == "collapsed":
-        validated = last_check(checks).select(
-            *_keys(checks), F.when(F.col("last.passed"), fixed.COLLAPSED_SCORE).otherwise(0.0).alias("points")
-        )
+        points = F.when(F.col("last.passed"), fixed.COLLAPSED_SCORE).otherwise(0.0)
     else:
         raise ValueError("mode is 'signals' or 'collapsed'")
-    tested = tests.select(*_keys(tests), F.col("passed").alias("_tests_passed"))
+    tested = tests.select(
+        *_keys(tests), F.col("passed").alias("test_passed"), F.col("logs").alias("test_logs")
+    )
     strategy = F.coalesce("strategy", F.lit("ambiguous"))
     score = (
         F.when(strategy == "deterministic", fixed.DETERMINISTIC_SCORE).otherwise(0.0)
-        + F.coalesce("points", F.lit(0.0))
-        + F.when(F.col("_tests_passed"), fixed.TESTS_SCORE).otherwise(0.0)
+        + points
+        + F.when(F.col("test_passed"), fixed.TESTS_SCORE).otherwise(0.0)
     )
+    shown = F.coalesce("failed", "last")
     return (
-        tasks.join(validated, keys, "left").join(tested, keys, "left")
-        .withColumn("confidence_score", score)
-        .withColumn("approved", F.col("confidence_score") >= threshold)
-        .drop("points", "_tests_passed")
+        tasks.join(check_outcomes(checks), keys, "left")
+        .join(tested, keys, "left")
+        .withColumns({
+            "confidence_score": score,
+            "approved": score >= threshold,
+            "failure_category": failure_category(shown["stage"], shown["passed"], F.col("test_passed")),
+            "errors": F.coalesce(shown["errors"], F.array().cast("array<string>")),
+        })
+        .drop("points", "last", "failed")
+    )
+
+
+def confidence(
+    tasks: DataFrame, checks: DataFrame, tests: DataFrame, mode: str = "signals",
+    threshold: float = fixed.AUTO_APPROVE_THRESHOLD,
+) -> DataFrame:
+    """Score of every task, and whether it is approved."""
+    return decide(tasks, checks, tests, mode, threshold).select(
+        *tasks.columns, "confidence_score", "approved"
     )
 
 
@@ -87,28 +110,10 @@ def failure_category(stage: Column, check_passed: Column, test_passed: Column) -
 
 
 def classify_failures(tasks: DataFrame, checks: DataFrame, tests: DataFrame) -> DataFrame:
-    """Per task the first failed stage (else the last one), test outcome and category."""
-    keys = _keys(tasks)
-    chosen = checks.groupBy(*_keys(checks)).agg(
-        F.coalesce(
-            F.min_by(
-                F.when(~F.col("passed"), F.struct("stage", "passed", "errors")),
-                F.when(~F.col("passed"), F.struct("stage_order", "stage")),
-            ),
-            F.max_by(F.struct("stage", "passed", "errors"), F.struct("stage_order", "stage")),
-        ).alias("check")
-    )
-    tested = tests.select(
-        *_keys(tests), F.col("passed").alias("test_passed"), F.col("logs").alias("test_logs")
-    )
-    return (
-        tasks.join(chosen, keys, "left").join(tested, keys, "left")
-        .withColumn(
-            "failure_category",
-            failure_category(F.col("check.stage"), F.col("check.passed"), F.col("test_passed")),
-        )
-        .withColumn("errors", F.coalesce("check.errors", F.array().cast("array<string>")))
-        .drop("check")
+    """Per task the category of its failure, the errors of the first failed stage
+    (else of the last one), and the test outcome."""
+    return decide(tasks, checks, tests).select(
+        *tasks.columns, "test_passed", "test_logs", "failure_category", "errors"
     )
 
 

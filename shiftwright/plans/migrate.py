@@ -83,27 +83,15 @@ def evaluate(
     )
     results = own.filter(F.col("stage").isin(ALWAYS)).unionByName(static)
     tested = checks_op.test_results(keyed, tests)
-    scored = score.confidence(keyed, results, tested, run.score_mode, run.threshold)
-    failures = score.classify_failures(
-        scored, results, tested
-    ).withColumn("secret", F.col("failure_category") == "secrets_detected")
-    secrets = results.filter((F.col("stage") == "SecretsScan") & ~F.col("passed")).select(
-        *KEYS, F.lit(True).alias("_secret"), F.col("errors").alias("_secret_errors")
-    )
-    decided = failures.drop("secret").join(secrets, KEYS, "left")
-    secret = F.coalesce("_secret", F.lit(False))
-    return (
-        decided.withColumn("confidence_score", F.when(~secret, F.col("confidence_score")))
-        .withColumn("approved", F.col("approved") & ~secret)
-        .withColumn(
-            "failure_category",
-            F.when(secret, "secrets_detected").when(F.col("approved"), F.lit(None)).otherwise(F.col("failure_category")),
-        )
-        .withColumn("errors", F.when(secret, F.col("_secret_errors")).otherwise(F.col("errors")))
-        .withColumn("secret", secret)
-        .drop("_secret", "_secret_errors"),
-        results,
-    )
+    secret = F.col("secret_errors").isNotNull()
+    decided = score.decide(keyed, results, tested, run.score_mode, run.threshold).withColumns({
+        "secret": secret,
+        "confidence_score": F.when(~secret, F.col("confidence_score")),
+        "approved": F.col("approved") & ~secret,
+        "failure_category": F.when(secret, "secrets_detected").when(~F.col("approved"), F.col("failure_category")),
+        "errors": F.coalesce("secret_errors", "errors"),
+    }).drop("secret_errors")
+    return decided, results
 
 
 def migrate(

@@ -8,6 +8,7 @@ from shiftwright import fixed_values as fixed
 from shiftwright.catalog import default_catalog
 from shiftwright.operators import checks, score, state
 from shiftwright.plans.tables import DOCUMENTS_SQL, ORDERS_SQL, PAGES_SQL, documents, order_files, pages, read
+from shiftwright.session import cut
 from shiftwright.sources.sinks import run_id
 
 VERIFY = [c for c in checks.BUILT_IN if c.stage != "SecretsScan"]
@@ -115,7 +116,8 @@ def _external(spark, sf):
 
 def _all_checks(spark, sf):
     texts = _attempts(spark, sf)
-    own = checks.run_checks(texts, checks.BUILT_IN, "content")
+    # Both branches below read these rows: the texts are checked once.
+    own = cut(checks.run_checks(texts, checks.BUILT_IN, "content"), "checks")
     static = own.filter(F.col("stage") == "AST").unionByName(checks.external_results(texts, _external(spark, sf)))
     return own.filter(F.col("stage") != "AST").unionByName(checks.gate(static))
 
@@ -155,6 +157,12 @@ def _scored(spark, sf, mode="signals"):
     )
 
 
+def _decided(spark, sf):
+    return score.decide(
+        _tasks(spark, sf), _all_checks(spark, sf), checks.test_results(_attempts(spark, sf), _tests(spark, sf))
+    )
+
+
 def confidence(spark, sf):
     return _scored(spark, sf).select("path", "strategy", "confidence_score", "approved")
 

@@ -8,26 +8,28 @@ from shiftwright.catalog import default_catalog
 from shiftwright.operators import report
 from shiftwright.plans import migrate
 from shiftwright.plans.queries_checks import (
-    _SCORE_SQL, _all_checks, _attempts, _failures, _scored, _tests,
+    _SCORE_SQL, _all_checks, _attempts, _decided,
 )
 from shiftwright.plans.queries_rewrite import _tagged, cat
 from shiftwright.plans.queries_rewrite import _DIFF_SQL
 from shiftwright.plans.tables import ORDERS_SQL, order_files, read
 from shiftwright.operators.diff import diff_text, line_diff
+from shiftwright.session import cut
 
 
 def _results(spark, sf):
-    """Outcome per document: score, category and whether it completed."""
-    keys = ["run_id", "project", "path", "attempt"]
-    scored = _scored(spark, sf).select(*keys, "strategy", "confidence_score", F.col("approved").alias("completed"))
-    failed = _failures(spark, sf).select(*keys, "failure_category", "errors", "test_logs")
-    return scored.join(failed, keys).withColumn(
-        "failure_category", F.when(~F.col("completed"), F.col("failure_category"))
-    ).withColumn("retry_count", F.when(F.col("completed"), 0).otherwise(3))
+    """Outcome per document: score, category and whether it completed. Written once."""
+    decided = _decided(spark, sf).withColumns({
+        "completed": F.col("approved"),
+        "failure_category": F.when(~F.col("approved"), F.col("failure_category")),
+        "retry_count": F.when(F.col("approved"), 0).otherwise(3),
+    })
+    return cut(decided.drop("approved"), "results")
 
 
-def _records(spark, sf):
-    return report.file_records(_results(spark, sf), _all_checks(spark, sf).drop("attempt"))
+def _records(spark, sf, results=None):
+    results = _results(spark, sf) if results is None else results
+    return report.file_records(results, _all_checks(spark, sf).drop("attempt"))
 
 
 def _runs(spark, sf):
@@ -59,7 +61,7 @@ def live_counts(spark, sf):
 
 def report_markdown(spark, sf):
     results = _results(spark, sf)
-    return report.markdown_lines(_runs(spark, sf), _records(spark, sf), report.summaries(results)).select(
+    return report.markdown_lines(_runs(spark, sf), _records(spark, sf, results), report.summaries(results)).select(
         "run_id", F.col("section").cast("bigint").alias("section"), "item", F.col("nth").cast("bigint").alias("nth"), "line"
     )
 
@@ -67,7 +69,7 @@ def report_markdown(spark, sf):
 def report_documents(spark, sf):
     """Stored reports, read back: one row per file and part."""
     results = _results(spark, sf)
-    documents = report.report_documents(_runs(spark, sf), _records(spark, sf), report.summaries(results), part_files=100)
+    documents = report.report_documents(_runs(spark, sf), _records(spark, sf, results), report.summaries(results), part_files=100)
     return documents.select(
         "run_id", F.col("part").cast("bigint").alias("part"), "summary.*", F.explode("files").alias("f")
     ).select(
@@ -78,7 +80,7 @@ def report_documents(spark, sf):
 
 def stored_report(spark, sf):
     results = _results(spark, sf)
-    documents = report.report_documents(_runs(spark, sf), _records(spark, sf), report.summaries(results))
+    documents = report.report_documents(_runs(spark, sf), _records(spark, sf, results), report.summaries(results))
     shown = report.stored_records(documents)
     return shown.withColumn("retry_count", F.col("retry_count").cast("bigint"))
 

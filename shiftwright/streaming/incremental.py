@@ -10,8 +10,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def stream_table(spark: SparkSession, path: str, schema) -> DataFrame:
-    """A Parquet folder (or file) as a stream of rows."""
-    return spark.readStream.schema(schema).parquet(path)
+    """A Parquet folder, or a single file, as a stream of rows.
+
+    The last letter of the path is written as a pattern: a file source takes a
+    single file only through a pattern, and a folder either way.
+    """
+    path = path.rstrip("/")
+    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def process_new(
