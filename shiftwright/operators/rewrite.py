@@ -5,10 +5,10 @@ tags are paired by nesting depth with window functions, so that an element ends
 at its own closing tag however deep it nests. Every change is then a local edit
 of a token range, and a file is put together once from its tokens and edits.
 
-Only the tags that can matter (those named like an element with a directive)
-leave the scanning task, and of these only the directive tags carry text. One
-shuffle by file serves all windows. Content of files with directives moves
-once, to meet its edits; other files are passed through untouched.
+Files with directives are shuffled by file once; that serves all windows and the
+join of each text with its edits. Other files are passed through untouched. Only
+tags that can matter (those named like an element with a directive) become rows,
+and of these only the directive tags carry text.
 """
 
 from __future__ import annotations
@@ -83,12 +83,12 @@ def rewrite_templates(files: DataFrame, pattern_id: str | None = None) -> DataFr
     candidate = F.coalesce(
         contains_any(F.col("content"), START_TEXTS) & ~reserved, F.lit(False)
     )
-    plans = edit_plans(files.filter(candidate), pattern_id)
-    edited = (
-        files.filter(candidate)
-        .select(*FILE, text.alias("before"))
-        .join(plans, FILE, "left")
-    )
+    # Content moves once: the tags are read off it after the shuffle, and the edits
+    # meet it again in the same partition. A fixed number of partitions, because
+    # adaptive execution would merge them by size, while their cost is in the windows.
+    partitions = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = files.filter(candidate).select(*FILE, text.alias("before")).repartition(partitions, *FILE)
+    edited = placed.join(edit_plans(placed, pattern_id), FILE, "left")
     passed = files.filter(~candidate).select(
         *FILE,
         text.alias("before"),
@@ -109,7 +109,10 @@ def rewrite_templates(files: DataFrame, pattern_id: str | None = None) -> DataFr
 
 
 def edit_plans(files: DataFrame, pattern_id: str | None = None) -> DataFrame:
-    """Per file: units (the file and its fragments) with their edits, and what was applied."""
+    """Per file: units (the file and its fragments) with their edits, and what was applied.
+
+    ``files`` has the text as ``before`` and is partitioned by file; nothing here shuffles.
+    """
     spans = _with_partners(_tag_rows(files))
     spans = _parsed(spans, pattern_id)
     spans = _with_references(spans)
@@ -142,7 +145,7 @@ def _tag_rows(files: DataFrame) -> DataFrame:
         )
     )
     rows = (
-        files.select(*FILE, tokens(normalize_newlines(F.col("content"))).alias("_tokens"))
+        files.select(*FILE, tokens(F.col("before")).alias("_tokens"))
         .select(*FILE, tags.alias("_tags"))
         .select(*FILE, names.alias("_names"), "_tags")
         # An inner inline, or a filter that needs _names not to be null, would make
@@ -161,9 +164,7 @@ def _tag_rows(files: DataFrame) -> DataFrame:
         .otherwise(1)
         .alias("step"),
         F.when(marked & ~tag.startswith("</"), tag).alias("tag"),
-    # The windows cost more time than their small rows suggest: by size alone,
-    # adaptive execution would merge the partitions into too few tasks.
-    ).repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), *FILE)
+    )
 
 
 def _with_partners(rows: DataFrame) -> DataFrame:
