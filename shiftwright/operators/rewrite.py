@@ -53,11 +53,13 @@ AROUND_DIRECTIVE = (
     r'|\*ngSwitchCase="[^"]*"|\*ngSwitchDefault)(.*)>$'
 )
 
-EDITED = ["if", "else", "then_else", "for", "switch", "case", "default"]
+EDITED = ["if", "else", "then_else", "for", "for_with", "switch", "case", "default"]
+# Kind of element -> rule it falls under. Cases and defaults belong to their switch.
 PATTERN = {
-    "if": "ngif_simple", "else": "ngif_else", "then_else": "ngif_then_else",
-    "async": "ngif_async_pipe", "switch": "ngswitch",
+    "if": "ngif_simple", "else": "ngif_else", "then_else": "ngif_then_else", "async": "ngif_async_pipe",
+    "for": "ngfor_simple", "for_with": "ngfor_trackby", "switch": "ngswitch",
 }
+EDIT = "struct<from:bigint,to:bigint,act:string,pos:bigint,a:bigint,b:bigint>"
 
 
 def tokens(content: Column) -> Column:
@@ -81,7 +83,9 @@ def rewrite_templates(files: DataFrame, pattern_id: str | None = None) -> DataFr
     text = normalize_newlines(F.col("content"))
     reserved = contains_any(F.col("content"), [TOKEN_END, SLOT, CUT])
     candidate = F.coalesce(
-        contains_any(F.col("content"), START_TEXTS) & ~reserved, F.lit(False)
+        contains_any(F.col("content"), START_TEXTS) & ~reserved
+        & F.col("project").isNotNull() & F.col("path").isNotNull(),
+        F.lit(False),
     )
     # Content moves once: the tags are read off it after the shuffle, and the edits
     # meet it again in the same partition. A fixed number of partitions, because
@@ -193,68 +197,99 @@ def _running(window):
 
 
 def _parsed(spans: DataFrame, pattern_id: str | None) -> DataFrame:
-    """Read the directive of each tag: its kind and the text its blocks start with."""
+    """Classify each directive tag, and note the template names it defines or uses.
+
+    Its texts are read off the tag again when the file is put together: the
+    windows in between carry numbers and flags only.
+    """
     tag = F.col("tag")
     if_value = _extract(tag, IF_VALUE, 1)
     for_value = _extract(tag, FOR_VALUE, 1)
-    # "*ngSwitch" without a suffix or brackets is none of the directives.
     count = reduce(
         lambda a, b: a + b, [F.when(tag.contains(d), 1).otherwise(0) for d in DIRECTIVES]
     )
     kind = (
         F.when(tag.rlike(TEMPLATE) & (F.col("name") == "ng-template"), "template")
+        # Other templates hold no directive and stay as they are.
         .when(count != 1, F.when(count > 1, "several"))
         .when(tag.contains("*ngIf"), F.when(if_value.isNull(), "invalid")
               .when(if_value.rlike(THEN_ELSE), "then_else")
               .when(if_value.rlike(ELSE), "else")
               .when(if_value.rlike(ASYNC_ALIAS), "async")
               .otherwise("if"))
-        .when(tag.contains("*ngFor"), F.when(for_value.rlike(FOR), "for").otherwise("invalid"))
+        .when(tag.contains("*ngFor"), F.when(~F.coalesce(for_value.rlike(FOR), F.lit(False)), "invalid")
+              .when(F.regexp_extract(for_value, FOR, 3) != "", "for_with").otherwise("for"))
         .when(tag.contains("[ngSwitch]"), F.when(tag.rlike(SWITCH_VALUE), "switch").otherwise("invalid"))
         .when(tag.contains("*ngSwitchCase"), F.when(tag.rlike(CASE_VALUE), "case").otherwise("invalid"))
         .otherwise("default")
     )
-    # An empty directive count leaves plain templates with further attributes: not ours.
-    found = spans.withColumns({"kind": kind, "_if": if_value, "_for": for_value}).filter(
-        F.col("kind").isNotNull()
-    )
+    found = spans.withColumns({"kind": kind, "_if": if_value}).filter(F.col("kind").isNotNull())
     kind = F.col("kind")
-    pattern = reduce(
-        lambda acc, item: acc.when(kind == item[0], item[1]), PATTERN.items(),
-        F.when(kind == "for", F.when(F.regexp_extract("_for", FOR, 3) != "", "ngfor_trackby")
-               .otherwise("ngfor_simple")),
-    )
-    attributes = strip(F.regexp_replace("tag", AROUND_DIRECTIVE, "$1$2"))
-    opening = F.concat(
-        F.lit("<"), F.col("name"),
-        F.when(attributes != "", F.concat(F.lit(" "), attributes)).otherwise(""), F.lit(">"),
-    )
-    condition = strip(
-        F.when(kind == "then_else", F.regexp_extract("_if", THEN_ELSE, 1))
-        .when(kind == "else", F.regexp_extract("_if", ELSE, 1))
-        .otherwise(F.col("_if"))
-    )
-    head = (
-        F.when(kind.isin("if", "else", "then_else"), F.concat(F.lit("@if ("), condition, F.lit(") {\n")))
-        .when(kind == "for", F.concat(_for_head(F.col("_for")), F.lit(" {\n")))
-        .when(kind == "switch", F.concat(F.lit("@switch ("), strip(F.regexp_extract("tag", SWITCH_VALUE, 1)), F.lit(") {\n")))
-        .when(kind == "case", F.concat(F.lit("  @case ("), strip(F.regexp_extract("tag", CASE_VALUE, 1)), F.lit(") {\n")))
-        .when(kind == "default", F.lit("  @default {\n"))
-    )
     wanted = F.lit(True) if pattern_id is None else F.coalesce(
-        kind.isin("template", "case", "default") | (pattern == pattern_id), F.lit(False)
+        kind.isin("template", "case", "default") | (_pattern(kind) == pattern_id), F.lit(False)
     )
     closed = F.col("close").isNotNull()
-    is_template = (kind == "template") & closed
+    editable = kind.isin(EDITED) & closed & wanted
+
+    def use(slot: str, ref: Column) -> Column:
+        return F.struct(F.lit(slot).alias("slot"), ref.alias("ref"))
+
+    uses = (
+        F.when((kind == "template") & closed, F.array(use("template", F.regexp_extract("tag", TEMPLATE, 1))))
+        .when(editable & (kind == "then_else"), F.array(use("then", _then_ref(F.col("_if"))), use("else", _else_ref(F.col("_if")))))
+        .when(editable & (kind == "else"), F.array(use("else", _else_ref(F.col("_if")))))
+        .when(
+            ~editable & F.col("_if").isNotNull(),
+            F.transform(F.regexp_extract_all("_if", F.lit(ANY_REF), 1), lambda r: use("kept", r)),
+        )
+    )
     return found.select(
-        *FILE, "pos", "close", "name", "kind", "_if",
-        pattern.alias("pattern"), head.alias("head"), opening.alias("opening"), wanted.alias("wanted"),
-        (kind.isin(EDITED) & closed & wanted).alias("editable"),
-        is_template.alias("is_template"),
-        F.when(kind == "then_else", F.regexp_extract("_if", THEN_ELSE, 2)).alias("then_ref"),
-        F.when(kind == "then_else", F.regexp_extract("_if", THEN_ELSE, 3))
-        .when(kind == "else", F.regexp_extract("_if", ELSE, 2)).alias("else_ref"),
-        F.when(is_template, F.regexp_extract("tag", TEMPLATE, 1)).alias("template_ref"),
+        *FILE, "pos", "close", "kind", wanted.alias("wanted"), editable.alias("editable"),
+        ((kind == "template") & closed).alias("is_template"), F.explode_outer(uses).alias("_use"),
+    )
+
+
+def _pattern(kind: Column) -> Column:
+    return reduce(lambda acc, item: acc.when(kind == item[0], item[1]), PATTERN.items(), F.when(F.lit(False), ""))
+
+
+def _then_ref(value: Column) -> Column:
+    return F.regexp_extract(value, THEN_ELSE, 2)
+
+
+def _else_ref(value: Column) -> Column:
+    return F.when(value.rlike(THEN_ELSE), F.regexp_extract(value, THEN_ELSE, 3)).otherwise(
+        F.regexp_extract(value, ELSE, 2)
+    )
+
+
+def _name(tag: Column) -> Column:
+    return F.regexp_extract(tag, NAME, 1)
+
+
+def _opening(tag: Column) -> Column:
+    """The opening tag without its directive; attributes on both sides stay."""
+    attributes = strip(F.regexp_replace(tag, AROUND_DIRECTIVE, "$1$2"))
+    return F.concat(
+        F.lit("<"), _name(tag),
+        F.when(attributes != "", F.concat(F.lit(" "), attributes)).otherwise(""), F.lit(">"),
+    )
+
+
+def _head(tag: Column) -> Column:
+    """The start of the block an element turns into, from its opening tag."""
+    value = F.regexp_extract(tag, IF_VALUE, 1)
+    condition = strip(
+        F.when(value.rlike(THEN_ELSE), F.regexp_extract(value, THEN_ELSE, 1))
+        .when(value.rlike(ELSE), F.regexp_extract(value, ELSE, 1))
+        .otherwise(value)
+    )
+    return (
+        F.when(tag.contains("*ngIf"), F.concat(F.lit("@if ("), condition, F.lit(") {\n")))
+        .when(tag.contains("*ngFor"), F.concat(_for_head(F.regexp_extract(tag, FOR_VALUE, 1)), F.lit(" {\n")))
+        .when(tag.contains("[ngSwitch]"), F.concat(F.lit("@switch ("), strip(F.regexp_extract(tag, SWITCH_VALUE, 1)), F.lit(") {\n")))
+        .when(tag.contains("*ngSwitchCase"), F.concat(F.lit("  @case ("), strip(F.regexp_extract(tag, CASE_VALUE, 1)), F.lit(") {\n")))
+        .otherwise("  @default {\n")
     )
 
 
@@ -290,36 +325,12 @@ def _with_references(spans: DataFrame) -> DataFrame:
 
     Templates and uses of one name meet in a window over (file, name).
     """
-    kept_refs = F.regexp_extract_all("_if", F.lit(ANY_REF), 1)
-    no_refs = F.array().cast("array<struct<slot:string,ref:string>>")
-    uses = (
-        F.when(
-            F.col("is_template"),
-            F.array(F.struct(F.lit("template").alias("slot"), F.col("template_ref").alias("ref"))),
-        )
-        .when(
-            F.col("editable"),
-            F.filter(
-                F.array(
-                    F.struct(F.lit("then").alias("slot"), F.col("then_ref").alias("ref")),
-                    F.struct(F.lit("else").alias("slot"), F.col("else_ref").alias("ref")),
-                ),
-                lambda x: x["ref"].isNotNull(),
-            ),
-        )
-        .when(
-            F.col("_if").isNotNull(),
-            F.transform(kept_refs, lambda r: F.struct(F.lit("kept").alias("slot"), r.alias("ref"))),
-        )
-        .otherwise(no_refs)
-    )
     by_ref = Window.partitionBy(*FILE, "_use.ref")
     by_span = Window.partitionBy(*FILE, "pos").orderBy(F.col("_use.slot").asc_nulls_last())
     all_of_span = by_span.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     slot = F.col("_use.slot")
     return (
-        spans.select("*", F.explode_outer(uses).alias("_use"))
-        .withColumns({
+        spans.withColumns({
             "_target": F.min(F.when(slot == "template", F.col("pos"))).over(by_ref),
             "_used": F.coalesce(F.bool_or(slot.isin("then", "else")).over(by_ref), F.lit(False)),
             "_kept": F.coalesce(F.bool_or(slot == "kept").over(by_ref), F.lit(False)),
@@ -330,11 +341,11 @@ def _with_references(spans: DataFrame) -> DataFrame:
             "_row": F.row_number().over(by_span),
         })
         .filter(F.col("_row") == 1)
-        .withColumns({
-            "removed": F.col("is_template") & F.col("_used"),
-            "conflict": F.col("is_template") & F.col("_used") & F.col("_kept"),
-        })
-        .drop("_use", "_target", "_used", "_kept", "_row", "_if", "is_template", "template_ref")
+        .select(
+            *FILE, "pos", "close", "kind", "wanted", "editable", "then_id", "else_id",
+            (F.col("is_template") & F.col("_used")).alias("removed"),
+            (F.col("is_template") & F.col("_used") & F.col("_kept")).alias("conflict"),
+        )
     )
 
 
@@ -391,23 +402,25 @@ def _with_nesting(spans: DataFrame) -> DataFrame:
         .filter(F.col("dir") == 1)
         .drop("_depth", "at", "dir")
     )
-    inside = F.struct("pos", "kind", "close", "head")
+    inside = F.struct("pos", "kind", "close")
     rows = _innermost(rows, marker, F.col("_level"), inside, "inside")
     in_switch = F.coalesce(F.col("inside.kind") == "switch", F.lit(False))
     nested_switch = F.col("editable") & (F.col("kind") == "switch") & in_switch
 
-    def reason(nth: int, text: str) -> Column:
-        return F.struct(F.lit(nth).alias("nth"), F.lit(text).alias("text"))
-
     return rows.withColumns({
         "in_switch": in_switch,
-        # What spoils the whole file, the first reason counting.
-        "spoiled": F.when(F.col("crossed"), reason(1, "misnested directives"))
-        .when(nested_switch, reason(2, "switch inside a switch but outside its cases"))
-        .when(F.col("conflict"), reason(3, "template shared with an element left as it is")),
+        # What spoils the whole file: a place in SPOILED, the first one counting.
+        "spoiled": F.when(F.col("crossed"), 0).when(nested_switch, 1).when(F.col("conflict"), 2),
     }).drop("crossed", "conflict", "_level")
 
 
+SPOILED = [
+    "misnested directives",
+    "switch inside a switch but outside its cases",
+    "template shared with an element left as it is",
+]
+
+
 def _with_children(spans: DataFrame) -> DataFrame:
     """Put the cases of each switch in order, the first default last.
 
@@ -425,38 +438,29 @@ def _with_children(spans: DataFrame) -> DataFrame:
     first_default = F.min(F.when(is_default, F.col("pos"))).over(whole)
     last_child = F.max(F.when(is_child, F.col("pos"))).over(whole)
     moved = is_default & ((F.col("pos") != F.col("_last_child")) | (F.col("pos") != F.col("_first_default")))
-    info = F.struct("pos", "close", "head", "opening", "name")
     ordered = Window.partitionBy(*FILE, "switch_id", "_stays").orderBy("pos")
-    first_default_info = F.min(F.when(is_default, info)).over(whole)
     return (
         spans.withColumn("switch_id", group)
-        .withColumns({
-            "_first_default": first_default, "_last_child": last_child, "_default_info": first_default_info,
-        })
+        .withColumns({"_first_default": first_default, "_last_child": last_child})
         .withColumns({
             "is_child": is_child,
             "moved": moved,
             "_stays": in_group & ~moved,
-            "is_orphan": is_case & ~is_child,
             "moved_default": F.when(
-                in_group & (F.col("_default_info.pos") != F.col("_last_child")), F.col("_default_info")
+                in_group & (F.col("_first_default") != F.col("_last_child")), F.col("_first_default")
             ),
         })
         .withColumns({
-            "previous": F.when(F.col("_stays"), F.lag(F.struct("is_child", *INFO)).over(ordered)),
+            "previous": F.when(F.col("_stays"), F.lag(F.struct("is_child", "pos", "close")).over(ordered)),
             "is_last": F.col("_stays") & F.lead("pos").over(ordered).isNull(),
-            "is_fragment": F.col("removed") | F.col("moved"),
         })
-        .drop("_first_default", "_last_child", "_default_info", "_stays", "switch_id")
+        .drop("_first_default", "_last_child", "_stays", "switch_id")
     )
 
 
-INFO = ["pos", "close", "head", "opening", "name"]
-
-
 def _with_owner(spans: DataFrame) -> DataFrame:
     """The fragment each span belongs to (-1: the file itself), and whether it is written."""
-    fragment = F.col("is_fragment")
+    fragment = F.col("removed") | F.col("moved")
     in_order = _running(Window.partitionBy(*FILE).orderBy("at"))
     rows = (
         spans.select("*", _ends(fragment))
@@ -476,6 +480,40 @@ def _with_owner(spans: DataFrame) -> DataFrame:
 # -- edits -------------------------------------------------------------------------
 
 
+def _edits(spans: DataFrame) -> DataFrame:
+    """Each span with its edits: token ranges, and what to write there (see _written)."""
+    pos, close, kind = F.col("pos"), F.col("close"), F.col("kind")
+    none = F.lit(None).cast("bigint")
+
+    def edit(start: Column, end: Column, act: Column | str, a: Column = none, b: Column = none) -> Column:
+        return F.struct(
+            start.alias("from"), end.alias("to"), (F.lit(act) if isinstance(act, str) else act).alias("act"),
+            pos.alias("pos"), a.alias("a"), b.alias("b"),
+        )
+
+    # A child writes everything since the child before it (or since the switch began).
+    previous, moved = F.col("previous"), F.col("moved_default")
+    child_start = F.when(previous["is_child"], previous["close"]).otherwise(previous["pos"])
+    child_act = F.when(previous["is_child"], "next child").otherwise("first child")
+    child = edit(child_start, pos, child_act, previous["pos"])
+    child_end = edit(close, F.col("inside.close"), "children end", moved)
+    editable = F.col("editable")
+    edits = (
+        F.when(~F.col("shown"), F.array().cast(f"array<{EDIT}>"))
+        .when(F.col("removed"), F.array(edit(pos, close, "cut")))
+        .when(editable & kind.isin("if", "for", "for_with"), F.array(edit(pos, pos, "open"), edit(close, close, "close")))
+        .when(editable & (kind == "else"), F.array(edit(pos, pos, "open"), edit(close, close, "else", none, F.col("else_id"))))
+        .when(editable & (kind == "then_else"), F.array(edit(pos, close, "both", F.col("then_id"), F.col("else_id"))))
+        .when(editable & (kind == "switch") & F.col("is_last"), F.array(edit(pos, close, "no children", moved)))
+        .when(F.col("is_child") & ~F.col("moved") & F.col("is_last"), F.array(child, child_end))
+        .when(F.col("is_child") & ~F.col("moved"), F.array(child))
+    )
+    return spans.select(
+        *FILE, "pos", "close", "kind", "wanted", "editable", "removed", "moved", "is_child", "shown", "owner",
+        "spoiled", edits.alias("edits"),
+    )
+
+
 def _slot(fragment: Column, ref: Column) -> Column:
     """Where a fragment goes; a marker if the file has no such template."""
     return F.when(
@@ -483,88 +521,63 @@ def _slot(fragment: Column, ref: Column) -> Column:
     ).otherwise(F.concat(F.lit("<!-- WARNING: ng-template #"), ref, F.lit(" not found -->")))
 
 
-def _edits(spans: DataFrame) -> DataFrame:
-    """Each span with its edits: token ranges and the text that replaces them."""
-    pos, close, kind = F.col("pos"), F.col("close"), F.col("kind")
-    closing = F.concat(F.lit("</"), F.col("name"), F.lit(">\n}"))
+def _written(edit: Column, all_tokens: Column) -> Column:
+    """The text an edit writes, from the tags it refers to."""
+    def tag_at(place: Column) -> Column:
+        return F.get(all_tokens, place.cast("int"))
 
-    def edit(start: Column, end: Column, text: Column) -> Column:
-        return F.struct(start.alias("from"), end.alias("to"), text.alias("text"))
+    def text(*parts) -> Column:
+        return F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
 
-    else_block = F.concat(F.lit(" @else {\n  "), _slot(F.col("else_id"), F.col("else_ref")), F.lit("\n}"))
-    open_edit = edit(pos, pos, F.concat(F.col("head"), F.lit("  "), F.col("opening")))
-    plain = F.array(open_edit, edit(close, close, closing))
-    with_else = F.array(open_edit, edit(close, close, F.concat(closing, else_block)))
-    both = F.array(
-        edit(pos, close, F.concat(
-            F.col("head"), F.lit("  "), _slot(F.col("then_id"), F.col("then_ref")), F.lit("\n}"), else_block
-        ))
-    )
-    cut = F.array(edit(pos, close, F.lit(CUT)))
-
-    # A child writes everything since the child before it (or since the switch began).
-    moved = F.col("moved_default")
-    moved_block = F.concat(
-        moved["head"], F.lit("    "), moved["opening"], F.lit(SLOT), moved["pos"].cast("string"),
-        F.lit(SLOT + "</"), moved["name"], F.lit(">\n  }"),
-    )
-    after_child = F.when(moved.isNull(), F.lit("\n}")).otherwise(F.concat(F.lit("\n"), moved_block, F.lit("\n}")))
-    previous = F.col("previous")
-    lead_in = F.when(
-        previous["is_child"], F.concat(F.lit("</"), previous["name"], F.lit(">\n  }\n"))
-    ).otherwise(previous["head"])
-    child_start = F.when(previous["is_child"], previous["close"]).otherwise(previous["pos"])
-    child_open = edit(
-        child_start, pos, F.concat(lead_in, F.col("head"), F.lit("    "), F.col("opening"))
-    )
-    child_end = edit(
-        close, F.col("inside.close"), F.concat(F.lit("</"), F.col("name"), F.lit(">\n  }"), after_child)
+    tag, act, a, b = tag_at(edit["pos"]), edit["act"], edit["a"], edit["b"]
+    value = F.regexp_extract(tag, IF_VALUE, 1)
+    closing = text("</", _name(tag), ">\n}")
+    else_block = text(" @else {\n  ", _slot(b, _else_ref(value)), "\n}")
+    other = tag_at(a)
+    # A default written after the other cases, whose content is a fragment.
+    moved_block = text(
+        "  @default {\n    ", _opening(other), SLOT, a.cast("string"), SLOT, "</", _name(other), ">\n  }"
     )
-    child = F.when(F.col("is_last"), F.array(child_open, child_end)).otherwise(F.array(child_open))
-    empty_switch = F.array(
-        edit(pos, close, F.concat(
-            F.col("head"), F.when(moved.isNull(), F.lit("")).otherwise(moved_block), F.lit("\n}")
-        ))
-    )
-    no_edit = F.array().cast("array<struct<from:bigint,to:bigint,text:string>>")
-    editable = F.col("editable")
-    edits = (
-        F.when(~F.col("shown"), no_edit)
-        .when(F.col("removed"), cut)
-        .when(editable & kind.isin("if", "for"), plain)
-        .when(editable & (kind == "else"), with_else)
-        .when(editable & (kind == "then_else"), both)
-        .when(editable & (kind == "switch") & F.col("is_last"), empty_switch)
-        .when(F.col("is_child") & ~F.col("moved"), child)
-        .otherwise(no_edit)
+    child = text(_head(tag), "    ", _opening(tag))
+    return (
+        F.when(act == "open", text(_head(tag), "  ", _opening(tag)))
+        .when(act == "close", closing)
+        .when(act == "else", text(closing, else_block))
+        .when(act == "both", text(_head(tag), "  ", _slot(a, _then_ref(value)), "\n}", else_block))
+        .when(act == "cut", F.lit(CUT))
+        .when(act == "first child", text(_head(other), child))
+        .when(act == "next child", text("</", _name(other), ">\n  }\n", child))
+        .when(act == "children end", text("</", _name(tag), ">\n  }", F.when(a.isNull(), "").otherwise(text("\n", moved_block)), "\n}"))
+        .otherwise(text(_head(tag), F.when(a.isNull(), "").otherwise(moved_block), "\n}"))
     )
-    return spans.withColumn("edits", edits)
 
 
 def _collected(spans: DataFrame) -> DataFrame:
     """One row per file, through one row per unit. Both groupings keep the partitioning."""
-    applied = F.col("editable") & F.col("pattern").isNotNull() & F.col("shown")
+    kind = F.col("kind")
+    pattern = _pattern(kind)
+    is_case = kind.isin("case", "default")
+    applied = F.col("editable") & ~is_case & F.col("shown")
     unresolved = (
-        (~F.col("editable") & F.col("wanted") & ~F.col("kind").isin("template", "async"))
-        | F.col("is_orphan")
+        (~F.col("editable") & F.col("wanted") & ~kind.isin("template", "async"))
+        | (F.col("editable") & is_case & ~F.col("is_child"))
     )
+    none = F.lit(None).cast("bigint")
     # A fragment adds a row that announces it to its own unit.
-    no_edit = F.array().cast("array<struct<from:bigint,to:bigint,text:string>>")
     rows = F.array(
         F.struct(
-            F.col("owner").alias("unit"),
-            F.lit(None).cast("bigint").alias("unit_from"), F.lit(None).cast("bigint").alias("unit_to"),
+            F.col("owner").alias("unit"), none.alias("unit_from"), none.alias("unit_to"),
             F.lit(False).alias("trimmed"), F.col("edits").alias("edits"),
-            F.when(applied, F.struct("pos", "pattern")).alias("applied"),
-            F.when((F.col("kind") == "async") & F.col("wanted"), F.col("pattern")).alias("skipped"),
+            F.when(applied, F.struct("pos", pattern.alias("pattern"))).alias("applied"),
+            F.when((kind == "async") & F.col("wanted"), pattern).alias("skipped"),
             F.when(unresolved, 1).otherwise(0).alias("unresolved"),
         ),
         F.when(
-            F.col("is_fragment"),
+            F.col("removed") | F.col("moved"),
             F.struct(
                 F.col("pos").alias("unit"),
                 (F.col("pos") + 1).alias("unit_from"), (F.col("close") - 1).alias("unit_to"),
-                F.col("removed").alias("trimmed"), no_edit.alias("edits"),
+                F.col("removed").alias("trimmed"), F.lit(None).cast(f"array<{EDIT}>").alias("edits"),
                 F.lit(None).cast("struct<pos:bigint,pattern:string>").alias("applied"),
                 F.lit(None).cast("string").alias("skipped"),
                 F.lit(0).alias("unresolved"),
@@ -592,7 +605,7 @@ def _collected(spans: DataFrame) -> DataFrame:
         F.array_sort(F.flatten(F.collect_list("applied")))["pattern"].alias("applied"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("skipped")))).alias("skipped"),
         F.sum("unresolved").alias("unresolved"),
-        F.min("spoiled")["text"].alias("file_error"),
+        F.get(F.array(*map(F.lit, SPOILED)), F.min("spoiled")).alias("file_error"),
     )
 
 
@@ -634,24 +647,37 @@ def render(edited: DataFrame) -> DataFrame:
     before = F.col("before")
     has_units = F.coalesce(F.size("units") > 0, F.lit(False))
     fragment_type = "array<struct<id:string,text:string>>"
-    split_up = edited.withColumn("_tokens", F.when(has_units, tokens(before)))
+    all_tokens = F.col("_tokens")
+    with_texts = F.transform(
+        "units",
+        lambda u: F.struct(
+            u["unit"].alias("unit"), u["from"].alias("from"), u["to"].alias("to"), u["trimmed"].alias("trimmed"),
+            F.transform(
+                u["edits"],
+                lambda e: F.struct(e["from"].alias("from"), e["to"].alias("to"), _written(e, all_tokens).alias("text")),
+            ).alias("edits"),
+        ),
+    )
+    split_up = edited.withColumn("_tokens", F.when(has_units, tokens(before))).withColumn("_units", with_texts)
     main_edits = F.coalesce(
-        F.get(F.filter("units", lambda u: u["unit"] == -1), F.lit(0))["edits"],
+        F.get(F.filter("_units", lambda u: u["unit"] == -1), F.lit(0))["edits"],
         F.array().cast("array<struct<from:bigint,to:bigint,text:string>>"),
     )
+    fragments = F.transform(
+        F.filter("_units", lambda u: u["unit"] >= 0),
+        lambda u: F.struct(
+            u["unit"].cast("string").alias("id"), u["trimmed"].alias("trimmed"),
+            _spliced(all_tokens, u["from"], u["to"], u["edits"]).alias("text"),
+        ),
+    )
     spliced = split_up.withColumn("_main_edits", main_edits).select(
         "*",
         _spliced(
-            F.col("_tokens"), F.lit(0).cast("bigint"), F.size("_tokens").cast("bigint") - 1, F.col("_main_edits")
+            all_tokens, F.lit(0).cast("bigint"), F.size(all_tokens).cast("bigint") - 1, F.col("_main_edits")
         ).alias("_main"),
         F.transform(
-            F.filter("units", lambda u: u["unit"] >= 0),
-            lambda u: F.struct(
-                u["unit"].cast("string").alias("id"),
-                F.when(
-                    u["trimmed"], strip(_spliced(F.col("_tokens"), u["from"], u["to"], u["edits"]))
-                ).otherwise(_spliced(F.col("_tokens"), u["from"], u["to"], u["edits"])).alias("text"),
-            ),
+            fragments,
+            lambda f: F.struct(f["id"].alias("id"), F.when(f["trimmed"], strip(f["text"])).otherwise(f["text"]).alias("text")),
         ).alias("_todo"),
     )
     # The first round completes the fragments without slots; each nested one needs at most one more.
