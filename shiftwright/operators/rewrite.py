@@ -82,10 +82,12 @@ def rewrite_templates(files: DataFrame, pattern_id: str | None = None) -> DataFr
     """
     text = normalize_newlines(F.col("content"))
     reserved = contains_any(F.col("content"), [TOKEN_END, SLOT, CUT])
-    candidate = F.coalesce(
-        contains_any(F.col("content"), START_TEXTS) & ~reserved
-        & F.col("project").isNotNull() & F.col("path").isNotNull(),
-        F.lit(False),
+    # The null tests stand apart: a join on the keys would add them on one side, and
+    # two different filters would keep Spark from reusing the shuffle of the content.
+    candidate = (
+        F.coalesce(contains_any(F.col("content"), START_TEXTS) & ~reserved, F.lit(False))
+        & F.col("project").isNotNull()
+        & F.col("path").isNotNull()
     )
     # Content moves once: the tags are read off it after the shuffle, and the edits
     # meet it again in the same partition. A fixed number of partitions, because

@@ -137,19 +137,25 @@ def _run_files(spark, sf):
     return order_files(spark, sf, content)
 
 
-def _canned_model(prompts):
-    """Stands in for a model: aliases move behind a semicolon."""
-    answers = []
-    for messages in prompts:
-        text = messages[-1][1].split("\n", 1)[1]
-        key = text.split(">", 1)[1].replace("</p>", "")
-        answers.append(f"```html\n@if (a$ | async; as a) {{\n  <p>{key}</p>\n}}\n```")
-    return answers
+def _canned_model():
+    """Stands in for a model: aliases move behind a semicolon.
+
+    A function made here travels to the workers by value, without this package.
+    """
+    def model(prompts):
+        answers = []
+        for messages in prompts:
+            text = messages[-1][1].split("\n", 1)[1]
+            key = text.split(">", 1)[1].replace("</p>", "")
+            answers.append(f"```html\n@if (a$ | async; as a) {{\n  <p>{key}</p>\n}}\n```")
+        return answers
+
+    return model
 
 
 def migrate_records(spark, sf):
     run = migrate.Run("run_orders", "angular", "control_flow", max_retries=1)
-    tables = migrate.migrate(_run_files(spark, sf), default_catalog(), run, _canned_model)
+    tables = migrate.migrate(_run_files(spark, sf), default_catalog(), run, _canned_model())
     texts = tables["texts"].select("project", "path", "after")
     return tables["records"].join(texts, ["project", "path"]).select(
         "project", "path", "strategy", "confidence_score", F.col("validation.ast").alias("ast"),
