@@ -77,14 +77,23 @@ def _best_of_portion(requests: DataFrame, guide_chunks: DataFrame, n: int) -> Da
     vocabulary = guide_chunks.groupBy(*keys).agg(
         F.collect_list(
             F.struct("chunk", F.col("text").alias("chunk_text"), words(F.col("text")).alias("words"))
-        ).alias("_chunks")
+        ).alias("_chunks"),
+        F.array_distinct(F.flatten(F.collect_list(words(F.col("text"))))).alias("_vocabulary"),
     )
-    scored = F.transform(
-        "_chunks",
-        lambda c: F.struct(
-            (-F.size(F.array_intersect(c["words"], F.col("_words")))).alias("order"),
-            c["chunk"].alias("chunk"), c["chunk_text"].alias("chunk_text"),
-        ),
+    # The request's words are cut down to those of the guide once, then met by each
+    # chunk. Binding them to a lambda keeps them from being computed per chunk.
+    known = F.array_intersect("_words", "_vocabulary")
+    scored = F.flatten(
+        F.transform(
+            F.array(known),
+            lambda own: F.transform(
+                "_chunks",
+                lambda c: F.struct(
+                    (-F.size(F.array_intersect(c["words"], own))).alias("order"),
+                    c["chunk"].alias("chunk"), c["chunk_text"].alias("chunk_text"),
+                ),
+            ),
+        )
     )
     best = F.slice(F.array_sort(F.filter(scored, lambda c: c["order"] < 0)), 1, n)
     joined = requests.join(F.broadcast(vocabulary), keys, "left")
