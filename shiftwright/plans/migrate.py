@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shiftwright import fixed_values as fixed
-from shiftwright.catalog import Catalog
+from shiftwright.catalog import Catalog, default_migration
 from shiftwright.operators import checks as checks_op
-from shiftwright.operators import report, retrieve, rewrite, scan, score
-from shiftwright.session import cut
+from shiftwright.operators import detect, report, retrieve, rewrite, scan, score
+from shiftwright.session import broadcast_checked, cut
 
 FILE = ["project", "path"]
 KEYS = ["run_id", "project", "path", "attempt"]
@@ -32,6 +32,20 @@ class Run:
     score_mode: str = "signals"
 
 
+def plan_files(files: DataFrame, catalog: Catalog) -> DataFrame:
+    """The files to scan of many projects at once, with framework and migration.
+
+    Each project gets the framework its files show and that framework's default
+    migration; projects without one drop out. Detection is written before it is
+    counted for a broadcast; with too many projects the join shuffles.
+    """
+    spark = files.sparkSession
+    detected = cut(detect.detect_framework(files, catalog).filter(F.col("framework").isNotNull()), "projects")
+    defaults = default_migration(catalog.migrations_table(spark)).select("framework", "migration")
+    placed = files.join(broadcast_checked(detected), "project").join(F.broadcast(defaults), "framework")
+    return scan.select_files_by_key(placed, catalog.suffixes_table(spark), catalog.skip_dirs_table(spark))
+
+
 def scan_tasks(files: DataFrame, catalog: Catalog, run: Run) -> DataFrame:
     """The run's tasks, each with its content."""
     suffixes = catalog.suffixes.get((run.framework, run.migration)) or catalog.suffixes.get((run.framework, "*"), [])

@@ -133,6 +133,12 @@ def file_test_commands(spark, sf):
     )
 
 
+def plan_files(spark, sf):
+    from shiftwright.plans.migrate import plan_files as plan
+
+    return plan(_project_files(spark, sf), default_catalog()).select("project", "path", "framework", "migration")
+
+
 def _requests(spark, sf):
     """A migration request per part."""
     names = [
@@ -230,6 +236,7 @@ QUERIES = {
     "select_files_by_key": select_files_by_key,
     "detect_framework": detect_framework,
     "file_test_commands": file_test_commands,
+    "plan_files": plan_files,
     "resolve_migration": resolve_migration,
     "validate_requests": validate_requests,
     "scan_matches": scan_matches,
@@ -275,6 +282,11 @@ paths(segment, path) AS (VALUES
 SELECT project, path, test_command
   || CASE WHEN segment = 'BUILDING' THEN ' --include=**/' || string_split(path, '/')[-1] ELSE '' END AS command
 FROM projects JOIN paths USING (segment)""",
+    "plan_files": """
+SELECT 'c' || c_custkey AS project, CASE c_mktsegment WHEN 'HOUSEHOLD' THEN 'src/app/a.component.html' ELSE 'src/app.jsx' END AS path,
+  CASE c_mktsegment WHEN 'HOUSEHOLD' THEN 'angular' ELSE 'react' END AS framework,
+  CASE c_mktsegment WHEN 'HOUSEHOLD' THEN 'control_flow' ELSE 'class_to_hooks' END AS migration
+FROM customer WHERE c_mktsegment IN ('HOUSEHOLD', 'MACHINERY')""",
     "resolve_migration": f"WITH {_REQUESTS_SQL}, {_RESOLVED_SQL} SELECT * FROM resolved",
     "validate_requests": f"""
 WITH {_REQUESTS_SQL}, {_RESOLVED_SQL},
