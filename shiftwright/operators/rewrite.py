@@ -723,20 +723,22 @@ def render(edited: DataFrame) -> DataFrame:
     )
     no_texts = F.array().cast("array<string>")
     failed = F.col("error").isNotNull()
-    return (
-        resolved.withColumn("error", error)
-        .select(
-            *FILE,
-            "before",
-            F.when(failed | ~has_units, before)
-            .when(F.col("_text").contains(CUT), joined)
-            .otherwise(F.col("_text"))
-            .alias("after"),
+    after = (
+        F.when(failed | ~has_units, before)
+        .when(F.col("_text").contains(CUT), joined)
+        .otherwise(F.col("_text"))
+    )
+    # A one-row inline: a filter on the results must not be pushed into this
+    # function, where it would repeat the whole assembly for each mention.
+    return resolved.withColumn("error", error).select(
+        *FILE, "before",
+        F.inline(F.array(F.struct(
+            after.alias("after"),
             F.when(failed, no_texts).otherwise(F.coalesce("applied", no_texts)).alias("applied"),
             F.coalesce("skipped", no_texts).alias("skipped"),
             F.coalesce("unresolved", F.lit(0)).alias("unresolved"),
-            "error",
-        )
+            F.col("error"),
+        ))),
     )
 
 

@@ -110,7 +110,9 @@ def test_scan_reads_content_once_and_shuffles_no_text(corpus):
     assert plan.count("Exchange") == 1
     counted = scan.file_tasks(corpus({"a.html": GOLDEN}), template_rules())._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in counted
-    assert counted.count("regexp_count") == len(template_rules())
+    # Each pattern is counted once, whatever uses the counts.
+    for rule in template_rules():
+        assert counted.count(rule.regex) == 1
 
 
 def test_scan_documents_split_into_parts(corpus):
