@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftwright.llm import decontamination, line_dedup
+from shiftwright.llm import decontamination, line_dedup, warc
 from shiftwright.llm.common import small_batches, table
 
 
@@ -37,6 +37,34 @@ GROUP BY doc_id
 """
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a record of archives that are written and read back."""
+    small_batches(spark)
+    pages = table(spark, sf_dir, "pages")
+    return warc.archive(pages).select(
+        warc.id_column(F.col("page_id"), pages).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        warc.id_column(F.col("refers_to"), pages).alias("refers_to"),
+    )
+
+
+# Base32 takes 5 hexadecimal digits at a time to 4 letters.
+OP8_SQL = """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(coalesce(html, '')) AS hex FROM pages),
+letters AS (
+  SELECT page_id, octet_length(payload) AS payload_bytes, hex,
+         array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           CAST((CAST('0x' || substr(hex, CAST(i // 4 AS INTEGER) * 5 + 1, 5) AS INTEGER)
+                 // CAST(pow(32, 3 - i % 4) AS INTEGER)) % 32 AS INTEGER) + 1, 1)), '') AS payload_digest
+  FROM p),
+kept AS (SELECT hex, max(page_id) AS keeper FROM letters GROUP BY hex)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+FROM letters JOIN kept USING (hex)
+"""
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents hold passages of which benchmark items."""
     small_batches(spark)
@@ -78,9 +106,11 @@ FROM doc_words LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 
 QUERIES = {
     "op6_line_dedup": op6_line_dedup,
+    "op8_warc": op8_warc,
     "op10_decontamination": op10_decontamination,
 }
 ORACLES = {
     "op6_line_dedup": OP6_SQL,
+    "op8_warc": OP8_SQL,
     "op10_decontamination": OP10_SQL,
 }
