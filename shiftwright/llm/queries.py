@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftwright.llm import decontamination, line_dedup, warc
-from shiftwright.llm.common import small_batches, table
+from shiftwright.llm import decontamination, language, line_dedup, warc
+from shiftwright.llm.common import crc_remainder, small_batches, table
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +65,15 @@ FROM letters JOIN kept USING (hex)
 """
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from three folds of four."""
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc_remainder(F.col("doc_id"), 4) == 2, F.lit(False))
+    out = language.identify(docs.select("doc_id", "text"), docs.where(~held_out).select("doc_id", "text", "lang"))
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents hold passages of which benchmark items."""
     small_batches(spark)
@@ -107,6 +116,7 @@ FROM doc_words LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 QUERIES = {
     "op6_line_dedup": op6_line_dedup,
     "op8_warc": op8_warc,
+    "op9_language": op9_language,
     "op10_decontamination": op10_decontamination,
 }
 ORACLES = {
