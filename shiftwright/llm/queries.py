@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftwright.llm import decontamination, language, line_dedup, warc
+from shiftwright.llm import decontamination, language, line_dedup, ngram_join, warc
 from shiftwright.llm.common import crc_remainder, small_batches, table
 
 
@@ -37,6 +37,32 @@ GROUP BY doc_id
 """
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of three-word shingles are similar to nine tenths."""
+    small_batches(spark)
+    found = ngram_join.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=90)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
+# Pairs meet at any common shingle here; fewer are thinkable only with the bounds that the operator has.
+OP7_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, w[i : i + least(3, len(w)) - 1] AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(3, len(w)) + 2)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b USING (g)
+      WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 90 * (x.n + y.n - i)),
+r AS (SELECT doc_id, doc_id AS low FROM w UNION SELECT e.b, r.low FROM r JOIN e ON e.a = r.doc_id WHERE r.low < e.b)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, c.low AS component_id
+FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(low) AS low FROM r GROUP BY doc_id) c USING (doc_id)
+"""
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as a record of archives that are written and read back."""
     small_batches(spark)
@@ -115,12 +141,14 @@ FROM doc_words LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 
 QUERIES = {
     "op6_line_dedup": op6_line_dedup,
+    "op7_ngram_join": op7_ngram_join,
     "op8_warc": op8_warc,
     "op9_language": op9_language,
     "op10_decontamination": op10_decontamination,
 }
 ORACLES = {
     "op6_line_dedup": OP6_SQL,
+    "op7_ngram_join": OP7_SQL,
     "op8_warc": OP8_SQL,
     "op10_decontamination": OP10_SQL,
 }
