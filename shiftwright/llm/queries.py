@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftwright.llm import decontamination, language, line_dedup, ngram_join, warc
+from shiftwright.llm import bpe, decontamination, language, line_dedup, ngram_join, warc
 from shiftwright.llm.common import crc_remainder, small_batches, table
 
 
+VOCABULARY = "word_bpe_49k.json"
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document and the text they decode to."""
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.digests(bpe.encode_decode(docs, public_tokenizers.path(VOCABULARY)), "doc_id")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that at least five documents share stay in one of them."""
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -140,6 +151,7 @@ FROM doc_words LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 QUERIES = {
+    "op2_bpe": op2_bpe,
     "op6_line_dedup": op6_line_dedup,
     "op7_ngram_join": op7_ngram_join,
     "op8_warc": op8_warc,
