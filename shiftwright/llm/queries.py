@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftwright.llm import bpe, decontamination, language, line_dedup, ngram_join, warc
+from shiftwright.llm import ann, bpe, decontamination, language, line_dedup, ngram_join, warc
 from shiftwright.llm.common import crc_remainder, small_batches, table
 
 
@@ -20,6 +20,28 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(docs, public_tokenizers.path(VOCABULARY)), "doc_id")
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty nearest rows of every twentieth row, by inner product."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20).select(
+        "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"
+    )
+
+
+OP3_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that at least five documents share stay in one of them."""
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -152,6 +174,7 @@ FROM doc_words LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 
 QUERIES = {
     "op2_bpe": op2_bpe,
+    "op3_neighbours": op3_neighbours,
     "op6_line_dedup": op6_line_dedup,
     "op7_ngram_join": op7_ngram_join,
     "op8_warc": op8_warc,
@@ -159,6 +182,7 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
 }
 ORACLES = {
+    "op3_neighbours": OP3_SQL,
     "op6_line_dedup": OP6_SQL,
     "op7_ngram_join": OP7_SQL,
     "op8_warc": OP8_SQL,
