@@ -6,10 +6,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftwright.llm import ann, bpe, decontamination, language, line_dedup, ngram_join, warc
+from shiftwright.llm import ann, bpe, decontamination, language, line_dedup, ngram_join, toxicity, warc
 from shiftwright.llm.common import crc_remainder, small_batches, table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, learned from labels of two folds of three."""
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    learned = labels.where(crc_remainder(F.col("doc_id"), 3) != 1)
+    out = toxicity.assess(docs, docs, learned, with_hits=False)
+    return out.select(
+        "doc_id", F.coalesce(crc_remainder(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -173,6 +186,7 @@ FROM doc_words LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_bpe": op2_bpe,
     "op3_neighbours": op3_neighbours,
     "op6_line_dedup": op6_line_dedup,
