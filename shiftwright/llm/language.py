@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 # Documents of each language the model is fitted on, about: rows are chosen by a hash of their id.
 DOCS_PER_LANG = 2_000
+# Languages the model learns: the most frequent ones. Their counts are sent to every task.
+MAX_LANGS = 1_000
 # What the model keeps: the most frequent words, and the most frequent n-grams of all lengths together.
 MAX_WORDS, MAX_GRAMS, MAX_LENGTH = 60_000, 40_000, 4
 CACHE_WORDS = 300_000
@@ -96,7 +98,9 @@ def training_rows(docs: DataFrame, docs_per_lang: int) -> DataFrame:
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_of"))
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20)) / F.lit(1 << 20)
-    return rows.select("lang", "text", place.alias("_place")).join(sizes, "lang").where(
+    return rows.select("lang", "text", place.alias("_place")).join(
+        F.broadcast(sizes.orderBy(F.desc("_of"), "lang").limit(MAX_LANGS)), "lang"
+    ).where(
         F.col("_place") * F.col("_of") < docs_per_lang
     ).select("lang", "text")
 
