@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftwright.llm import ann, bpe, decontamination, html_text, language, line_dedup, ngram_join, toxicity, warc
+from shiftwright.llm import ann, bpe, decontamination, html_text, language, line_dedup, lm, ngram_join, toxicity, warc
 from shiftwright.llm.common import crc_remainder, small_batches, table
 
 
@@ -62,6 +62,15 @@ def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document by a model of six folds of seven, and by their unigrams."""
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(crc_remainder(F.col("doc_id"), 7) == 2, F.lit(False))
+    out = lm.scored(docs, docs.where(~held_out), public_tokenizers.path(VOCABULARY))
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that at least five documents share stay in one of them."""
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -197,6 +206,7 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_neighbours": op3_neighbours,
     "op4_html": op4_html,
+    "op5_lm": op5_lm,
     "op6_line_dedup": op6_line_dedup,
     "op7_ngram_join": op7_ngram_join,
     "op8_warc": op8_warc,
