@@ -2,16 +2,31 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftwright.llm import decontamination, line_dedup
+from shiftwright.llm import bpe, decontamination, language, line_dedup, ngram_join
 from shiftwright.llm.common import small_batches, table
 from shiftwright.session import cut
 
-# SQL cannot express the learned language model or the tokenizer.
+# SQL cannot express the learned language model or the tokenizer; the stages are tested on small fixtures.
 ORACLE_SQL = None
 
+MIN_LANGUAGE_SCORE = 0.5
+VOCABULARY = "word_bpe_49k.json"
+
+
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language: those without letters go, and those for which no language has half the likelihood.
+
+    The model is learned from the documents themselves, where they name their language.
+    """
+    small_batches(spark)
+    out = language.identify(docs, docs.select("doc_id", "text", "lang"))
+    known = (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)
+    return out.where(known).select(*docs.columns)
+
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that many share; n_chars follows the text. No document goes."""
@@ -25,15 +40,31 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     ])
 
 
+def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by five-word shingles with a similarity of 0.8 or more, the one of the smallest doc_id."""
+    small_batches(spark)
+    return ngram_join.keep_one(docs, size=5, percent=80)
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark passages to speak of."""
     small_batches(spark)
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and the digests of ids and decoded text."""
+    small_batches(spark)
+    out = bpe.encode_decode(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path(VOCABULARY))
+    return bpe.digests(out, "doc_id", "lang", "source", "ids")
+
+
 STAGES = [
+    ("language_id", keep_languages),
     ("line_dedup", drop_shared_lines),
+    ("near_duplicates", keep_one_of_near_duplicates),
     ("decontamination", drop_contaminated),
+    ("bpe", encode),
 ]
 
 
