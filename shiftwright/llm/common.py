@@ -79,3 +79,30 @@ def hash_shingles(hashes: np.ndarray, size: int) -> np.ndarray:
         for i in range(size):
             out = mix(out * np.uint64(0x9E3779B97F4A7C15) + hashes[i : i + count])
     return out
+
+
+# 2 MB. While a tenth of it is filled, a tenth of other values pass as well.
+BITMAP_BITS = 1 << 24
+
+
+def hash_bitmap(rows: DataFrame, column: str) -> np.ndarray:
+    """The bits that hashes in a long column set, as bytes: a filter of fixed size that may be sent to every task.
+
+    It passes every value of the column, and others whose bits are set by chance; a join must follow.
+    """
+    bit = F.pmod(F.col(column), F.lit(BITMAP_BITS)) + 1  # buckets and positions count from 1
+    blocks = (
+        rows.select(F.bitmap_bucket_number(bit).alias("block"), F.bitmap_bit_position(bit).alias("at"))
+        .groupBy("block").agg(F.bitmap_construct_agg("at").alias("bits"))
+    ).collect()
+    found = np.zeros(BITMAP_BITS // 8, np.uint8)
+    for row in blocks:
+        at = (row["block"] - 1) * 4096
+        found[at : at + 4096] |= np.frombuffer(bytes(row["bits"]), np.uint8)
+    return found
+
+
+def marked(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Places of the 64-bit hashes whose bits are set."""
+    at = hashes.view(np.int64) % np.int64(BITMAP_BITS)
+    return np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)

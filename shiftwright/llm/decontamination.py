@@ -5,7 +5,7 @@ the corpus, is its necessary prefix. Corpus counts of the items' shingles come f
 only positions of prefix shingles, with the words around them; the join on the shingle applies the bounds of position
 and length, and compares the words of the whole window.
 
-What is sent to every task is a bitmap of fixed size (``BITMAP_BITS``) of the wanted shingles' hashes, however many
+What is sent to every task is a bitmap of fixed size (``common.BITMAP_BITS``) of the wanted shingles' hashes, however many
 items there are. A bit that is set by chance only costs a row in the join.
 """
 
@@ -19,13 +19,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from shiftwright.llm.common import hash_shingles, hash_words, with_row_key
+from shiftwright.llm.common import hash_bitmap, hash_shingles, hash_words, marked, with_row_key
 from shiftwright.session import cut
 
 WINDOW_WORDS = 13
 SHINGLE_WORDS = 3
-# 2 MB; at a tenth of it filled, a tenth of foreign shingles reach the join.
-BITMAP_BITS = 1 << 24
 
 # Bytes of words are 0-9, a-z and everything above ASCII; A-Z become a-z, all others become blanks.
 _TO_WORDS = bytes(
@@ -74,26 +72,6 @@ def benchmark_windows(benchmark: DataFrame, window_words: int, shingle_words: in
     )
 
 
-def _bitmap(shingles: DataFrame) -> np.ndarray:
-    """Bits of the shingles' hashes: at most ``BITMAP_BITS`` / 8 bytes reach the driver."""
-    bit = F.pmod(F.col("shingle"), F.lit(BITMAP_BITS)) + 1  # buckets and positions count from 1
-    blocks = (
-        shingles.select(F.bitmap_bucket_number(bit).alias("block"), F.bitmap_bit_position(bit).alias("at"))
-        .groupBy("block").agg(F.bitmap_construct_agg("at").alias("bits"))
-    ).collect()
-    found = np.zeros(BITMAP_BITS // 8, np.uint8)
-    for row in blocks:
-        at = (row["block"] - 1) * 4096
-        part = np.frombuffer(bytes(row["bits"]), np.uint8)[: len(found) - at]
-        found[at : at + len(part)] |= part
-    return found
-
-
-def _marked(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    at = (hashes.view(np.int64) % np.int64(BITMAP_BITS)).astype(np.int64)
-    return np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
-
-
 def corpus_counts(docs: DataFrame, bits, sizes: list[int]) -> DataFrame:
     """(shingle, n): how often the marked shingles occur in all documents, summed within tasks first."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +81,7 @@ def corpus_counts(docs: DataFrame, bits, sizes: list[int]) -> DataFrame:
                 hashed = hash_words(item_words(text.as_py()))
                 for size in sizes:
                     shingles = hash_shingles(hashed, size)
-                    found.append(shingles[_marked(shingles, bits.value)])
+                    found.append(shingles[marked(shingles, bits.value)])
             values, counts = np.unique(np.concatenate(found or [np.zeros(0, np.uint64)]), return_counts=True)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64))], ["shingle", "n"]
@@ -123,7 +101,7 @@ def document_positions(docs: DataFrame, bits, sizes: list[int], window_words: in
                 for size in sizes:
                     shingles = hash_shingles(hashed, size)
                     reach = window_words - size
-                    for p in _marked(shingles, bits.value).tolist():
+                    for p in marked(shingles, bits.value).tolist():
                         first = max(0, p - reach)
                         around = b" ".join(words[first : p + size + reach]).decode("utf-8", "surrogatepass")
                         found.append((int(shingles[p].view(np.int64)), size, p, first, around))
@@ -166,7 +144,7 @@ def contamination(
     keyed = with_row_key(docs.select("doc_id", "text"))
     windows = cut(benchmark_windows(benchmark, window_words, shingle_words), "windows")
     sizes = sorted(r[0] for r in windows.select("size").distinct().collect())
-    all_bits = spark.sparkContext.broadcast(_bitmap(windows.select("shingle").distinct()))
+    all_bits = spark.sparkContext.broadcast(hash_bitmap(windows, "shingle"))
     counts = corpus_counts(keyed, all_bits, sizes)
     # The rarest shingle of a window is its prefix; ties go to the smaller hash, then the earlier offset.
     rarity = F.struct(F.coalesce("n", F.lit(0)), F.col("shingle"), F.col("offset"))
@@ -176,7 +154,7 @@ def contamination(
         .select("window", "words", "size", "items", F.col("rarest.shingle").alias("shingle"), F.col("rarest.offset").alias("offset")),
         "prefixes",
     )
-    bits = spark.sparkContext.broadcast(_bitmap(prefixes.select("shingle").distinct()))
+    bits = spark.sparkContext.broadcast(hash_bitmap(prefixes, "shingle"))
     found = cut(
         document_positions(keyed, bits, sizes, window_words).withColumn("_row", F.monotonically_increasing_id()),
         "positions",

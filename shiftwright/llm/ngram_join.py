@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftwright.llm.common import hash_shingles, hash_words, with_row_key, words_of
+from shiftwright.llm.common import hash_bitmap, hash_shingles, hash_words, marked, with_row_key, words_of
 from shiftwright.llm.components import components
 from shiftwright.session import cut
 
 # Counters of the frequency sketch; it only sets the order, so its size has no bearing on results.
 SKETCH_CELLS = 1 << 18
-SIGNATURE_WORDS = 8  # of 64 bits
+SIGNATURE_BITS = 512
 POSTING_BLOCK = 20_000
 SET_BLOCK = 500
 
@@ -60,9 +60,38 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def signature(hashes: np.ndarray) -> bytes:
-    """The parity of the set's members in each of 64 * SIGNATURE_WORDS bits."""
-    bits = np.bincount((hashes >> np.uint64(20)).astype(np.int64) % (64 * SIGNATURE_WORDS), minlength=64 * SIGNATURE_WORDS)
-    return np.packbits((bits & 1).astype(np.uint8)).tobytes()
+    """The parity of the set's members in each of its bits: SIGNATURE_BITS, or twice, four times ... as many.
+
+    There is at least one bit for two members, so that unlike sets differ in more bits than similar ones may.
+    """
+    bits = SIGNATURE_BITS
+    while 2 * bits < len(hashes):
+        bits *= 2
+    count = np.bincount(((hashes >> np.uint64(20)) % np.uint64(bits)).astype(np.int64), minlength=bits)
+    return np.packbits((count & 1).astype(np.uint8)).tobytes()
+
+
+def fold(sign: bytes, size: int) -> np.ndarray:
+    """The signature as 64-bit words, brought to ``size`` bytes: the parity in fewer bits."""
+    return np.bitwise_xor.reduce(np.frombuffer(sign, np.uint64).reshape(-1, size // 8), axis=0)
+
+
+class Signatures:
+    """Signatures of some rows, of the same size for a first look and whole for a second."""
+
+    def __init__(self, whole: list[bytes]):
+        self.whole = whole
+        self.short = np.stack([fold(x, SIGNATURE_BITS // 8) for x in whole])
+
+    def part(self, a: int, b: int) -> Signatures:
+        out = Signatures.__new__(Signatures)
+        out.whole, out.short = self.whole[a:b], self.short[a:b]
+        return out
+
+    def differ(self, a: int, b: int) -> int:
+        x, y = self.whole[a], self.whole[b]
+        size = min(len(x), len(y))
+        return int(np.bitwise_count(fold(x, size) ^ fold(y, size)).sum(dtype=np.int64))
 
 
 def _set_rows(docs: DataFrame, size: int) -> DataFrame:
@@ -153,15 +182,18 @@ class Forest:
         return self.root[members], members
 
 
-def may_be_similar(a, b, n: np.ndarray, pos: np.ndarray, signs: np.ndarray, percent: int) -> np.ndarray:
+def may_be_similar(a: np.ndarray, b: np.ndarray, n: np.ndarray, pos: np.ndarray, signs: Signatures, percent: int) -> np.ndarray:
     """Which pairs of rows that meet at a prefix n-gram pass the bounds of size, position and signature."""
     need = needed(n[a], n[b], percent)
+    spare = n[a] + n[b] - 2 * need
     ok = (np.minimum(n[a], n[b]) >= need) & (np.minimum(n[a] - pos[a], n[b] - pos[b]) >= need)
-    differ = np.bitwise_count(signs[a] ^ signs[b]).sum(axis=-1, dtype=np.int64)
-    return ok & (differ <= n[a] + n[b] - 2 * need)
+    ok &= np.bitwise_count(signs.short[a] ^ signs.short[b]).sum(axis=-1, dtype=np.int64) <= spare
+    for k in np.flatnonzero(ok & (np.minimum(n[a], n[b]) > 2 * SIGNATURE_BITS)).tolist():
+        ok[k] = signs.differ(a[k], b[k]) <= spare[k]
+    return ok
 
 
-def candidate_stars(n: np.ndarray, pos: np.ndarray, signs: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def candidate_stars(n: np.ndarray, pos: np.ndarray, signs: Signatures, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Clusters of the classes of one prefix n-gram that may be similar. Rows come in the order of n.
 
     A class is compared only with those outside its cluster.
@@ -173,7 +205,7 @@ def candidate_stars(n: np.ndarray, pos: np.ndarray, signs: np.ndarray, percent:
         for part in (near[-8:], near[:-8]):
             part = part[forest.root[part] != forest.root[i]]
             if len(part):
-                part = part[may_be_similar(part, i, n, pos, signs, percent)]
+                part = part[may_be_similar(part, np.full(len(part), i), n, pos, signs, percent)]
             if len(part):
                 forest.join(i, part)
     return forest.stars()
@@ -212,7 +244,7 @@ def candidates(postings: DataFrame, percent: int) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, cuts in _whole_groups(batches, ["token", "i", "j"]):
             node, n, pos = (table[c].to_numpy() for c in ("node", "n", "pos"))
-            signs = np.frombuffer(b"".join(table["sign"].to_pylist()), np.uint64).reshape(len(node), -1)
+            signs = Signatures(table["sign"].to_pylist())
             begins, ends = np.array(cuts[:-1]), np.array(cuts[1:])
             # Most groups are pairs; they are looked at together.
             one = begins[ends - begins == 2]
@@ -220,7 +252,7 @@ def candidates(postings: DataFrame, percent: int) -> DataFrame:
             out = [(node[one], node[one + 1])]
             for a, b in zip(begins.tolist(), ends.tolist(), strict=True):
                 if b - a > 2:
-                    root, member = candidate_stars(n[a:b], pos[a:b], signs[a:b], percent)
+                    root, member = candidate_stars(n[a:b], pos[a:b], signs.part(a, b), percent)
                     if len(root):
                         out.append((node[a + root], node[a + member]))
             yield _edges_out(out)
@@ -295,19 +327,17 @@ def trie_join(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndar
     return forest.stars()
 
 
-def _ordered_sets(docs: DataFrame, size: int, sketch) -> DataFrame:
-    """The whole set of every row, in the global order, beside the row's other columns."""
-    kept = [c for c in docs.columns if c != "text"]
-    schema = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in kept)
-
+def _ordered_sets(docs: DataFrame, size: int, sketch, bits) -> DataFrame:
+    """(_k1, _k2, members) of the rows whose key is marked: the whole set in the global order."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            members = [in_order(ngram_set(t.as_py(), size), sketch.value).view(np.int64) for t in batch["text"]]
+            wanted = batch.take(pa.array(marked(batch["_k2"].to_numpy(), bits.value)))
+            members = [in_order(ngram_set(t.as_py(), size), sketch.value).view(np.int64) for t in wanted["text"]]
             yield pa.RecordBatch.from_arrays(
-                [*(batch[c] for c in kept), pa.array(members, pa.list_(pa.int64()))], [*kept, "members"]
+                [wanted["_k1"], wanted["_k2"], pa.array(members, pa.list_(pa.int64()))], ["_k1", "_k2", "members"]
             )
 
-    return docs.mapInArrow(rows, f"{schema}, members array<long>")
+    return docs.select("_k1", "_k2", "text").mapInArrow(rows, "_k1 long, _k2 long, members array<long>")
 
 
 def links(blocks: DataFrame, percent: int, sketch) -> DataFrame:
@@ -316,8 +346,9 @@ def links(blocks: DataFrame, percent: int, sketch) -> DataFrame:
         for table, cuts in _whole_groups(batches, ["cluster", "i", "j"]):
             nodes = table["node"].to_numpy()
             for a, b in zip(cuts, cuts[1:], strict=False):
-                node = nodes[a:b]
-                members = [np.asarray(m.values).view(np.uint64) for m in table["members"][a:b]]
+                # Rows that repeat id and text come as often.
+                node, place = np.unique(nodes[a:b], return_index=True)
+                members = [np.asarray(m.values).view(np.uint64) for m in table["members"].take(pa.array(a + place))]
                 # Ranks in the global order within the block.
                 known = in_order(np.unique(np.concatenate(members)), sketch.value)
                 by_hash = np.argsort(known)
@@ -370,8 +401,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     wanted = cut(
         clusters.join(sizes, "cluster").join(classes.select("node", "_k1", "_k2"), "node"), "clusters"
     )
-    texts = keyed.select("_k1", "_k2", "text").join(wanted, ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"])
-    sets = _ordered_sets(texts.select("cluster", "of", "node", "text"), size, sketch)
+    bits = spark.sparkContext.broadcast(hash_bitmap(wanted, "_k2"))
+    sets = _ordered_sets(keyed, size, sketch, bits).join(wanted, ["_k1", "_k2"])
     blocks = _in_block_pairs(sets, "cluster", "of", SET_BLOCK).select("cluster", "i", "j", "node", "members")
     found = components(
         links(blocks.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j"), percent, sketch)
