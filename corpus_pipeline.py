@@ -23,18 +23,18 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     The model is learned from the documents themselves, where they name their language.
     """
     small_batches(spark)
-    out = language.identify(docs, docs.select("doc_id", "text", "lang"))
-    known = (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)
+    out = language.identify(docs, docs.select("doc_id", "text", "lang"), prefix="_found_")
+    known = (F.col("_found_lang_pred") != language.UNKNOWN) & (F.col("_found_score") >= MIN_LANGUAGE_SCORE)
     return out.where(known).select(*docs.columns)
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that many share; n_chars follows the text. No document goes."""
-    out = line_dedup.dedup_lines(docs)
-    changed = F.col("n_dropped") > 0
+    out = line_dedup.dedup_lines(docs, prefix="_found_")
+    changed = F.col("_found_n_dropped") > 0
     return out.select(*[
-        F.when(changed, F.col("kept_text")).otherwise(F.col("text")).alias(c) if c == "text"
-        else F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars"
+        F.when(changed, F.col("_found_kept_text")).otherwise(F.col("text")).alias(c) if c == "text"
+        else F.when(changed, F.length("_found_kept_text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars"
         else F.col(c)
         for c in docs.columns
     ])

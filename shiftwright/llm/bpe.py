@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shiftwright.llm.common import passed
+
 # Letters and digits of newer Unicode versions than that by which the pattern is read.
 NEWER = (
     "558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 "
@@ -244,12 +246,12 @@ def codec(spark: SparkSession, path: str):
 def encode_decode(docs: DataFrame, path: str, text: Column | None = None) -> DataFrame:
     """``docs`` with the columns ids (array<int>) and decoded (string).
 
-    A null, empty or blank text has no ids and decodes to the empty text. Equal texts get equal results; all columns
-    pass through, only the two new names must be free. ``path`` is a file the driver can read.
+    A null, empty or blank text has no ids and decodes to the empty text. Equal texts get equal results; other
+    columns pass through, one with the name of a result is replaced. ``path`` is a file the driver can read.
     """
     both = codec(docs.sparkSession, path)
     out = docs.withColumn("_c", both(F.col("text") if text is None else text))
-    return out.select(*docs.columns, F.col("_c.ids").alias("ids"), F.col("_c.decoded").alias("decoded"))
+    return out.select(*passed(docs, "ids", "decoded"), F.col("_c.ids").alias("ids"), F.col("_c.decoded").alias("decoded"))
 
 
 def digests(encoded: DataFrame, *columns: str) -> DataFrame:

@@ -20,6 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def passed(rows: DataFrame, *results: str) -> list[Column]:
+    """The columns that pass through: all but those whose names results take."""
+    return [F.col(f"`{c}`") for c in rows.columns if c not in results]
+
+
 def small_batches(spark: SparkSession) -> None:
     """Let Python workers get few rows at a time, so that a batch of long texts fits in memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

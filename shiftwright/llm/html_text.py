@@ -403,8 +403,8 @@ def main_text(pages: DataFrame, training: DataFrame | None = None, page: Column
     """``pages`` with the column text: the blocks of the main text, in page order, one per line.
 
     Null or empty html, and pages without main text, give the empty text. A page that breaks off in a tag is read up to
-    there. Equal pages get equal texts. All columns pass through; only ``text`` must be free. An empty table gives an
-    empty result.
+    there. Equal pages get equal texts. Other columns pass through; a column ``text`` is replaced. An empty table
+    gives an empty result.
     """
     extract = extractor(pages, fit(pages if training is None else training, **options))
     return pages.withColumn("text", F.coalesce(extract(F.col("html") if page is None else page), F.lit("")))

@@ -15,9 +15,11 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shiftwright.llm.common import passed
+
 # Documents of each language the model is fitted on, about: rows are chosen by a hash of their id.
 DOCS_PER_LANG = 2_000
 # Languages the model learns: the most frequent ones. Their counts are sent to every task.
@@ -155,7 +157,9 @@ def fit(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> Model:
         for i, row in enumerate(rows):
             for x in row["by_lang"]:
                 table[i, at[x["lang"]]] = x["n"]
-        table = np.log((table + 0.5) / (table.sum(axis=0) + 0.5 * len(rows))).astype(np.float32)
+        # What a language lacks costs the same in each, however little of it was seen.
+        total = np.maximum(table.sum(axis=0), 1)
+        table = np.log(np.where(table > 0, table / total, 0.5 / total.max())).astype(np.float32)
         return {row["item"]: table[i] for i, row in enumerate(rows)}
 
     by_length = {}
@@ -177,13 +181,14 @@ def predictor(docs: DataFrame, model: Model):
     return predict
 
 
-def identify(docs: DataFrame, training: DataFrame, text: Column | None = None, **options) -> DataFrame:
-    """``docs`` with the columns lang_pred and score, from a model of ``training`` (doc_id, text, lang).
+def identify(docs: DataFrame, training: DataFrame, prefix: str = "", **options) -> DataFrame:
+    """``docs`` with the columns lang_pred and score, after the prefix, from a model of ``training`` (doc_id, text, lang).
 
     ``und`` with score 0 for a null text, a text without letters, or a model without languages. A text of which
-    nothing is known gets the first language with an even share. Equal texts get equal results. All columns pass
-    through; only the two new names must be free.
+    nothing is known gets the first language with an even share. Equal texts get equal results. Other columns pass
+    through; one with the name of a result is replaced.
     """
     predict = predictor(docs, fit(training, **options))
-    out = docs.withColumn("_p", predict(F.col("text") if text is None else text))
-    return out.select(*docs.columns, F.col("_p.lang").alias("lang_pred"), F.col("_p.score").alias("score"))
+    out = docs.withColumn("_p", predict(F.col("text")))
+    lang, score = prefix + "lang_pred", prefix + "score"
+    return out.select(*passed(docs, lang, score), F.col("_p.lang").alias(lang), F.col("_p.score").alias(score))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shiftwright.llm.common import SPACE, lower_ascii, with_row_key
+from shiftwright.llm.common import SPACE, lower_ascii, passed, with_row_key
 from shiftwright.session import cut
 
 
@@ -47,8 +47,8 @@ def shared_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
     )
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    r"""``docs`` with the columns n_lines, n_dropped and kept_text.
+def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, prefix: str = "") -> DataFrame:
+    r"""``docs`` with the columns n_lines, n_dropped and kept_text, after the prefix.
 
     A line's key is the line, stripped of ``[\x20\x09-\x0D]`` and with A-Z in lower case. Keys of ``min_chars`` code
     points or more that ``min_docs`` documents or more hold lose their lines, but in the largest doc_id that holds
@@ -56,7 +56,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
 
     Null or empty text: one empty line, kept. Rows that repeat a doc_id count as one document. A null doc_id counts as
     no document and is never the keeper, so its shared lines go. Equal rows get equal results. An empty table gives an
-    empty table. Other columns pass through; only the three new names must be free.
+    empty table. Other columns pass through; one with the name of a result is replaced.
     """
     keyed = with_row_key(docs.select("doc_id", "text"))
     shared = cut(shared_lines(docs, min_chars, min_docs).select("h1", "h2", "keeper"), "shared-lines")
@@ -85,10 +85,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     )
     out = joined.withColumn("_lines", _lines(F.col("text")))
     return out.select(
-        *[F.col(c) for c in docs.columns],
-        F.size(lines).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"),
+        *passed(docs, *(prefix + c for c in ("n_lines", "n_dropped", "kept_text"))),
+        F.size(lines).cast("long").alias(prefix + "n_lines"),
+        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias(prefix + "n_dropped"),
         F.when(F.col("_gone").isNull(), F.coalesce(F.col("text"), F.lit("")))
         .otherwise(F.array_join(F.flatten(runs), "\n"))
-        .alias("kept_text"),
+        .alias(prefix + "kept_text"),
     )

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shiftwright.llm.common import hash_words
+from shiftwright.llm.common import hash_words, passed
 from shiftwright.session import cut
 
 # Labelled documents the model is fitted on, about, of each label; chosen by a hash of their id.
@@ -320,9 +320,9 @@ def scorer(docs: DataFrame, model: Model, with_hits: bool = True):
 def assess(docs: DataFrame, training: DataFrame, labels: DataFrame, with_hits: bool = True, **options) -> DataFrame:
     """``docs`` with the columns score (0 to 1) and hits, from a model of the training documents and their labels.
 
-    Null and empty texts have no finds and get the score of a text without any. Equal texts get equal results. All
-    columns pass through; only the two new names must be free. An empty table gives an empty result.
+    Null and empty texts have no finds and get the score of a text without any. Equal texts get equal results. Other
+    columns pass through; one with the name of a result is replaced. An empty table gives an empty result.
     """
     score = scorer(docs, fit(training, labels, **options), with_hits)
     out = docs.withColumn("_s", score(F.col("text")))
-    return out.select(*docs.columns, F.col("_s.score").alias("score"), F.col("_s.hits").alias("hits"))
+    return out.select(*passed(docs, "score", "hits"), F.col("_s.score").alias("score"), F.col("_s.hits").alias("hits"))
