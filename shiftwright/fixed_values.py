@@ -140,15 +140,25 @@ FOR_LOCALS = ["index", "first", "last", "even", "odd", "count"]
 SECRET_RULES = [
     ("AWS Access Key", r"AKIA[0-9A-Z]{16}"),
     ("GitHub Token", r"gh[pousr]_[A-Za-z0-9]{36}"),
-    ("Slack Token", r"xox[abprs]-[A-Za-z0-9-]{10,48}"),
+    ("Slack Token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     ("Google API Key", r"AIza[0-9A-Za-z_-]{35}"),
     ("Private Key", r"-----BEGIN (RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----"),
     (
         "Credential Assignment",
-        r"""(?i)(password|passwd|secret|token|api_key|apikey)\s*[:=]\s*["'][0-9A-Za-z_./+=-]{16,128}["']""",
+        r"""(?i)(password|passwd|secret|token|api_key|apikey)\s*[:=]\s*["'][0-9A-Za-z_./+=-]{16,}["']""",
     ),
 ]
 
+# A text without any of these, in lower case, has no match of the rule of that name.
+SECRET_NEEDLES = {
+    "AWS Access Key": ["akia"],
+    "GitHub Token": ["ghp_", "gho_", "ghu_", "ghs_", "ghr_"],
+    "Slack Token": ["xox"],
+    "Google API Key": ["aiza"],
+    "Private Key": ["-----begin "],
+    "Credential Assignment": ["password", "passwd", "secret", "token", "api_key", "apikey"],
+}
+
 # --- Fixed values: check stages, messages, scores --------------------------------
 
 LEGACY_MARKERS = ["*ngIf=", "*ngFor="]
@@ -170,7 +180,6 @@ MAX_RETRIES = 3
 MINUTES_PER_FILE = 15
 LOG_TAIL = 30
 SNIPPET_CHARS = 120
-MAX_ROUNDS = 50
 
 # Failed stage (lower case) -> failure category.
 STAGE_CATEGORY = {

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shiftwright import fixed_values as fixed
 from shiftwright.functions.text import strip
-from shiftwright.session import BROADCAST_ROW_LIMIT, broadcast_checked
+from shiftwright.session import BROADCAST_ROW_LIMIT
 
 MESSAGE = "struct<role:string,content:string>"
 WORD = r"[^a-z0-9]+"
@@ -16,11 +16,11 @@ WORD = r"[^a-z0-9]+"
 def guides_for(requests: DataFrame, docs: DataFrame, legacy: DataFrame | None = None) -> DataFrame:
     """The whole guide of each request's (framework, migration), a legacy one, or a placeholder."""
     keys = ["framework", "migration"]
-    found = requests.join(broadcast_checked(docs.select(*keys, "text")), keys, "left")
+    found = requests.join(docs.select(*keys, "text"), keys, "left")
     text = F.nullif(F.col("text"), F.lit(""))
     if legacy is not None:
         old = legacy.select(*keys, F.col("text").alias("_legacy"))
-        found = found.join(broadcast_checked(old), keys, "left")
+        found = found.join(old, keys, "left")
         text = F.coalesce(text, F.nullif(F.col("_legacy"), F.lit("")))
     placeholder = F.concat(
         F.lit("# "), F.initcap("framework"), F.lit(" "), F.col("migration"),
@@ -96,7 +96,7 @@ def _best_of_portion(requests: DataFrame, guide_chunks: DataFrame, n: int) -> Da
         )
     )
     best = F.slice(F.array_sort(F.filter(scored, lambda c: c["order"] < 0)), 1, n)
-    joined = requests.join(F.broadcast(vocabulary), keys, "left")
+    joined = requests.join(vocabulary, keys, "left")
     return joined.select(*requests.columns, F.posexplode(best).alias("_rank", "_best")).select(
         *requests.columns,
         (F.col("_rank") + 1).cast("bigint").alias("rank"),
@@ -122,7 +122,7 @@ def rank_vectors(vectors: DataFrame, queries: DataFrame, by: list, id_col: str,
     ``queries`` has one vector ``query`` per key. Ranking keeps ``n`` rows per key
     and task before anything is shuffled, however many vectors a key has.
     """
-    scored = vectors.join(broadcast_checked(queries), by).withColumn(
+    scored = vectors.join(queries, by).withColumn(
         "score", F.round(cosine(F.col("embedding"), F.col("query")), 6)
     )
     ranked = scored.select(
@@ -165,7 +165,7 @@ def prompts(files: DataFrame, prompt_table: DataFrame) -> DataFrame:
     )
     return (
         files.filter(F.col("content").isNotNull())
-        .join(broadcast_checked(prompt_table), keys, "left")
+        .join(prompt_table, keys, "left")
         .select(*[c for c in files.columns if c != "content"], messages.alias("messages"))
     )
 

@@ -68,6 +68,26 @@ def tokens(content: Column) -> Column:
     return F.split(marked, TOKEN_END)
 
 
+# Characters used as marks here, and the letter each is written as, behind ESCAPE, while a text that holds it is edited.
+ESCAPE = "\u0005"
+ESCAPED = {ESCAPE: "e", TOKEN_END: "a", SLOT: "c", CUT: "d"}
+
+
+def _escaped(text: Column) -> Column:
+    """The text without marks; texts that hold none stay as they are."""
+    out = text
+    for char, letter in ESCAPED.items():
+        out = F.replace(out, F.lit(char), F.lit(ESCAPE + letter))
+    return F.when(contains_any(text, list(ESCAPED)), out).otherwise(text)
+
+
+def _restored(text: Column) -> Column:
+    out = text
+    for char, letter in reversed(ESCAPED.items()):
+        out = F.replace(out, F.lit(ESCAPE + letter), F.lit(char))
+    return F.when(text.contains(ESCAPE), out).otherwise(text)
+
+
 def _extract(text: Column, regex: str, group: int) -> Column:
     """A group of the first match, null if there is none or it is empty."""
     return F.nullif(F.regexp_extract(text, regex, group), F.lit(""))
@@ -81,11 +101,10 @@ def rewrite_templates(files: DataFrame, pattern_id: str | None = None) -> DataFr
     with an error keeps its text.
     """
     text = normalize_newlines(F.col("content"))
-    reserved = contains_any(F.col("content"), [TOKEN_END, SLOT, CUT])
     # The null tests stand apart: a join on the keys would add them on one side, and
     # two different filters would keep Spark from reusing the shuffle of the content.
     candidate = (
-        F.coalesce(contains_any(F.col("content"), START_TEXTS) & ~reserved, F.lit(False))
+        F.coalesce(contains_any(F.col("content"), START_TEXTS), F.lit(False))
         & F.col("project").isNotNull()
         & F.col("path").isNotNull()
     )
@@ -93,7 +112,7 @@ def rewrite_templates(files: DataFrame, pattern_id: str | None = None) -> DataFr
     # meet it again in the same partition. A fixed number of partitions, because
     # adaptive execution would merge them by size, while their cost is in the windows.
     partitions = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = files.filter(candidate).select(*FILE, text.alias("before")).repartition(partitions, *FILE)
+    placed = files.filter(candidate).select(*FILE, _escaped(text).alias("before")).repartition(partitions, *FILE)
     edited = placed.join(edit_plans(placed, pattern_id), FILE, "left")
     passed = files.filter(~candidate).select(
         *FILE,
@@ -102,12 +121,10 @@ def rewrite_templates(files: DataFrame, pattern_id: str | None = None) -> DataFr
         F.array().cast("array<string>").alias("applied"),
         F.array().cast("array<string>").alias("skipped"),
         F.lit(0).cast("bigint").alias("unresolved"),
-        F.when(F.col("content").isNull(), "unreadable text")
-        .when(reserved, "reserved control characters in text")
-        .alias("error"),
+        F.when(F.col("content").isNull(), "unreadable text").alias("error"),
     )
     return (
-        render(edited)
+        render(edited).withColumns({c: _restored(F.col(c)) for c in ("before", "after")})
         .unionByName(passed)
         .withColumn("was_modified", ~F.col("before").eqNullSafe(F.col("after")))
         .withColumn("success", F.col("error").isNull())
@@ -745,11 +762,12 @@ def render(edited: DataFrame) -> DataFrame:
 # -- plug-in rules -------------------------------------------------------------------
 
 
-def apply_rules(files: DataFrame, rules: list, rounds: int = fixed.MAX_ROUNDS) -> DataFrame:
+def apply_rules(files: DataFrame, rules: list, rounds: int | None = None) -> DataFrame:
     """Apply plug-in rules whose rewrite is a replacement text or a Column function.
 
-    Every rule is repeated until it changes nothing more or ``rounds`` passes are
-    done, all within the row. ``exhausted`` lists rules that still match then.
+    Every rule is repeated within the row until it changes nothing more. ``rounds`` bounds the passes; without it a
+    rule may take as many as the text has characters, and two. A file with a rule that has not settled by then, or made
+    the text more than 16 times as long, keeps its text and gets an error; ``exhausted`` lists such rules.
     """
     from shiftwright.catalog import ELEMENT_EDIT
 
@@ -759,44 +777,56 @@ def apply_rules(files: DataFrame, rules: list, rounds: int = fixed.MAX_ROUNDS) -
     )
     flags, left = [], []
     for i, rule in enumerate(usable):
-        out = out.withColumn("after_next", _repeated(F.col("after"), rule, rounds)).withColumn(
-            f"_changed{i}", ~F.col("after_next").eqNullSafe(F.col("after"))
-        ).drop("after").withColumnRenamed("after_next", "after")
+        out = out.withColumn("_next", _repeated(F.col("after"), rule, rounds)).withColumns({
+            f"_changed{i}": ~F.col("_next.text").eqNullSafe(F.col("after")),
+            f"_open{i}": ~F.coalesce(F.col("_next.done"), F.lit(True)),
+            "after": F.col("_next.text"),
+        })
         flags.append(F.when(F.col(f"_changed{i}"), F.lit(rule.pattern_id)))
-        left.append(
-            F.when(F.col(f"_changed{i}") & F.col("after").rlike(rule.regex), F.lit(rule.pattern_id))
-        )
+        left.append(F.when(F.col(f"_open{i}"), F.lit(rule.pattern_id)))
     skipped = [
         F.when(F.col("before").rlike(r.regex), F.lit(r.pattern_id)) for r in rules if r.rewrite is None
     ]
     none = F.array().cast("array<string>")
+    exhausted = F.array_compact(F.array(*left)) if left else none
+    settled = F.size(exhausted) == 0
+    applied = F.array_compact(F.array(*flags)) if flags else none
+    after = F.when(settled, F.col("after")).otherwise(F.col("before"))
+    error = F.when(F.col("before").isNull(), "unreadable text").when(
+        ~settled, F.concat(F.lit("rules that do not settle: "), F.array_join(exhausted, ", "))
+    )
     return out.select(
-        *FILE, "before", "after",
-        (F.array_compact(F.array(*flags)) if flags else none).alias("applied"),
+        *FILE, "before", after.alias("after"),
+        F.when(settled, applied).otherwise(none).alias("applied"),
         (F.array_compact(F.array(*skipped)) if skipped else none).alias("skipped"),
-        (F.array_compact(F.array(*left)) if left else none).alias("exhausted"),
-        (~F.col("before").eqNullSafe(F.col("after"))).alias("was_modified"),
-        F.col("before").isNotNull().alias("success"),
-        F.when(F.col("before").isNull(), "unreadable text").alias("error"),
+        exhausted.alias("exhausted"),
+        (~F.col("before").eqNullSafe(after)).alias("was_modified"),
+        error.isNull().alias("success"),
+        error.alias("error"),
     )
 
 
-def _repeated(text: Column, rule, rounds: int) -> Column:
-    """``rule`` applied until the text stays the same, at most ``rounds`` times."""
+def _repeated(text: Column, rule, rounds: int | None) -> Column:
+    """(text, done): ``rule`` applied until the text stays the same."""
     def once(t: Column) -> Column:
         if callable(rule.rewrite):
             return rule.rewrite(t)
         return F.regexp_replace(t, rule.regex, rule.rewrite)
 
-    # A first pass decides whether any further one is worth its cost.
     state = F.struct(text.alias("text"), F.lit(False).alias("done"))
 
-    def step(acc: Column, _: Column) -> Column:
-        following = F.when(acc["done"], acc["text"]).otherwise(once(acc["text"]))
-        return F.struct(following.alias("text"), (acc["done"] | (following == acc["text"])).alias("done"))
+    # A rule that makes the text ever longer would fill the memory before it runs out of passes.
+    most_chars = 16 * F.length(text) + 65_536
 
-    folded = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), state, step, lambda s: s["text"])
-    return F.when(text.rlike(rule.regex), folded).otherwise(text)
+    def step(acc: Column, _: Column) -> Column:
+        following = F.when(acc["done"] | (F.length(acc["text"]) > most_chars), acc["text"]).otherwise(once(acc["text"]))
+        same = (following == acc["text"]) & (F.length(following) <= most_chars)
+        return F.struct(following.alias("text"), (acc["done"] | same).alias("done"))
+
+    # A first test decides whether any pass is worth its cost. The last pass only shows that nothing changes.
+    most = F.length(text) + 2 if rounds is None else F.lit(rounds + 1)
+    folded = F.aggregate(F.sequence(F.lit(1), most), state, step)
+    return F.when(text.rlike(rule.regex), folded).otherwise(F.struct(text.alias("text"), F.lit(True).alias("done")))
 
 
 def map_rewrite(files: DataFrame, rewrite) -> DataFrame:

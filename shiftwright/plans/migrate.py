@@ -11,7 +11,7 @@ from shiftwright import fixed_values as fixed
 from shiftwright.catalog import Catalog, default_migration
 from shiftwright.operators import checks as checks_op
 from shiftwright.operators import detect, report, retrieve, rewrite, scan, score
-from shiftwright.session import broadcast_checked, cut
+from shiftwright.session import cut
 
 FILE = ["project", "path"]
 KEYS = ["run_id", "project", "path", "attempt"]
@@ -42,7 +42,7 @@ def plan_files(files: DataFrame, catalog: Catalog) -> DataFrame:
     spark = files.sparkSession
     detected = cut(detect.detect_framework(files, catalog).filter(F.col("framework").isNotNull()), "projects")
     defaults = default_migration(catalog.migrations_table(spark)).select("framework", "migration")
-    placed = files.join(broadcast_checked(detected), "project").join(F.broadcast(defaults), "framework")
+    placed = files.join(detected, "project").join(F.broadcast(defaults), "framework")
     return scan.select_files_by_key(placed, catalog.suffixes_table(spark), catalog.skip_dirs_table(spark))
 
 
@@ -194,7 +194,10 @@ def migrate(
             F.col("test_passed").alias("passed"), F.array().cast("array<string>").alias("errors"),
         )
     )
-    escalated = outcome.filter(~F.col("completed")).join(_diffs(last_texts), ["run_id", *FILE], "left")
+    open_files = outcome.filter(~F.col("completed"))
+    # Only files that somebody must look at are compared.
+    open_texts = last_texts.join(open_files.select("run_id", *FILE), ["run_id", *FILE], "left_semi")
+    escalated = open_files.join(_diffs(open_texts), ["run_id", *FILE], "left")
     return {
         "tasks": tasks.drop("content"),
         "attempts": union(all_texts),

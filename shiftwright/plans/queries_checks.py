@@ -83,7 +83,13 @@ def secrets_scan(spark, sf):
         F.lit("talks").alias("project"), F.concat_ws("/", F.lit("c"), "conv_id", "turn").alias("path"),
         F.col("text").alias("content"),
     )
-    everything = _corpus(spark, sf).unionByName(talks)
+    # Values far longer than any usual one, by construction.
+    value = F.repeat(F.lit("a1B2"), (F.col("s_suppkey") % 60 + 5).cast("int"))
+    long = read(spark, sf, "supplier").select(
+        F.lit("talks").alias("project"), F.concat(F.lit("s/"), F.col("s_suppkey")).alias("path"),
+        F.concat(F.lit('x\ntoken = "'), value, F.lit('"; xoxb-'), value).alias("content"),
+    )
+    everything = _corpus(spark, sf).unionByName(talks).unionByName(long)
     return _flat(checks.run_checks(everything, SECRETS, "content")).filter(~F.col("passed")).select("path", "errors")
 
 
@@ -304,7 +310,8 @@ SELECT project, path, stage, stage_order::BIGINT AS stage_order, errors = '' AS
     "secrets_scan": _CORPUS_SQL + f""",
 everything AS (
   SELECT path, content FROM corpus UNION ALL SELECT 'c/' || conv_id || '/' || turn, text FROM conversations)
-SELECT path, {_SECRETS_SQL} AS errors FROM everything WHERE {_SECRETS_SQL} <> ''""",
+SELECT path, {_SECRETS_SQL} AS errors FROM everything WHERE {_SECRETS_SQL} <> ''
+UNION ALL SELECT 's/' || s_suppkey, 'Secret detected: Slack Token|Secret detected: Credential Assignment' FROM supplier""",
     "stage_gate": _SCORE_SQL + "SELECT run_id, project, path, stage, stage_order::BIGINT AS stage_order, passed, errors FROM stages",
     "test_results": _SCORE_SQL + """
 SELECT path, CASE WHEN ran THEN tests_ok ELSE known END AS passed,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from shiftwright.catalog import Rule
 from shiftwright.operators import diff, rewrite, state
-from shiftwright.plans.tables import ORDERS_SQL, PAGES_SQL, PARTS_SQL, order_files, pages, part_files
+from shiftwright.plans.tables import ORDERS_SQL, PAGES_SQL, PARTS_SQL, order_files, pages, part_files, read
 from shiftwright.sources import sinks
 
 
@@ -257,6 +257,37 @@ def rewrite_tags(spark, sf):
     )
 
 
+def _deep_content(key, *_):
+    return cat(F.repeat(F.lit("("), (F.length(key) * 20).cast("int")), key, F.repeat(F.lit(")"), (F.length(key) * 20).cast("int")))
+
+
+def rewrite_deep(spark, sf):
+    """One level of brackets goes in each pass; some files take over a hundred passes."""
+    rule = Rule("brackets", "Brackets", "simple", r"\(\((\d*)\)\)", "($1)")
+    files = read(spark, sf, "part").select(
+        F.lit("deep").alias("project"), F.concat(F.lit("p"), F.col("p_partkey")).alias("path"),
+        _deep_content(F.col("p_partkey").cast("string")).alias("content"),
+    )
+    return rewrite.apply_rules(files, [rule]).select(
+        "path", "after", F.array_join("applied", ",").alias("applied"), "success", "error"
+    )
+
+
+def _control_content(key, total, status):
+    """Every character that the rewrite uses as a mark, and the one it escapes with, in text and expression."""
+    return cat(
+        "\u0003", key, '<p *ngIf="a', by_status(status, "\u0001", "\u0004", "\u0005a"), '">\u0005e\u0001', total, "\u0004c\u0005</p>"
+    )
+
+
+def rewrite_control_characters(spark, sf):
+    return result(order_files(spark, sf, _control_content))
+
+
+_CONTROL_TEXT = """chr(3) || k || '@if (a' || CASE s WHEN 'F' THEN chr(1) WHEN 'O' THEN chr(4) ELSE chr(5) || 'a' END
+  || ') {' || chr(10) || '  <p>' || chr(5) || 'e' || chr(1) || t || chr(4) || 'c' || chr(5) || '</p>' || chr(10) || '}'"""
+
+
 def rewrite_callable(spark, sf):
     out = rewrite.map_rewrite(pages(spark, sf), lambda text: text.replace("<b>", "<strong>").replace("</b>", "</strong>"))
     return out.select("project", "path", "after", "was_modified", "error")
@@ -322,6 +353,8 @@ QUERIES = {
     "rewrite_left": rewrite_left,
     "rewrite_one_pattern": rewrite_one_pattern,
     "rewrite_tags": rewrite_tags,
+    "rewrite_deep": rewrite_deep,
+    "rewrite_control_characters": rewrite_control_characters,
     "rewrite_callable": rewrite_callable,
     "line_diff": line_diff,
     "diff_text": diff_text,
@@ -337,6 +370,10 @@ ORACLES = {
         "o", _CHAIN_TEXT,
         "CASE s WHEN 'F' THEN 'ngif_else,ngif_else,ngif_else' WHEN 'O' THEN 'ngif_else,ngif_else' ELSE '' END",
         error="CASE s WHEN 'P' THEN 'template reference cycle' END", modified="s <> 'P'"),
+    "rewrite_deep": """
+SELECT 'p' || p_partkey AS path, '(' || p_partkey || ')' AS after, 'brackets' AS applied, true AS success,
+       NULL::VARCHAR AS error FROM part""",
+    "rewrite_control_characters": f"WITH {ORDERS_SQL} " + expected("o", _CONTROL_TEXT, "'ngif_simple'"),
     "rewrite_for": f"WITH {PARTS_SQL} " + expected("p", _FOR_TEXT, "'ngfor_simple'"),
     "rewrite_for_locals": f"WITH {PARTS_SQL} " + expected("p", _LOCALS_TEXT, "'ngfor_trackby'", unresolved="1"),
     "rewrite_switch": f"WITH {ORDERS_SQL} " + expected(

@@ -1,4 +1,4 @@
-"""Session helpers: the shared folder, and broadcasts behind a size check."""
+"""Session helpers: the shared folder, and tables written to it."""
 
 from __future__ import annotations
 
@@ -6,9 +6,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-# Rows a table may have and still be sent whole to every executor.
+# Rows a table made from the catalogue may have and still be sent whole to every executor.
 BROADCAST_ROW_LIMIT = 20_000
 
 
@@ -40,14 +39,3 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     path = shared_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def broadcast_checked(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Hint a broadcast only if ``df`` has at most ``limit`` rows.
-
-    The count stops at ``limit + 1`` rows. A larger table comes back without
-    a hint, so that the join shuffles instead.
-    """
-    if df.limit(limit + 1).count() <= limit:
-        return F.broadcast(df)
-    return df

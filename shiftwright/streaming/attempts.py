@@ -25,27 +25,33 @@ def attempt_state(
     )
 
 
+def _chosen(late: str | None) -> str:
+    if late is None:
+        raise ValueError("say how late the rows of a stream may be")
+    return late
+
+
 def failure_windows(
-    attempts: DataFrame, at: str, length: str = "1 hour", slide: str | None = None, late: str = "10 minutes"
+    attempts: DataFrame, at: str, length: str = "1 hour", slide: str | None = None, late: str | None = None
 ) -> DataFrame:
     """Steps and failures per tumbling (or, with ``slide``, sliding) window of event time.
 
-    Rows later than ``late`` behind the newest one may be dropped by the stream.
+    A stream needs ``late``: rows further behind the newest one may be dropped, so the caller chooses.
     """
     timed = attempts.withColumn("_at", F.col(at).cast("timestamp"))
     if timed.isStreaming:
-        timed = timed.withWatermark("_at", late)
+        timed = timed.withWatermark("_at", _chosen(late))
     window = F.window("_at", length, slide) if slide else F.window("_at", length)
     return timed.groupBy(window.alias("_w")).agg(
         F.count(F.lit(1)).alias("steps"), F.count_if(~F.col("passed")).alias("failures")
     ).select(F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), "steps", "failures")
 
 
-def failure_sessions(attempts: DataFrame, keys: list, at: str, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
-    """Sessions of steps per key: runs of steps no further apart than ``gap``."""
+def failure_sessions(attempts: DataFrame, keys: list, at: str, gap: str = "30 minutes", late: str | None = None) -> DataFrame:
+    """Sessions of steps per key: runs of steps no further apart than ``gap``. A stream needs ``late``, as above."""
     timed = attempts.withColumn("_at", F.col(at).cast("timestamp"))
     if timed.isStreaming:
-        timed = timed.withWatermark("_at", late)
+        timed = timed.withWatermark("_at", _chosen(late))
     return timed.groupBy(*keys, F.session_window("_at", gap).alias("_w")).agg(
         F.count(F.lit(1)).alias("steps"), F.count_if(~F.col("passed")).alias("failures")
     ).select(*keys, F.col("_w.start").alias("session_start"), F.col("_w.end").alias("session_end"), "steps", "failures")

@@ -72,7 +72,6 @@ def test_ambiguous_is_skipped(corpus):
     ('<i *ngIf="x; else a">b</i><ng-template #a><b *ngIf="y; else a">q</b></ng-template>', "template reference cycle"),
     ('<i *ngIf="x; else a">b</i><br *ngIf="x; else a"><ng-template #a>1</ng-template>', "template shared with an element left as it is"),
     ('<a [ngSwitch]="x"><b [ngSwitch]="y"></b></a>', "switch inside a switch but outside its cases"),
-    ('<p *ngIf="a">\u0003</p>', "reserved control characters in text"),
 ])
 def test_errors_leave_the_file(corpus, text, error):
     row = one(corpus, text)
@@ -148,6 +147,12 @@ def test_one_shuffle(corpus):
     assert plan.count("Exchange hashpartitioning") - plan.count("ReusedExchange") == 1
 
 
+def test_control_characters_stay(corpus):
+    texts = {c: f'<p *ngIf="a{c}">x{c}e</p>' for c in "\u0001\u0003\u0004\u0005"}
+    for row in rewrite.rewrite_templates(corpus(texts)).collect():
+        assert row.after == f"@if (a{row.path}) {{\n  <p>x{row.path}e</p>\n}}" and row.before == texts[row.path]
+
+
 def test_plug_in_rules(corpus):
     from pyspark.sql import functions as F
 
@@ -160,7 +165,12 @@ def test_plug_in_rules(corpus):
     out = {r.path: r for r in rewrite.apply_rules(corpus({"a": "((((a)))) x q", "b": "none", "c": "g"}), rules, rounds=5).collect()}
     assert out["a"].after == "(a) y q" and out["a"].applied == ["nested", "upper"] and out["a"].skipped == ["look"]
     assert not out["b"].was_modified
-    assert out["c"].exhausted == ["grow"] and out["c"].after == "g" * 32
+    assert out["c"].exhausted == ["grow"] and out["c"].after == "g"
+    assert out["c"].error == "rules that do not settle: grow" and not out["c"].success and out["c"].applied == []
+    deep = {"d": "(" * 90 + "a" + ")" * 90, "c": "g" * 50}
+    out = {r.path: r for r in rewrite.apply_rules(corpus(deep), rules).collect()}
+    assert out["d"].after == "(a)" and out["d"].success
+    assert out["c"].after == "g" * 50 and not out["c"].success
 
 
 def test_callable_errors_stay_with_their_file(corpus):
