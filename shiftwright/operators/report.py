@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shiftwright import fixed_values as fixed
-from shiftwright.operators.scan import hash_part
 
 def _outcome(passed: Column) -> Column:
     return F.when(passed, "pass").when(~passed, "fail")
@@ -87,41 +86,25 @@ def live_counts(results: DataFrame) -> DataFrame:
     )
 
 
-def report_documents(
-    runs: DataFrame, records: DataFrame, totals: DataFrame, part_files: int = 10_000
-) -> DataFrame:
-    """Nested report rows, ready for the JSON sink.
+def report_documents(runs: DataFrame, records: DataFrame, totals: DataFrame) -> DataFrame:
+    """Report rows, ready for the JSON sink: one per file, and one per run with its summary.
 
-    ``runs`` has run_id, timestamp, project, framework, migration_type. A run
-    of up to ``part_files`` files is one row; a larger one has several parts
-    that share the summary, files going to parts by a hash of their path.
+    ``runs`` has run_id, timestamp, project, framework, migration_type. A row of a file has that file alone in ``files``
+    and no summary, and part 1; a row of a run has no files, and part 0. A run is never gathered in one row, whatever its size.
     """
-    parts = F.greatest(F.ceil(F.col("total_files") / part_files), F.lit(1))
-    header = runs.join(totals, "run_id").withColumn("_parts", parts)
     fields = [
         "file", "strategy", "confidence_score", "validation", "retry_count",
         "failure_category", "human_review_required", "trace_url",
     ]
-    # Completed files come first, each half by path.
-    grouped = (
-        records.join(header.select("run_id", "_parts"), "run_id")
-        .withColumn("part", hash_part(F.concat_ws("/", "project", "path"), F.col("_parts")))
-        .groupBy("run_id", "part")
-        .agg(
-            F.array_sort(
-                F.collect_list(F.struct("human_review_required", "project", "path", F.struct(*fields).alias("f")))
-            )["f"].alias("files")
-        )
-    )
+    head = ["run_id", "timestamp", "project", "framework", "migration_type"]
     summary = F.struct(
         *[F.col(c).cast("int").alias(c) for c in ("total_files", "auto_approved", "flagged_for_review")],
         "avg_confidence", "time_saved_estimate_hours",
     )
-    return header.join(grouped, "run_id", "left").select(
-        "run_id", "timestamp", "project", "framework", "migration_type",
-        F.coalesce("part", F.lit(0)).cast("int").alias("part"),
-        F.coalesce("files", F.array()).alias("files"),
-        summary.alias("summary"),
+    per_file = records.select("run_id", F.array(F.struct(*fields)).alias("files")).join(runs, "run_id")
+    per_run = runs.join(totals, "run_id").select(*head, F.lit(0).alias("part"), summary.alias("summary"))
+    return per_file.select(*head, F.lit(1).alias("part"), "files").unionByName(per_run, allowMissingColumns=True).withColumn(
+        "files", F.coalesce("files", F.array())
     )
 
 

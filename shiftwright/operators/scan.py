@@ -301,60 +301,33 @@ def first_applicable(matches: DataFrame, pattern_id: str | None = None) -> DataF
     return usable.groupBy(*FILE).agg(first.alias("m")).select(*FILE, "m.*")
 
 
-def scan_documents(
-    matches: DataFrame, files: DataFrame, framework: str, migration: str, part_files: int = 10_000
-) -> DataFrame:
-    """Scan results as nested JSON: one document per project and part.
+def scan_documents(matches: DataFrame, files: DataFrame, framework: str, migration: str) -> DataFrame:
+    """Scan results as JSON: one document per file with matches, and one summary per project, whose path is null.
 
-    Files go to parts by a hash of the path, so that no document outgrows a
-    task; a project of up to ``part_files`` files is one document. Totals are
-    those of the whole project.
+    The shape does not depend on how many files a project has, and a project is never gathered in one row. Totals are
+    counted within tasks first.
     """
-    per_file = (
-        matches.groupBy(*FILE)
-        .agg(
-            F.array_sort(
-                F.collect_list(
-                    F.struct("start", "rule_idx", F.struct(
-                        F.col("path").alias("file_path"), "line", "column", "pattern_id",
-                        "classification", "complexity", "snippet",
-                    ).alias("r"))
-                )
-            )["r"].alias("found")
+    head = (F.col("project").alias("project_path"), F.lit(migration).alias("migration_type"), F.lit(framework).alias("framework"))
+    found = F.array_sort(
+        F.collect_list(
+            F.struct("start", "rule_idx", F.struct(
+                F.col("path").alias("file_path"), "line", "column", "pattern_id",
+                "classification", "complexity", "snippet",
+            ).alias("r"))
         )
+    )["r"]
+    per_file = matches.groupBy(*FILE).agg(found.alias("results")).select(
+        "project", "path", F.to_json(F.struct(*head, "results")).alias("document")
     )
     totals = files.groupBy("project").agg(F.count(F.lit(1)).alias("total_files_scanned"))
     counts = matches.groupBy("project").agg(
         F.count(F.lit(1)).alias("total_patterns_found"),
         F.count_if(F.col("classification") == "deterministic").alias("deterministic_count"),
         F.count_if(F.col("classification") == "ambiguous").alias("ambiguous_count"),
-        F.count_distinct("path").alias("matched_files"),
     )
-    header = totals.join(counts, "project", "left").fillna(
-        0, ["total_patterns_found", "deterministic_count", "ambiguous_count", "matched_files"]
-    ).withColumn("parts", F.greatest(F.ceil(F.col("matched_files") / part_files), F.lit(1)))
-    parts = (
-        per_file.join(header.select("project", "parts"), "project")
-        .withColumn("part", hash_part(F.col("path"), F.col("parts")))
-        .groupBy("project", "part")
-        .agg(F.array_sort(F.collect_list(F.struct("path", "found")))["found"].alias("found"))
-        .select("project", "part", F.flatten("found").alias("results"))
-    )
-    document = F.to_json(
-        F.struct(
-            F.col("project").alias("project_path"),
-            F.lit(migration).alias("migration_type"),
-            F.lit(framework).alias("framework"),
-            "total_files_scanned", "total_patterns_found", "deterministic_count", "ambiguous_count",
-            F.coalesce("results", F.array()).alias("results"),
-        )
+    names = ["total_patterns_found", "deterministic_count", "ambiguous_count"]
+    summary = totals.join(counts, "project", "left").fillna(0, names).select(
+        "project", F.lit(None).cast("string").alias("path"),
+        F.to_json(F.struct(*head, "total_files_scanned", *names)).alias("document"),
     )
-    return header.join(parts, "project", "left").select(
-        "project", F.coalesce("part", F.lit(0).cast("bigint")).alias("part"), document.alias("document")
-    )
-
-
-def hash_part(key: Column, parts: Column) -> Column:
-    """A part number in [0, parts) that depends on the key alone."""
-    digits = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint")
-    return digits % parts
+    return per_file.unionByName(summary)

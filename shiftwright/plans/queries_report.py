@@ -14,7 +14,8 @@ from shiftwright.plans.queries_rewrite import _tagged, cat
 from shiftwright.plans.queries_rewrite import _DIFF_SQL
 from shiftwright.plans.tables import ORDERS_SQL, order_files, read
 from shiftwright.operators.diff import diff_text, line_diff
-from shiftwright.session import cut
+from shiftwright.session import cut, shared_path
+from shiftwright.sources import files, sinks
 
 
 def _results(spark, sf):
@@ -66,22 +67,24 @@ def report_markdown(spark, sf):
     )
 
 
-def report_documents(spark, sf):
-    """Stored reports, read back: one row per file and part."""
+def _stored(spark, sf):
+    """Reports written to the shared folder and read back."""
     results = _results(spark, sf)
-    documents = report.report_documents(_runs(spark, sf), _records(spark, sf, results), report.summaries(results), part_files=100)
-    return documents.select(
-        "run_id", F.col("part").cast("bigint").alias("part"), "summary.*", F.explode("files").alias("f")
-    ).select(
-        "run_id", "part", F.col("total_files").cast("bigint").alias("total_files"), "avg_confidence",
+    path = shared_path(spark, "reports")
+    sinks.write_reports(report.report_documents(_runs(spark, sf), _records(spark, sf, results), report.summaries(results)), path)
+    return files.read_reports(spark, path)
+
+
+def report_documents(spark, sf):
+    """Stored reports, read back: a row per file and a row per run."""
+    return _stored(spark, sf).select("run_id", "summary.total_files", "summary.avg_confidence", F.explode_outer("files").alias("f")).select(
+        "run_id", F.col("total_files").cast("bigint").alias("total_files"), "avg_confidence",
         F.col("f.file").alias("file"), F.col("f.validation.tests").alias("tests"), F.col("f.human_review_required").alias("review"),
     )
 
 
 def stored_report(spark, sf):
-    results = _results(spark, sf)
-    documents = report.report_documents(_runs(spark, sf), _records(spark, sf, results), report.summaries(results))
-    shown = report.stored_records(documents)
+    shown = report.stored_records(_stored(spark, sf))
     return shown.withColumn("retry_count", F.col("retry_count").cast("bigint"))
 
 
@@ -251,9 +254,9 @@ SELECT run_id, 2, CASE WHEN completed THEN '0/' ELSE '1/' END || project || '/'
 SELECT run_id, 4, '1/' || project || '/' || path, 0,
   '- `' || path || '` (confidence ' || {_SCORE_TEXT} || ', ' || category || ')' FROM r WHERE NOT completed""",
     "report_documents": _RESULTS_SQL + """
-SELECT run_id, ('0x' || substr(md5(r.project || '/' || path), 1, 8))::BIGINT % greatest(ceil(total_files / 100), 1)::BIGINT AS part,
-  total_files, avg_confidence, path AS file, NULL::VARCHAR AS tests, NOT completed AS review
-FROM r JOIN totals USING (run_id)""",
+SELECT run_id, NULL::BIGINT AS total_files, NULL::DOUBLE AS avg_confidence, path AS file, NULL::VARCHAR AS tests,
+  NOT completed AS review FROM r
+UNION ALL SELECT run_id, total_files, avg_confidence, NULL, NULL, NULL FROM totals""",
     "stored_report": _RESULTS_SQL + """
 SELECT run_id, path AS file, strategy, round_even(score, 1) AS confidence_score,
   (CASE WHEN completed THEN 0 ELSE 3 END)::BIGINT AS retry_count, CASE WHEN completed THEN 'Approved' ELSE 'Review' END AS status

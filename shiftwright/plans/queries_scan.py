@@ -228,7 +228,7 @@ def one_pattern(spark, sf):
 
 def scan_json(spark, sf):
     files = pages(spark, sf)
-    return scan.scan_documents(scan.find_matches(files, PAGE_RULES), files, "site", "cleanup", part_files=50)
+    return scan.scan_documents(scan.find_matches(files, PAGE_RULES), files, "site", "cleanup")
 
 
 QUERIES = {
@@ -328,21 +328,19 @@ QUALIFY row_number() OVER (PARTITION BY project, path ORDER BY start, rule_idx)
 totals AS (SELECT project, count(*) AS total_files_scanned FROM pages_corpus GROUP BY project),
 counts AS (
   SELECT project, count(*) AS n, count(*) FILTER (classification = 'deterministic') AS det,
-         count(*) FILTER (classification = 'ambiguous') AS amb, count(DISTINCT path) AS matched
+         count(*) FILTER (classification = 'ambiguous') AS amb
   FROM matches GROUP BY project),
-header AS (
-  SELECT project, total_files_scanned, coalesce(n, 0) AS n, coalesce(det, 0) AS det, coalesce(amb, 0) AS amb,
-         greatest(ceil(coalesce(matched, 0) / 50), 1)::BIGINT AS parts
-  FROM totals LEFT JOIN counts USING (project)),
-parts AS (
-  SELECT project, ('0x' || substr(md5(path), 1, 8))::BIGINT % parts AS part,
+per_file AS (
+  SELECT project, path,
     list({'file_path': path, 'line': line, 'column': "column", 'pattern_id': pattern_id,
           'classification': classification, 'complexity': complexity, 'snippet': snippet}
-         ORDER BY path, start, rule_idx) AS results
-  FROM matches JOIN header USING (project) GROUP BY ALL)
-SELECT project, coalesce(part, 0) AS part,
-  to_json({'project_path': project, 'migration_type': 'cleanup', 'framework': 'site',
-    'total_files_scanned': total_files_scanned, 'total_patterns_found': n, 'deterministic_count': det,
-    'ambiguous_count': amb, 'results': coalesce(results, [])})::VARCHAR AS document
-FROM header LEFT JOIN parts USING (project)""",
+         ORDER BY start, rule_idx) AS results
+  FROM matches GROUP BY project, path)
+SELECT project, path, to_json({'project_path': project, 'migration_type': 'cleanup', 'framework': 'site',
+    'results': results})::VARCHAR AS document FROM per_file
+UNION ALL
+SELECT project, NULL, to_json({'project_path': project, 'migration_type': 'cleanup', 'framework': 'site',
+    'total_files_scanned': total_files_scanned, 'total_patterns_found': coalesce(n, 0),
+    'deterministic_count': coalesce(det, 0), 'ambiguous_count': coalesce(amb, 0)})::VARCHAR
+FROM totals LEFT JOIN counts USING (project)""",
 }

@@ -84,8 +84,8 @@ def test_report_round_trip(spark, tables, tmp_path):
         [("run_1", "2026-01-01T00:00:00", "/p", "angular", "control_flow")],
         "run_id string, timestamp string, project string, framework string, migration_type string",
     )
-    documents = report.report_documents(runs, tables["records"], tables["summary"], part_files=2)
-    assert documents.count() > 1
+    documents = report.report_documents(runs, tables["records"], tables["summary"])
+    assert documents.count() == 5
     sinks.write_reports(documents, f"{tmp_path}/reports")
     stored = sources.read_reports(spark, f"{tmp_path}/reports")
     assert {r.file for r in report.stored_records(stored).collect()} == {"simple.html", "amb.html", "secret.html", "orphan.html"}
