@@ -31,7 +31,7 @@ EDITS, MIN_FUZZY_CHARS = 1, 5
 FUZZY_FACTOR = 0.8
 WINDOW_WORDS = 8
 QUOTED_FACTOR, ADDRESS_FACTOR = 0.35, 1.15
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 
 # Words that report speech, and words of address.
 REPORTING = frozenset((
@@ -242,7 +242,8 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
                 ["toxic", "copy", "words"],
             )
 
-    once = sample.mapInArrow(rows, "toxic int, copy binary, words array<string>").dropDuplicates(["toxic", "copy"]).persist()
+    once = sample.mapInArrow(rows, "toxic int, copy binary, words array<string>").dropDuplicates(["toxic", "copy"])
+    once = cut(once.select("toxic", "words"), "toxicity-words")
     sizes = {r["toxic"]: r["n"] for r in once.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic_all, clean_all = max(1, sizes.get(1, 0)), max(1, sizes.get(0, 0))
     t, c = F.col("t"), F.col("c")
@@ -252,10 +253,11 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
         return F.when(count > 0, count * F.log(count / ((t + c) * F.lit(expected)))).otherwise(F.lit(0.0))
 
     ratio = ((t + 0.5) / (toxic_all + 1)) / ((c + 0.5) / (clean_all + 1))
-    counted = (
+    counted = cut(
         once.select("toxic", F.explode("words").alias("word"))
         .groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
-        .withColumn("evidence", 2 * (part(t, share) + part(c, 1 - share))).withColumn("ratio", ratio)
+        .withColumn("evidence", 2 * (part(t, share) + part(c, 1 - share))).withColumn("ratio", ratio),
+        "toxicity-counts",
     )
     terms = counted.where((F.col("evidence") >= MIN_EVIDENCE) & (F.col("ratio") >= MIN_RATIO) & (F.length("word") >= 3))
     weights = {
@@ -273,7 +275,6 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
     if weights:
         seen = counted.where((c > 0) & (F.col("ratio") < MIN_RATIO)).select("word").mapInArrow(clean_forms, "word string")
         lexicon.clean = frozenset(r["word"] for r in seen.collect())
-    once.unpersist()
     return lexicon
 
 
