@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 
 import check_queries
 import public_tokenizers
-from shiftwright.llm import html_text, ngram_join, queries, toxicity
+from shiftwright.llm import html_text, lm, ngram_join, queries, toxicity
 from shiftwright.llm.components import components
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -70,6 +70,33 @@ def test_lm_beats_its_base_on_held_out_texts(spark):
     assert np.mean([r.score > r.base_score for r in rows]) >= 0.8
 
 
+def test_lm_sums_both_ways_of_every_word(spark, monkeypatch):
+    texts = {k: f"the frequent words of text number{k % 3} are unbelievably spelled again " * (k % 4 + 1) for k in range(12)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    fitted, fit = [], lm.fit
+
+    def kept(sample, counts, subwords, head):
+        net = fit(sample, counts, subwords, head)
+        # So little text leaves the subwords' shares thin; make both ways weigh.
+        net.whole, net.emit = 0.2, np.full_like(net.emit, 0.02)
+        fitted.append((subwords, net))
+        return net
+
+    monkeypatch.setattr(lm, "fit", kept)
+    found = {r.doc_id: r.score for r in lm.scored(docs, docs, public_tokenizers.path("word_bpe_49k.json")).collect()}
+    cutter, net = fitted[0]
+    for k, text in texts.items():
+        own = cutter.ids(lm.words_of(text))
+        assert (own[2] >= 0).all()
+        x, y, whole, places, _ = lm.windows([own], cutter.start, cutter.end)
+        mix, kind = net.forward(x, whole >= 0)
+        each = np.einsum("wsc,wsc->ws", mix, net.emit[np.maximum(y, 0)])
+        each[y < 0] = 1
+        spelled = 0.5 * (1 - net.whole) * np.multiply.reduceat(each.ravel().astype(float), places)
+        direct = np.append(net.whole * np.einsum("nk,nk->n", kind, net.words[whole[whole >= 0]]), 0)
+        assert found[k] == pytest.approx(np.log10(spelled + direct).sum(), rel=1e-4)
+
+
 def test_html_labels_of_pages_not_trained_on(spark):
     pages = spark.read.parquet(f"{MIDDLE}/pages.parquet")
     labeller = html_text.fit(pages, training_pages=80)
