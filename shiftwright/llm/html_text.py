@@ -53,6 +53,8 @@ OTHER_NAMES = frozenset((
 _TAG = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S
 )
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I | re.A) for name in RAW}
+_SCRIPT_MARK = re.compile(r"(<!(?=--))|(-->)|<(/?)script(?=[\s/>])", re.I | re.A)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _CUT_OFF = re.compile(r"<[/!?a-zA-Z][^<>]*\Z")
 _NAME = re.compile(r"[^\s_-]+(?:-[^\s_-]+)*|[^\s_-]+")
@@ -79,6 +81,29 @@ def _names(attributes: str) -> tuple[str, ...]:
     return tuple(x for x in found if x)
 
 
+def _raw_end(name: str, page: str, at: int) -> int:
+    """Where the closing tag of a raw element begins, or the end of the page. Nothing else in it is a tag or a comment.
+
+    In a script, what looks like a comment may hold a script element, whose closing tag does not count.
+    """
+    if name != "script":
+        found = _RAW_END[name].search(page, at)
+        return found.start() if found else len(page)
+    escaped = inner = False
+    for match in _SCRIPT_MARK.finditer(page, at):
+        if match[1]:
+            escaped = True
+        elif match[2]:
+            escaped = inner = False
+        elif not match[3]:
+            inner = inner or escaped
+        elif inner:
+            inner = False
+        else:
+            return match.start()
+    return len(page)
+
+
 def blocks_of(page: str | None) -> list[Block]:
     """Leaf blocks with text, in page order. Character references are decoded; white space becomes one blank."""
     if not page:
@@ -88,7 +113,6 @@ def blocks_of(page: str | None) -> list[Block]:
     stack: list[Element] = []
     parts: list[str] = []
     linked, hidden, at, path = 0, 0, 0, ()
-    skip_to: str | None = None
 
     def flush() -> None:
         nonlocal linked
@@ -116,13 +140,8 @@ def blocks_of(page: str | None) -> list[Block]:
             if any(name == "a" for name, _ in stack):
                 linked += len(text)
 
-    for match in _TAG.finditer(page):
-        if skip_to:
-            if (match[2] or match[5] or "").lower() != skip_to or not (match[1] or match[4]):
-                continue
-            skip_to = None
-        else:
-            add(page[at : match.start()])
+    while match := _TAG.search(page, at):
+        add(page[at : match.start()])
         at = match.end()
         name = (match[2] or match[5] or "").lower()
         if not name:
@@ -156,9 +175,8 @@ def blocks_of(page: str | None) -> list[Block]:
         stack.append((name, _names(attributes) if attributes and name in BLOCK else ()))
         hidden += name in UNSEEN
         if name in RAW:
-            skip_to = name
-    if not skip_to:
-        add(page[at:])
+            at = _raw_end(name, page, at)
+    add(page[at:])
     flush()
     return out
 

@@ -107,6 +107,15 @@ def test_html_labels_of_pages_not_trained_on(spark):
     assert wrong <= 0.005 * sum(map(len, cut))
 
 
+@pytest.mark.parametrize("raw", [
+    "<script>for(i=0;i<n;i++){x()}</script>", '<script>var s="<!-- x"</script>', "<SCRIPT>a<b</Script >", "<style>a<b{}</style/>",
+    "<script>if(a<b && '</scripts>')</script>", "<title>a <b</title>", "<textarea><!-- x</textarea>",
+    "<script><!-- <script>a<b</script> x<y --></script>", "<script><!--> <script> </script>",
+])
+def test_raw_elements_end_at_their_closing_tag(raw):
+    assert [b.text for b in html_text.blocks_of(f"<p>one</p>{raw}<p>two</p>")] == ["one", "two"]
+
+
 def test_misspelled_and_quoted_terms():
     lexicon = toxicity.Lexicon({"idiot": 3.0, "worthless": 3.0}, frozenset({"idiom"}))
     finds = {w: lexicon.look_up(w) for w in ("idiot", "idiots", "1diot", "idiooot", "worthles", "idiom", "trees", "idi")}
