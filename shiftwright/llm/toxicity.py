@@ -27,7 +27,7 @@ TOXIC_DOCS, CLEAN_DOCS = 4_000, 8_000
 MAX_TERMS = 2_000
 # A term's evidence (a likelihood ratio statistic) and how much more frequent it must be in toxic documents.
 MIN_EVIDENCE, MIN_RATIO = 24.0, 6.0
-EDITS, MIN_FUZZY_CHARS = 1, 5
+EDITS = 1
 FUZZY_FACTOR = 0.8
 WINDOW_WORDS = 8
 QUOTED_FACTOR, ADDRESS_FACTOR = 0.35, 1.15
@@ -61,10 +61,11 @@ def build_trie(terms) -> dict:
     return root
 
 
-def automaton_matches(word: str, trie: dict, edits: int) -> list[tuple[str, int]]:
-    """Terms of the trie within so many edits of the word, and how many it takes.
+def automaton_matches(word: str, trie: dict, edits: int, swaps: bool = False) -> list[tuple[str, int]]:
+    """Terms of the trie within so many edits of the word, and how many it takes; two swapped letters may be one edit.
 
-    State sets are bit masks over positions of the word, one for each number of edits so far.
+    State sets are bit masks over positions of the word, one for each number of edits so far. Others hold the positions
+    from which the second letter of a swap has been read.
     """
     masks: dict[str, int] = {}
     for i, letter in enumerate(word):
@@ -72,9 +73,9 @@ def automaton_matches(word: str, trie: dict, edits: int) -> list[tuple[str, int]
     full = 1 << len(word)
     start = [(1 << (e + 1)) - 1 for e in range(edits + 1)]
     found: list[tuple[str, int]] = []
-    stack = [(trie, start)]
+    stack = [(trie, start, [0] * (edits + 1))]
     while stack:
-        node, states = stack.pop()
+        node, states, half = stack.pop()
         for letter, child in node.items():
             if letter == "":
                 used = next((e for e, s in enumerate(states) if s & full), None)
@@ -82,15 +83,18 @@ def automaton_matches(word: str, trie: dict, edits: int) -> list[tuple[str, int]
                     found.append((child, used))
                 continue
             mask = masks.get(letter, 0)
-            after = []
+            after, begun = [], [0] * (edits + 1)
             for e, state in enumerate(states):
                 now = (state & mask) << 1
                 if e:
                     # An inserted, a replaced, and a left-out letter.
                     now |= states[e - 1] | states[e - 1] << 1 | after[e - 1] << 1
+                    if swaps:
+                        now |= (half[e] & mask) << 2
+                        begun[e] = states[e - 1] & mask >> 1
                 after.append(now & (2 * full - 1))
-            if any(after):
-                stack.append((child, after))
+            if any(after) or any(begun):
+                stack.append((child, after, begun))
     return sorted(found, key=lambda x: (x[1], x[0]))
 
 
@@ -105,17 +109,25 @@ class Lexicon:
     _trie: dict | None = None
 
     def _prepare(self) -> None:
-        fuzzy = [t for t in self.weights if len(t) >= MIN_FUZZY_CHARS]
-        self._trie = build_trie(fuzzy)
-        self._heads = {t[: len(t) // 2] for t in fuzzy}
-        self._tails = {t[len(t) // 2 :] for t in fuzzy}
-        self._lengths = sorted({len(x) for x in self._heads | self._tails})
+        self._trie = build_trie(self.weights)
+        # Halves by the length of their term, and terms whose two letters in the middle are swapped.
+        self._heads, self._tails, self._swapped = {}, {}, set()
+        for t in self.weights:
+            at = len(t) // 2
+            self._heads.setdefault(len(t), set()).add(t[:at])
+            self._tails.setdefault(len(t), set()).add(t[at:])
+            self._swapped.add(t[: max(0, at - 1)] + t[at : at + 1] + t[max(0, at - 1) : at] + t[at + 1 :])
 
     def _near(self, word: str) -> bool:
-        """With one edit, a half of the term stands at its end of the word."""
-        if self.edits != 1:
+        """With one edit, a half of the term stands at its end of the word, unless the edit swaps letters of both."""
+        if self.edits != 1 or word in self._swapped:
             return True
-        return any(word[:n] in self._heads or word[-n:] in self._tails for n in self._lengths if n <= len(word))
+        size = len(word)
+        for n in (size - 1, size, size + 1):
+            if n in self._heads:
+                if word[: n // 2] in self._heads[n] or word[max(0, size - (n - n // 2)) :] in self._tails[n]:
+                    return True
+        return False
 
     def look_up(self, word: str) -> tuple | None:
         """(term, edits, weight) of the best term for the word, or None."""
@@ -130,15 +142,16 @@ class Lexicon:
             found = (word, 0, self.weights[word])
         elif word not in self.clean:
             plain = word if word.isalpha() else word.translate(_LEET)
-            if plain in self.weights and plain != word:
-                found = (plain, 1, FUZZY_FACTOR * self.weights[plain])
-            else:
-                for form in dict.fromkeys((plain, _RUN.sub(r"\1", plain))):
-                    if found is None and len(form) >= MIN_FUZZY_CHARS - 1 and self._near(form):
-                        terms = automaton_matches(form, self._trie, self.edits)
-                        if terms:
-                            term, edits = max(terms, key=lambda t: (-t[1], self.weights[t[0]], t[0]))
-                            found = (term, edits, FUZZY_FACTOR * self.weights[term])
+            forms = dict.fromkeys((plain, _RUN.sub(r"\1", plain)))
+            term = next((f for f in forms if f in self.weights), None)
+            if term:
+                found = (term, 1, FUZZY_FACTOR * self.weights[term])
+            for form in forms:
+                if found is None and form not in self.clean and self._near(form):
+                    terms = automaton_matches(form, self._trie, self.edits, swaps=True)
+                    if terms:
+                        term, edits = max(terms, key=lambda t: (-t[1], self.weights[t[0]], t[0]))
+                        found = (term, edits, FUZZY_FACTOR * self.weights[term])
         self._known[word] = found
         return found
 

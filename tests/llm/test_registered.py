@@ -126,6 +126,37 @@ def test_misspelled_and_quoted_terms():
     assert quoted["quoted"] and quoted["weight"] < plain["weight"]
 
 
+def test_short_terms_runs_and_swapped_letters():
+    lexicon = toxicity.Lexicon(dict.fromkeys(("scum", "kys", "idiot", "stupid"), 3.0), frozenset({"key", "slum"}))
+    for term, words in {"scum": "scvm scumm scuuum scm sucm csum", "kys": "kyys", "idiot": "idoit", "stupid": "stupdi stpuid"}.items():
+        for word in words.split():
+            assert lexicon.look_up(word)[:2] == (term, 1)
+    assert [lexicon.look_up(w) for w in ("key", "keeeey", "slum", "tree")] == [None] * 4
+
+
+def test_look_up_equals_edit_distance_with_swaps():
+    def distance(a, b):
+        d = {(i, j): i + j for i in range(len(a) + 1) for j in range(len(b) + 1) if not i * j}
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+        return d[len(a), len(b)]
+
+    rng = np.random.default_rng(2)
+    words = ["".join(rng.choice(list("abcd"), int(rng.integers(3, 8)))) for _ in range(150)]
+    terms = sorted(set(words[:20]))
+    trie, lexicon = toxicity.build_trie(terms), toxicity.Lexicon(dict.fromkeys(terms, 1.0))
+    for word in words:
+        for edits in (1, 2):
+            assert dict(toxicity.automaton_matches(word, trie, edits, swaps=True)) == {
+                t: distance(word, t) for t in terms if distance(word, t) <= edits
+            }
+        if not toxicity._RUN.search(word):
+            assert (lexicon.look_up(word) is not None) == any(distance(word, t) <= 1 for t in terms)
+
+
 def test_automaton_equals_edit_distance():
     def distance(a, b):
         row = list(range(len(b) + 1))
