@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftwright.llm import ann, bpe, decontamination, html_text, language, line_dedup, lm, ngram_join, toxicity, warc
+from shiftwright.llm import ann, bpe, decontamination, html_text, language, line_dedup, lm, ngram_join, packing, toxicity, warc
 from shiftwright.llm.common import crc_remainder, small_batches, table
 
 
@@ -201,6 +201,16 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM doc_words LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+
+
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents cut and packed into sequences of 2,048 token ids."""
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=1, with_ids=False)
+    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_bpe": op2_bpe,
@@ -212,6 +222,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_language": op9_language,
     "op10_decontamination": op10_decontamination,
+    "op11_packing": op11_packing,
 }
 ORACLES = {
     "op3_neighbours": OP3_SQL,
