@@ -20,6 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared storage that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def passed(rows: DataFrame, *results: str) -> list[Column]:
     """The columns that pass through: all but those whose names results take."""
     return [F.col(f"`{c}`") for c in rows.columns if c not in results]

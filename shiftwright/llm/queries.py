@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftwright.llm import ann, bpe, decontamination, html_text, language, line_dedup, lm, ngram_join, packing, toxicity, warc
+from shiftwright.llm import ann, bpe, clustering, decontamination, html_text, language, line_dedup, lm, ngram_join, packing, toxicity, warc
 from shiftwright.llm.common import crc_remainder, small_batches, table
 
 
@@ -211,6 +211,46 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op12_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight clusters of the vectors in whole numbers, after ten rounds."""
+    small_batches(spark)
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    out = clustering.cluster(vectors, k=8, rounds=10, dim=64, scale=1024, seed="3:")
+    digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
+def op12_sql(k: int = 8, rounds: int = 10) -> str:
+    """Every round is an assignment by distances to all centroids and a mean."""
+    steps = [f"""
+v AS MATERIALIZED (
+  SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS r,
+         list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+e AS MATERIALIZED (SELECT r, unnest(x) AS x, unnest(range(1, 65)) AS i FROM v),
+c0 AS MATERIALIZED (
+  SELECT c, unnest(x) AS x, unnest(range(1, 65)) AS i FROM (
+    SELECT x, row_number() OVER (ORDER BY sha256('3:' || vec_id), x) - 1 AS c FROM v) WHERE c < {k})"""]
+    for n in range(rounds + 1):
+        steps.append(f"""
+d{n} AS (SELECT r, c, sum((e.x - k.x) * (e.x - k.x)) AS d FROM e JOIN c{n} k USING (i) GROUP BY r, c),
+a{n} AS MATERIALIZED (
+  SELECT r, c, d FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY d, c) AS p FROM d{n}) WHERE p = 1)""")
+        if n < rounds:
+            steps.append(f"""
+m{n} AS (SELECT c, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM e JOIN a{n} USING (r) GROUP BY c, i),
+c{n + 1} AS MATERIALIZED (
+  SELECT c, i, coalesce(s // n - CASE WHEN s % n < 0 THEN 1 ELSE 0 END, x) AS x FROM c{n} LEFT JOIN m{n} USING (c, i))""")
+    return "WITH " + ",".join(steps) + f""",
+h AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS h FROM c{rounds} GROUP BY c)
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance,
+       CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+       h AS centroid_sha256
+FROM a{rounds} JOIN v USING (r) JOIN h USING (c)
+"""
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_bpe": op2_bpe,
@@ -223,6 +263,7 @@ QUERIES = {
     "op9_language": op9_language,
     "op10_decontamination": op10_decontamination,
     "op11_packing": op11_packing,
+    "op12_clustering": op12_clustering,
 }
 ORACLES = {
     "op3_neighbours": OP3_SQL,
@@ -230,4 +271,5 @@ ORACLES = {
     "op7_ngram_join": OP7_SQL,
     "op8_warc": OP8_SQL,
     "op10_decontamination": OP10_SQL,
+    "op12_clustering": op12_sql(),
 }
