@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftwright.llm import ann, bpe, clustering, decontamination, html_text, language, line_dedup, lm, ngram_join, packing, toxicity, warc
+from shiftwright.llm import ann, bpe, clustering, decontamination, html_text, language, line_dedup, lm, ngram_join, packing, toxicity, warc, whitening
 from shiftwright.llm.common import crc_remainder, small_batches, table
 
 
@@ -251,6 +251,16 @@ FROM a{rounds} JOIN v USING (r) JOIN h USING (c)
 """
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the eight leading components, with variance 1 on each."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    out = whitening.whiten(vectors, components=8, scale=1024, offset=100_000)
+    return out.select(
+        "vec_id", "component", "n", F.col("deviation").try_cast("long").alias("deviation"), "whitened", "explained",
+        "identity_error",
+    )
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_bpe": op2_bpe,
@@ -264,6 +274,7 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
     "op11_packing": op11_packing,
     "op12_clustering": op12_clustering,
+    "op13_whitening": op13_whitening,
 }
 ORACLES = {
     "op3_neighbours": OP3_SQL,
