@@ -25,7 +25,7 @@ SCALE, OFFSET, COMPONENTS = 1024, 100_000, 8
 # Larger components count as these.
 LIMIT = 1 << 42
 # Nodes of the quadrature on the half circle, eigenvalues that an interval may hold, rounds of an interval.
-NODES, INTERVAL, ROUNDS = 12, 4, 40
+NODES, INTERVAL, ROUNDS = 12, 4, 64
 # Relative to the norm of the matrix: residuals of eigenpairs, widths below which intervals are not cut any more.
 RESIDUAL, NARROW = 2e-15, 1e-12
 
@@ -90,7 +90,7 @@ def contour(matrix: np.ndarray, low: float, top: float, count: int, norm: float,
     basis = rng.normal(size=(n, size))
     eye = np.eye(n)
     values, vectors, inside = np.zeros(0), np.zeros((n, 0)), np.zeros(0, bool)
-    for _ in range(ROUNDS):
+    for turn in range(ROUNDS):
         projected = np.zeros((n, basis.shape[1]))
         for at, w in zip(np.exp(1j * angle), weight, strict=True):
             solved = np.linalg.solve((centre + radius * at) * eye - matrix, basis.astype(complex))
@@ -102,7 +102,11 @@ def contour(matrix: np.ndarray, low: float, top: float, count: int, norm: float,
         inside = (values > low) & (values <= top) & (residual <= max(n, 8) * RESIDUAL * norm)
         if inside.sum() == count:
             return values[inside], vectors[:, inside]
-        basis = vectors if basis.shape[1] >= min(n, count + 2) else rng.normal(size=(n, size))
+        basis = vectors
+        if turn % 8 == 7:
+            # Eigenvalues next to the interval take part of the basis: widen it.
+            size = min(n, 2 * size)
+            basis = rng.normal(size=(n, size))
     raise ArithmeticError(f"{int(inside.sum())} of {count} eigenvalues found between {low} and {top}")
 
 
