@@ -68,7 +68,9 @@ def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(crc_remainder(F.col("doc_id"), 7) == 2, F.lit(False))
     out = lm.scored(docs, docs.where(~held_out), public_tokenizers.path(VOCABULARY))
-    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return out.select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "seen_score"
+    )
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

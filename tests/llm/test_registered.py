@@ -1,6 +1,8 @@
 """The registered queries at a small scale: against their SQL, or against brute force and held-out accuracy."""
 
 import os
+import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -66,35 +68,86 @@ def test_toxicity_held_out(spark):
 
 
 def test_lm_beats_its_base_on_held_out_texts(spark):
+    # Like with like: the base has one class for all words never seen, whatever their spelling.
     rows = [r for r in queries.op5_lm(spark, MIDDLE).collect() if r.held_out]
-    assert np.mean([r.score > r.base_score for r in rows]) >= 0.8
+    assert np.mean([r.seen_score > r.base_score for r in rows]) >= 0.8
+    assert all(r.score <= r.seen_score + 1e-3 * r.n_tokens for r in rows if r.n_known < r.n_tokens - 5)
+
+
+LM_SQL = r"""
+WITH w AS (
+  SELECT doc_id, crc32 = 2 AS held_out, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents JOIN folds USING (doc_id)),
+t AS (SELECT doc_id, held_out, unnest(list_append(w, chr(10))) AS token FROM w),
+c AS (SELECT token, count(*) AS c FROM t WHERE NOT held_out GROUP BY token),
+n AS (SELECT CAST(sum(c) AS BIGINT) AS n, count(*) AS v FROM c)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, any_value(n.n) AS train_tokens,
+       sum(log10((coalesce(c, 0) + 1) / (n.n + 1 * (n.v + 1)))) AS base_score
+FROM t LEFT JOIN c USING (token), n GROUP BY doc_id, held_out
+"""
+
+
+def test_lm_columns_equal_sql(spark, con):
+    import pandas as pd
+
+    rows = {r.doc_id: r for r in queries.op5_lm(spark, SMALL).collect()}
+    folds = pd.DataFrame({"doc_id": list(rows), "crc32": [zlib.crc32(str(k).encode()) % 7 for k in rows]})
+    con.register("folds", folds)
+    found = con.execute(LM_SQL).fetchall()
+    assert len(found) == len(rows)
+    for doc, held_out, tokens, known, trained, base in found:
+        r = rows[doc]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held_out, tokens, known, trained)
+        assert r.base_score == pytest.approx(base, rel=1e-9)
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    by_text = {}
+    for k, r in rows.items():
+        by_text.setdefault(texts[k], set()).add((r.score, r.base_score))
+    assert all(len(x) == 1 for x in by_text.values())
 
 
-def test_lm_sums_both_ways_of_every_word(spark, monkeypatch):
+def test_lm_sums_all_ways_of_every_word(spark, monkeypatch):
+    """Against the network's own forward pass: words with a whole form, rare ones, and words never seen."""
     texts = {k: f"the frequent words of text number{k % 3} are unbelievably spelled again " * (k % 4 + 1) for k in range(12)}
-    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    texts |= {12: "rareword the otherrare", 13: "the rareword", 14: ""}
+    asked = texts | {15: "the unseenword rareword", 16: "q" * 5, 17: "q" * 400, 18: None}
     fitted, fit = [], lm.fit
 
-    def kept(sample, counts, subwords, head):
-        net = fit(sample, counts, subwords, head)
-        # So little text leaves the subwords' shares thin; make both ways weigh.
-        net.whole, net.emit = 0.2, np.full_like(net.emit, 0.02)
+    def kept(sample, rare, subwords, *more):
+        net = fit(sample, rare, subwords, *more)
+        # So little text leaves the subwords' shares thin; make all ways weigh.
+        net.ways, net.emit = (0.2, 0.4, 0.4), np.full_like(net.emit, 0.02)
         fitted.append((subwords, net))
         return net
 
     monkeypatch.setattr(lm, "fit", kept)
-    found = {r.doc_id: r.score for r in lm.scored(docs, docs, public_tokenizers.path("word_bpe_49k.json")).collect()}
+    monkeypatch.setattr(lm, "HEAD_SHARE", 0.02)
+    table = [spark.createDataFrame(list(x.items()), "doc_id long, text string") for x in (asked, texts)]
+    found = {r.doc_id: r.score for r in lm.scored(*table, public_tokenizers.path("word_bpe_49k.json")).collect()}
     cutter, net = fitted[0]
-    for k, text in texts.items():
-        own = cutter.ids(lm.words_of(text))
-        assert (own[2] >= 0).all()
-        x, y, whole, places, _ = lm.windows([own], cutter.start, cutter.end)
+    counts = Counter(w for t in texts.values() for w in [*lm.words_of(t), lm.END])
+    total = sum(counts.values())
+    head = {w for w, n in counts.items() if n >= max(1, 0.02 * total)}
+    assert b"rareword" not in head and lm.END in head
+    others = sum(n for w, n in counts.items() if w not in head)
+    for k, text in asked.items():
+        words = lm.words_of(text)
+        own = cutter.ids(words)
+        assert [p >= 0 for p in own[2]] == [w in head for w in words]
+        x, y, whole, places, _ = lm.windows([own], cutter.start, cutter.end, cutter.whole_end)
         mix, kind = net.forward(x, whole >= 0)
         each = np.einsum("wsc,wsc->ws", mix, net.emit[np.maximum(y, 0)])
         each[y < 0] = 1
-        spelled = 0.5 * (1 - net.whole) * np.multiply.reduceat(each.ravel().astype(float), places)
-        direct = np.append(net.whole * np.einsum("nk,nk->n", kind, net.words[whole[whole >= 0]]), 0)
-        assert found[k] == pytest.approx(np.log10(spelled + direct).sum(), rel=1e-4)
+        spelled = np.add.reduceat(np.log10(each.ravel().astype(float)), places)
+        direct = iter(np.einsum("nk,nk->n", kind, net.words[whole[whole >= 0]]))
+        score = 0
+        for word, log in zip([*words, lm.END], spelled):
+            more = 0.2 * next(direct) if word in head else 0.4 * counts[word] / others
+            score += np.log10(0.4 * 10**log + more) if more else np.log10(0.4) + log
+        assert found[k] == pytest.approx(score, rel=1e-4)
+    assert found[17] < 20 * found[16] < 0  # what was never seen costs as much as its spelling
+    assert found[14] == found[18]
 
 
 def test_html_labels_of_pages_not_trained_on(spark):
