@@ -762,71 +762,120 @@ def render(edited: DataFrame) -> DataFrame:
 # -- plug-in rules -------------------------------------------------------------------
 
 
+# Passes that nearly all rules settle in; only texts that have not go on.
+FEW_PASSES = 4
+# A rule whose matches become more in so many passes in a row does not settle.
+GROWING_PASSES = 8
+
+
 def apply_rules(files: DataFrame, rules: list, rounds: int | None = None) -> DataFrame:
     """Apply plug-in rules whose rewrite is a replacement text or a Column function.
 
     Every rule is repeated within the row until it changes nothing more. ``rounds`` bounds the passes; without it a
-    rule may take as many as the text has characters, and two. A file with a rule that has not settled by then, or made
-    the text more than 16 times as long, keeps its text and gets an error; ``exhausted`` lists such rules.
+    rule may take as many as the text has characters, and two. It ends early when a text comes again or when its matches
+    become more in eight passes in a row. A file with a rule that has not settled keeps its text and gets an error;
+    ``exhausted`` lists such rules.
     """
     from shiftwright.catalog import ELEMENT_EDIT
 
     usable = [r for r in rules if r.rewrite is not None and r.rewrite != ELEMENT_EDIT]
-    out = files.withColumn("before", normalize_newlines(F.col("content"))).withColumn(
-        "after", F.col("before")
-    )
-    flags, left = [], []
-    for i, rule in enumerate(usable):
-        out = out.withColumn("_next", _repeated(F.col("after"), rule, rounds)).withColumns({
-            f"_changed{i}": ~F.col("_next.text").eqNullSafe(F.col("after")),
-            f"_open{i}": ~F.coalesce(F.col("_next.done"), F.lit(True)),
-            "after": F.col("_next.text"),
-        })
-        flags.append(F.when(F.col(f"_changed{i}"), F.lit(rule.pattern_id)))
-        left.append(F.when(F.col(f"_open{i}"), F.lit(rule.pattern_id)))
+    none = F.array().cast("array<string>")
+    out = files.select(
+        *FILE, normalize_newlines(F.col("content")).alias("before"), none.alias("_applied"), none.alias("_open"),
+    ).withColumn("_text", F.col("before"))
+    kept = [*FILE, "before", "_applied", "_open"]
+    for rule in usable:
+        # One-row inlines: what they compute is not repeated where it is used.
+        few = out.select(*kept, F.col("_text").alias("_was"), _inlined(_passes(F.col("_text"), rule, rounds)))
+        long = few.select(*kept, "_was", _inlined(_until_settled(rule, rounds)))
+        name = F.array(F.lit(rule.pattern_id))
+        out = long.select(
+            *FILE, "before", "_text",
+            F.when(F.col("_text") != F.col("_was"), F.concat("_applied", name)).otherwise(F.col("_applied")).alias("_applied"),
+            F.when(~F.col("_done"), F.concat("_open", name)).otherwise(F.col("_open")).alias("_open"),
+        )
     skipped = [
         F.when(F.col("before").rlike(r.regex), F.lit(r.pattern_id)) for r in rules if r.rewrite is None
     ]
-    none = F.array().cast("array<string>")
-    exhausted = F.array_compact(F.array(*left)) if left else none
-    settled = F.size(exhausted) == 0
-    applied = F.array_compact(F.array(*flags)) if flags else none
-    after = F.when(settled, F.col("after")).otherwise(F.col("before"))
+    settled = F.size("_open") == 0
+    after = F.when(settled, F.col("_text")).otherwise(F.col("before"))
     error = F.when(F.col("before").isNull(), "unreadable text").when(
-        ~settled, F.concat(F.lit("rules that do not settle: "), F.array_join(exhausted, ", "))
+        ~settled, F.concat(F.lit("rules that do not settle: "), F.array_join("_open", ", "))
     )
     return out.select(
         *FILE, "before", after.alias("after"),
-        F.when(settled, applied).otherwise(none).alias("applied"),
+        F.when(settled, F.col("_applied")).otherwise(none).alias("applied"),
         (F.array_compact(F.array(*skipped)) if skipped else none).alias("skipped"),
-        exhausted.alias("exhausted"),
+        F.col("_open").alias("exhausted"),
         (~F.col("before").eqNullSafe(after)).alias("was_modified"),
         error.isNull().alias("success"),
         error.alias("error"),
     )
 
 
-def _repeated(text: Column, rule, rounds: int | None) -> Column:
-    """(text, done): ``rule`` applied until the text stays the same."""
-    def once(t: Column) -> Column:
-        if callable(rule.rewrite):
-            return rule.rewrite(t)
-        return F.regexp_replace(t, rule.regex, rule.rewrite)
+def _inlined(state: Column) -> Column:
+    return F.inline(F.array(F.struct(state["text"].alias("_text"), F.coalesce(state["done"], F.lit(True)).alias("_done"))))
+
+
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.transform(F.array(value), use)[0]
 
-    state = F.struct(text.alias("text"), F.lit(False).alias("done"))
 
-    # A rule that makes the text ever longer would fill the memory before it runs out of passes.
-    most_chars = 16 * F.length(text) + 65_536
+def _once(rule, text: Column) -> Column:
+    return rule.rewrite(text) if callable(rule.rewrite) else F.regexp_replace(text, rule.regex, rule.rewrite)
+
+
+def _passes(text: Column, rule, rounds: int | None) -> Column:
+    """(text, done) after a few passes. A first test decides whether any is worth its cost."""
+    def step(acc: Column, _: Column) -> Column:
+        changed = _bound(_once(rule, acc["text"]), lambda t: F.struct(t.alias("text"), (t == acc["text"]).alias("done")))
+        return F.when(acc["done"], acc).otherwise(changed)
+
+    most = FEW_PASSES if rounds is None else min(FEW_PASSES, rounds + 1)
+    begin = F.struct(text.alias("text"), F.lit(False).alias("done"))
+    folded = F.aggregate(F.sequence(F.lit(1), F.lit(most)), begin, step)
+    idle = F.struct(text.alias("text"), F.lit(True).alias("done"))
+    return F.when(text.rlike(rule.regex), folded).otherwise(idle)
+
+
+def _until_settled(rule, rounds: int | None) -> Column:
+    """(text, done) of the texts that few passes left open, by as many more as it takes.
+
+    A text that comes again shows a cycle: the hash of one earlier text is kept and replaced after 1, 2, 4, ... passes,
+    so that any cycle meets it.
+    """
+    text, done = F.col("_text"), F.col("_done")
 
     def step(acc: Column, _: Column) -> Column:
-        following = F.when(acc["done"] | (F.length(acc["text"]) > most_chars), acc["text"]).otherwise(once(acc["text"]))
-        same = (following == acc["text"]) & (F.length(following) <= most_chars)
-        return F.struct(following.alias("text"), (acc["done"] | same).alias("done"))
-
-    # A first test decides whether any pass is worth its cost. The last pass only shows that nothing changes.
-    most = F.length(text) + 2 if rounds is None else F.lit(rounds + 1)
-    folded = F.aggregate(F.sequence(F.lit(1), most), state, step)
-    return F.when(text.rlike(rule.regex), folded).otherwise(F.struct(text.alias("text"), F.lit(True).alias("done")))
+        def after(t: Column) -> Column:
+            same, hashed = t == acc["text"], F.xxhash64(t)
+            matches = F.regexp_count(t, F.lit(rule.regex)).cast("long")
+            grown = F.when(matches > acc["matches"], acc["grown"] + 1).otherwise(0)
+            full = acc["lap"] + 1 >= acc["power"]
+            return F.struct(
+                t.alias("text"), same.alias("done"),
+                (~same & ((hashed == acc["seen"]) | (grown >= GROWING_PASSES))).alias("lost"), matches.alias("matches"),
+                grown.cast("int").alias("grown"), F.when(full, hashed).otherwise(acc["seen"]).alias("seen"),
+                F.when(full, 0).otherwise(acc["lap"] + 1).cast("long").alias("lap"),
+                F.when(full, acc["power"] * 2).otherwise(acc["power"]).alias("power"),
+            )
+
+        return F.when(acc["done"] | acc["lost"], acc).otherwise(_bound(_once(rule, acc["text"]), after))
+
+    begin = F.struct(
+        text.alias("text"), F.lit(False).alias("done"), F.lit(False).alias("lost"),
+        F.regexp_count(text, F.lit(rule.regex)).cast("long").alias("matches"), F.lit(0).alias("grown"),
+        F.xxhash64(text).alias("seen"), F.lit(0).cast("long").alias("lap"), F.lit(1).cast("long").alias("power"),
+    )
+    # The last pass only shows that nothing changes.
+    most = F.length(text) + 2 if rounds is None else F.lit(rounds + 1 - FEW_PASSES)
+    folded = F.aggregate(
+        F.sequence(F.lit(1), most), begin, step, lambda s: F.struct(s["text"].alias("text"), s["done"].alias("done")))
+    idle = F.struct(text.alias("text"), done.alias("done"))
+    if rounds is not None and rounds + 1 <= FEW_PASSES:
+        return idle
+    return F.when(done, idle).otherwise(folded)
 
 
 def map_rewrite(files: DataFrame, rewrite) -> DataFrame:

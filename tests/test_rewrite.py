@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from shiftwright import Rule
 from shiftwright.operators import diff, rewrite
@@ -154,8 +155,6 @@ def test_control_characters_stay(corpus):
 
 
 def test_plug_in_rules(corpus):
-    from pyspark.sql import functions as F
-
     rules = [
         Rule("nested", "", "simple", r"\(\(([a-z]*)\)\)", r"($1)"),
         Rule("upper", "", "simple", "x", lambda c: F.replace(c, F.lit("x"), F.lit("y"))),
@@ -190,3 +189,27 @@ def test_line_diff(spark):
     assert changes == {("a", 1, "kept"), ("a", 2, "kept"), ("a", 3, "added"), ("b", 1, "removed"), ("c", 1, "removed"), ("d", 1, "added")}
     text = diff.diff_text(diff.line_diff(df)).first().diff
     assert text.splitlines() == ["--- a/f", "+++ b/f", "-b", "+a", "-c", "+d"]
+
+
+def test_a_settling_rule_may_grow_a_text_at_every_size(corpus):
+    rules = [Rule("widen", "Widen", "simple", "abcd", "x" * 120)]
+    texts = {f"f{n}": "abcd" * n for n in (1, 500, 20_000)}
+    for r in rewrite.apply_rules(corpus(texts), rules).collect():
+        assert r.success and r.after == "x" * (30 * len(texts[r.path]))
+
+
+def test_rules_that_do_not_settle_end_with_an_error(corpus):
+    swap = Rule("swap", "Swap", "simple", "^(a|b|c)", lambda t: F.translate(t, "abc", "bca"))
+    double = Rule("double", "Double", "simple", "g", "gg")
+    texts = {"cycle": "a" * 5000, "grow": "g" * 300, "fine": "zzz"}
+    out = {r.path: r for r in rewrite.apply_rules(corpus(texts), [swap, double]).collect()}
+    assert out["cycle"].exhausted == ["swap"] and out["cycle"].after == texts["cycle"]
+    assert out["grow"].exhausted == ["double"] and out["grow"].after == texts["grow"] and out["grow"].applied == []
+    assert out["fine"].success
+
+
+def test_each_rule_is_folded_once_in_the_plan(corpus):
+    rules = [Rule("a", "A", "simple", "<b>", "<i>"), Rule("b", "B", "simple", "</b>", "</i>")]
+    out = rewrite.apply_rules(corpus({"a": "<b>x</b>"}), rules)
+    plan = out.filter("after <> before").groupBy("project").count()._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 2 * len(rules)
