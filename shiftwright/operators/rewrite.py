@@ -786,13 +786,13 @@ def apply_rules(files: DataFrame, rules: list, rounds: int | None = None) -> Dat
     kept = [*FILE, "before", "_applied", "_open"]
     for rule in usable:
         # One-row inlines: what they compute is not repeated where it is used.
-        few = out.select(*kept, F.col("_text").alias("_was"), _inlined(_passes(F.col("_text"), rule, rounds)))
-        long = few.select(*kept, "_was", _inlined(_until_settled(rule, rounds)))
+        few = out.select(*kept, F.col("_text").alias("_was"), F.inline(F.array(_passes(F.col("_text"), rule, rounds))).alias("_text", "_done"))
+        long = few.select(*kept, "_was", F.inline(F.array(_until_settled(rule, rounds))).alias("_text", "_done"))
         name = F.array(F.lit(rule.pattern_id))
         out = long.select(
             *FILE, "before", "_text",
             F.when(F.col("_text") != F.col("_was"), F.concat("_applied", name)).otherwise(F.col("_applied")).alias("_applied"),
-            F.when(~F.col("_done"), F.concat("_open", name)).otherwise(F.col("_open")).alias("_open"),
+            F.when(~F.coalesce("_done", F.lit(True)), F.concat("_open", name)).otherwise(F.col("_open")).alias("_open"),
         )
     skipped = [
         F.when(F.col("before").rlike(r.regex), F.lit(r.pattern_id)) for r in rules if r.rewrite is None
@@ -813,10 +813,6 @@ def apply_rules(files: DataFrame, rules: list, rounds: int | None = None) -> Dat
     )
 
 
-def _inlined(state: Column) -> Column:
-    return F.inline(F.array(F.struct(state["text"].alias("_text"), F.coalesce(state["done"], F.lit(True)).alias("_done"))))
-
-
 def _bound(value: Column, use) -> Column:
     """``use(value)`` with the value computed once."""
     return F.transform(F.array(value), use)[0]
@@ -875,7 +871,7 @@ def _until_settled(rule, rounds: int | None) -> Column:
     idle = F.struct(text.alias("text"), done.alias("done"))
     if rounds is not None and rounds + 1 <= FEW_PASSES:
         return idle
-    return F.when(done, idle).otherwise(folded)
+    return F.when(F.coalesce(done, F.lit(True)), idle).otherwise(folded)
 
 
 def map_rewrite(files: DataFrame, rewrite) -> DataFrame:
