@@ -169,19 +169,19 @@ def route(strategy: Column, is_dry_run: Column, escalated: Column) -> Column:
 
 
 def retry_routing(
-    attempts: DataFrame, keys: list, order: list, chunk: Column, max_retries: int = fixed.MAX_RETRIES
+    attempts: DataFrame, keys: list, order: list, max_retries: int = fixed.MAX_RETRIES
 ) -> DataFrame:
     """What follows each attempt: approve, retry, escalate, or closed if already decided.
 
     ``attempts`` has ``passed`` and ``category`` (may be null). Found secrets
-    escalate at once; other failures retry until the budget is spent. ``chunk``
-    splits the log of one file, see running_totals.
+    escalate at once; other failures retry until the budget is spent. The log of
+    one file may be of any length, see running_totals.
     """
     failed = ~F.col("passed")
     secret = failed & (F.coalesce("category", F.lit("")) == "secrets_detected")
     final = F.col("passed") | secret
     counted = running_totals(
-        attempts, keys, order, chunk,
+        attempts, keys, order,
         {"attempt": F.lit(1), "_decided": F.when(final, 1).otherwise(0)},
     )
     decided_before = F.col("_decided") - F.when(final, 1).otherwise(0)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from shiftwright.session import cut
 
 
 def merge_latest(updates: DataFrame, keys: list, order: list, values: list) -> DataFrame:
@@ -14,41 +19,77 @@ def merge_latest(updates: DataFrame, keys: list, order: list, values: list) -> D
     return updates.groupBy(*keys).agg(latest.alias("_v")).select(*keys, "_v.*")
 
 
-def running_totals(df: DataFrame, keys: list, order: list, chunk: Column, totals: dict) -> DataFrame:
-    """Running sums per key in order, this row included, safe for a hot key.
+# Columns in use between the steps of a prefix scan.
+_PART, _RUN, _AT, _KEY = "_scan_part", "_scan_run", "_scan_at", "_scan_key"
+
 
-    ``chunk`` must grow with the order (such as the hour of a time stamp). Rows
-    sort within (key, chunk); what earlier chunks add comes from a small table
-    of chunk totals. No task gets all rows of a key.
+def running_totals(df: DataFrame, keys: list, order: list, totals: dict) -> DataFrame:
+    """Running sums per key in order, this row included: a prefix scan that spreads a hot key over tasks.
+
+    Rows are dealt out in ranges of (keys, order), so that a key with many rows fills many partitions, whatever its
+    rows have in common, as long as ``order`` tells them apart. Each partition is summed on its own, in one pass over
+    its sorted rows, and written to the shared folder, so that all that follows reads one run of the tasks. A key that
+    goes on from the partition before begins with what the earlier ones hold of it: one row for each partition comes to
+    the driver for that, and one offset for each goes out. Null keys are keys; sums are whole numbers.
     """
-    named = df.withColumn("_chunk", chunk).withColumns({f"_in_{n}": c for n, c in totals.items()})
-    within = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    sums = named.groupBy(*keys, "_chunk").agg(*[F.sum(f"_in_{n}").alias(f"_all_{n}") for n in totals])
-    group = [*keys, "_chunk"]
-    carried = sums.select(
-        *[F.col(k).alias(f"_of_{k}") for k in group],
-        *[F.coalesce(F.sum(f"_all_{n}").over(earlier), F.lit(0)).alias(f"_carry_{n}") for n in totals],
+    spark, names = df.sparkSession, list(totals)
+    key = [F.col(f"`{k}`") for k in keys]
+    dealt = (
+        df.withColumns({f"_in_{n}": c.cast("bigint") for n, c in totals.items()})
+        .repartitionByRange(*key, *order).sortWithinPartitions(*key, *order)
+        .withColumns({_PART: F.spark_partition_id(), _KEY: F.xxhash64(*key, *[k.isNull() for k in key])})
     )
-    local = named.withColumns({f"_local_{n}": F.sum(f"_in_{n}").over(within) for n in totals})
-    same_group = reduce(
-        lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in group]
-    )
-    joined = local.join(carried, same_group)
-    return joined.select(
+    schema = StructType([*df.schema.fields]).add(_PART, "integer").add(_RUN, "long").add(_AT, "long")
+    for n in names:
+        schema = schema.add(f"_sum_{n}", "long")
+    passed = schema.names[: len(df.columns) + 1]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, run, at, carry = None, 0, 0, [0] * len(names)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            hashes = batch[_KEY].to_numpy(zero_copy_only=False)
+            begins = np.append(last is not None and hashes[0] != last, hashes[1:] != hashes[:-1])
+            runs = run + np.cumsum(begins)
+            starts = np.maximum.accumulate(np.where(begins, np.arange(len(hashes)), -1))
+            sums = []
+            for i, n in enumerate(names):
+                value = batch[f"_in_{n}"].fill_null(0).to_numpy(zero_copy_only=False)
+                total = np.cumsum(value)
+                # Without what stood before the key's first row here; a key that goes on adds what it had.
+                sums.append(total - np.where(starts >= 0, total[starts] - value[starts], -carry[i]))
+                carry[i] = int(sums[-1][-1])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch[c] for c in passed), pa.array(runs), pa.array(at + np.arange(len(hashes))), *map(pa.array, sums)],
+                schema.names,
+            )
+            last, run, at = hashes[-1], int(runs[-1]), at + len(hashes)
+
+    local = cut(dealt.mapInArrow(scan, schema), "scan")
+    place = F.struct(_RUN, _AT)
+    ends = local.groupBy(_PART).agg(
+        F.min_by(F.struct(*key), place).alias("first"), F.max_by(F.struct(*key), place).alias("last"),
+        F.max_by(F.array(*[f"_sum_{n}" for n in names]), place).alias("sums"), F.max(_RUN).alias("runs"),
+    ).collect()
+    offsets, before, held = [], None, [0] * len(names)
+    for row in sorted(ends, key=lambda r: r[_PART]):
+        offset = held if row["first"] == before else [0] * len(names)
+        offsets.append((row[_PART], *offset))
+        before, held = row["last"], [s + (o if not row["runs"] else 0) for s, o in zip(row["sums"], offset, strict=True)]
+    carried = spark.createDataFrame(offsets, ", ".join([f"{_PART} int", *(f"`_carry_{n}` long" for n in names)]))
+    return local.join(F.broadcast(carried), _PART).select(
         *df.columns,
-        *[(F.col(f"_local_{n}") + F.col(f"_carry_{n}")).cast("bigint").alias(n) for n in totals],
+        *[(F.col(f"_sum_{n}") + F.when(F.col(_RUN) == 0, F.col(f"_carry_{n}")).otherwise(0)).alias(n) for n in names],
     )
 
 
-def append_list(updates: DataFrame, keys: list, order: list, chunk: Column) -> DataFrame:
+def append_list(updates: DataFrame, keys: list, order: list) -> DataFrame:
     """Appended items with their place in the key's list, from 1, as rows.
 
     Rows keep a list of any length; an array per key would have to fit one task.
     """
-    return running_totals(updates, keys, order, chunk, {"place": F.lit(1)})
+    return running_totals(updates, keys, order, {"place": F.lit(1)})
 
 
 def changed_since(files: DataFrame, last_run: DataFrame) -> DataFrame:

@@ -250,12 +250,8 @@ def _steps(spark, sf):
     )
 
 
-def _day():
-    return F.date_trunc("day", "ts")
-
-
 def retry_routing(spark, sf):
-    routed = score.retry_routing(_steps(spark, sf), ["user_id"], ["ts", "event_id"], _day())
+    routed = score.retry_routing(_steps(spark, sf), ["user_id"], ["ts", "event_id"])
     return routed.select("event_id", "user_id", "attempt", "retry_count", "action")
 
 
@@ -273,7 +269,7 @@ def merge_latest(spark, sf):
 
 
 def append_list(spark, sf):
-    return state.append_list(_steps(spark, sf), ["user_id"], ["ts", "event_id"], _day()).select(
+    return state.append_list(_steps(spark, sf), ["user_id"], ["ts", "event_id"]).select(
         "user_id", "place", "event_id", "event_type"
     )
 

@@ -116,9 +116,9 @@ def run_history(spark, sf):
 
 def run_metrics(spark, sf):
     from shiftwright.operators import score
-    from shiftwright.plans.queries_checks import _day, _steps
+    from shiftwright.plans.queries_checks import _steps
 
-    routed = score.retry_routing(_steps(spark, sf), ["user_id"], ["ts", "event_id"], _day())
+    routed = score.retry_routing(_steps(spark, sf), ["user_id"], ["ts", "event_id"])
     per_month = routed.withColumn("run_id", F.date_format("ts", "yyyy-MM-dd"))
     metrics = report.run_metrics(per_month)
     rates = ["automatic_rate", "review_rate", "retry_success_rate"]

@@ -119,7 +119,7 @@ def _log(spark, rows):
 
 
 def routed(df, retries=3):
-    out = score.retry_routing(df, ["file"], ["at", "n"], F.date_trunc("day", "at"), retries)
+    out = score.retry_routing(df, ["file"], ["at", "n"], retries)
     return [(r.file, r.attempt, r.action) for r in out.orderBy("n").collect()]
 
 
@@ -136,7 +136,7 @@ def test_retry_routing(spark):
 def test_running_totals_of_a_hot_and_a_null_key(spark):
     rows = [(("hot" if i % 3 else None), i, i // 40) for i in range(600)]
     df = spark.createDataFrame(rows, "k string, i int, c int").repartition(5)
-    out = state.running_totals(df, ["k"], ["i"], F.col("c"), {"n": F.lit(1), "s": F.col("i")}).collect()
+    out = state.running_totals(df, ["k"], ["i"], {"n": F.lit(1), "s": F.col("i")}).collect()
     assert len(out) == 600
     seen = {}
     for r in sorted(out, key=lambda r: r.i):
@@ -145,10 +145,40 @@ def test_running_totals_of_a_hot_and_a_null_key(spark):
         assert (r.n, r.s) == seen[r.k]
 
 
+@pytest.mark.parametrize("rows", [
+    [("hot", i, 1) for i in range(3000)],
+    [(k, i, i) for i in range(40) for k in ("a", "b", None)] + [("hot", i, -i) for i in range(2000)],
+    [], [(None, 1, 1)],
+])
+def test_prefix_scan_spreads_one_key(spark, rows):
+    df = spark.createDataFrame(rows, "k string, i int, v int").repartition(3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = state.running_totals(df, ["k"], ["i"], {"n": F.lit(1), "s": F.col("v")}).withColumn(
+            "file", F.input_file_name()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    seen = {}
+    for r in sorted(out, key=lambda r: r.i):
+        n, s = seen.get(r.k, (0, 0))
+        seen[r.k] = (n + 1, s + r.v)
+        assert (r.n, r.s) == seen[r.k]
+    assert len(out) == len(rows)
+    if len(rows) == 3000:
+        assert len({r.file for r in out}) == 4  # no task had the whole key
+
+
+def test_keys_with_nulls_in_other_places_are_apart(spark):
+    rows = [(None, "a", 1), (None, "a", 2), ("a", None, 1), ("a", None, 2)]
+    df = spark.createDataFrame(rows, "k string, l string, i int")
+    out = state.running_totals(df, ["k", "l"], ["i"], {"n": F.lit(1)}).collect()
+    assert {tuple(r) for r in out} == {(*r, r[2]) for r in rows}
+
+
 def test_merge_and_append(spark):
     df = spark.createDataFrame([("a", 2, "x"), ("a", 10, "y"), ("b", 1, None)], "k string, seq int, v string")
     assert {tuple(r) for r in state.merge_latest(df, ["k"], ["seq"], ["v"]).collect()} == {("a", "y"), ("b", None)}
-    places = state.append_list(df, ["k"], ["seq"], F.lit(0)).collect()
+    places = state.append_list(df, ["k"], ["seq"]).collect()
     assert {(r.k, r.v, r.place) for r in places} == {("a", "x", 1), ("a", "y", 2), ("b", None, 1)}
 
 
