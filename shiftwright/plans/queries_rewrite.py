@@ -307,6 +307,17 @@ def diff_text(spark, sf):
     return diff.diff_text(diff.line_diff(_tagged(spark, sf)))
 
 
+def ordered_diff(spark, sf):
+    return diff.ordered_diff(_tagged(spark, sf))
+
+
+def diff_applies(spark, sf):
+    """The ordered diff of every changed page, applied to the page."""
+    tagged = _tagged(spark, sf)
+    changed = tagged.where(~F.col("before").eqNullSafe(F.col("after"))).select("project", "path", "before")
+    return diff.apply_unified(changed.join(diff.unified_text(diff.ordered_diff(tagged)), ["project", "path"], "left"))
+
+
 _LINE_END = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 _DIFF_SQL = f"""
 WITH {_TAGGED_SQL},
@@ -358,6 +369,8 @@ QUERIES = {
     "rewrite_callable": rewrite_callable,
     "line_diff": line_diff,
     "diff_text": diff_text,
+    "ordered_diff": ordered_diff,
+    "diff_applies": diff_applies,
     "rollback": rollback,
     "incremental": incremental,
 }
@@ -398,6 +411,31 @@ SELECT project, path, '--- a/' || path || chr(10) || '+++ b/' || path || chr(10)
     CASE change WHEN 'removed' THEN '-' ELSE '+' END || text, chr(10)
     ORDER BY coalesce(before_line, after_line), change = 'added', text) AS diff
 FROM diff WHERE change <> 'kept' GROUP BY project, path""",
+    "diff_applies": f"WITH {_TAGGED_SQL} SELECT project, path, after, true AS clean FROM tagged WHERE before <> after",
+    # The rules leave line ends alone, so that lines can be compared by their numbers.
+    "ordered_diff": f"""WITH {_TAGGED_SQL},
+t AS (
+  SELECT project, path, unnest(range(1, len(string_split(before, chr(10))) + 1)) AS n, len(string_split(before, chr(10))) AS count,
+         unnest(string_split(before, chr(10))) AS b, unnest(string_split(after, chr(10))) AS a, FROM tagged WHERE before <> after),
+l AS (SELECT project, path, n, b, a, n = count AS last FROM t WHERE NOT (n = count AND b = '')),
+far AS (SELECT project, path, n, n - lag(n, 1, -100) OVER (PARTITION BY project, path ORDER BY n) > 7 AS new FROM l WHERE b <> a),
+h AS (SELECT *, sum(new::INTEGER) OVER (PARTITION BY project, path ORDER BY n) AS hunk FROM far),
+span AS (SELECT project, path, hunk, min(n) - 3 AS low, max(n) + 3 AS high FROM h GROUP BY ALL),
+rows_ AS (
+  SELECT span.project, span.path, hunk, l.*, b <> a AS changed FROM span JOIN l USING (project, path) WHERE n BETWEEN low AND high),
+runs AS (SELECT *, n - row_number() OVER (PARTITION BY project, path, changed ORDER BY n) AS run FROM rows_),
+first AS (SELECT *, CASE WHEN changed THEN min(n) OVER (PARTITION BY project, path, changed, run) ELSE n END AS start FROM runs),
+written AS (
+  SELECT *, ' ' AS mark, b AS line, 0 AS turn FROM first WHERE NOT changed UNION ALL
+  SELECT *, '-' AS mark, b AS line, 1 AS turn FROM first WHERE changed UNION ALL
+  SELECT *, '+' AS mark, a AS line, 2 AS turn FROM first WHERE changed),
+body AS (
+  SELECT project, path, hunk, min(n) AS low, count(DISTINCT n) AS size, string_agg(
+    mark || line || chr(10) || CASE WHEN last THEN '\\ No newline at end of file' || chr(10) ELSE '' END, ''
+    ORDER BY start, turn, n) AS body
+  FROM written GROUP BY ALL)
+SELECT project, path, hunk::INTEGER AS hunk, low AS before_from, size AS before_count, low AS after_from, size AS after_count, body
+FROM body""",
     "rollback": f"""WITH {_TAGGED_SQL}
 SELECT project, path, before AS content, (before <> after) AS restored FROM tagged""",
     "incremental": f"WITH {PAGES_SQL} SELECT project, path, sha256(content) AS content_hash FROM pages_corpus WHERE contains(content, '<b>')",

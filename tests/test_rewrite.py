@@ -213,3 +213,54 @@ def test_each_rule_is_folded_once_in_the_plan(corpus):
     out = rewrite.apply_rules(corpus({"a": "<b>x</b>"}), rules)
     plan = out.filter("after <> before").groupBy("project").count()._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("aggregate(") == 2 * len(rules)
+
+
+def patched(before, text):
+    """What a patch program makes of a unified diff."""
+    lines, out, at = before.splitlines(keepends=True), [], 0
+    for line in text.replace("\n\\ No newline at end of file\n", "\x00").split("\n")[2:]:
+        for part in [x + ("" if i < line.count("\x00") else "\n") for i, x in enumerate(line.split("\x00"))]:
+            if part.startswith("@@"):
+                begin, size = map(int, part.split()[1][1:].split(","))
+                start = begin - (size > 0)
+                out += lines[at:start]
+                at = start
+            elif part.startswith("+"):
+                out.append(part[1:])
+            elif part[0] in " -":
+                assert lines[at] == part[1:], (lines[at], part)
+                out += [part[1:]] * (part[0] == " ")
+                at += 1
+    return "".join(out + lines[at:])
+
+
+def test_ordered_diff_applies(spark):
+    rng = random.Random(4)
+    rows = [("p", "empty", "", "a\nb"), ("p", "gone", "a\nb\n", None), ("p", "end", "a\nb", "a\nb\n"), ("p", "same", "x", "x"),
+            ("p", "moved", "a\nb\nc\nd\ne\n", "d\ne\na\nb\nc\n"), ("p", "null", None, "x\n")]
+    for k in range(60):
+        before = [rng.choice("abcdefghij{}") * rng.randint(1, 2) for _ in range(rng.randint(0, 40))]
+        after = [x for x in before if rng.random() > 0.1]
+        for _ in range(rng.randint(0, 4)):
+            after.insert(rng.randint(0, len(after)), rng.choice(["new", "}", "x"]))
+        rows.append(("p", f"f{k}", "\n".join(before) + rng.choice(["", "\n"]), "\n".join(after) + rng.choice(["", "\n"])))
+    df = spark.createDataFrame(rows, "project string, path string, before string, after string")
+    text = diff.unified_text(diff.ordered_diff(df))
+    texts = {r.path: r.diff for r in text.collect()}
+    assert "same" not in texts
+    for _, path, before, after in rows:
+        if (before or "") != (after or ""):
+            assert patched(before or "", texts[path]) == (after or "")
+    done = {r.path: r for r in diff.apply_unified(df.drop("after").join(text, ["project", "path"], "left")).collect()}
+    assert all(done[path].clean and done[path].after == (after or "") for _, path, _, after in rows)
+    wrong = diff.apply_unified(df.select("project", "path", F.lit("other\n").alias("before")).join(text, ["project", "path"]))
+    assert not {r.path: r.clean for r in wrong.collect()}["moved"]
+
+
+def test_ordered_diff_hunks(spark):
+    before = "".join(f"line {i}\n" for i in range(30))
+    after = before.replace("line 3\n", "LINE 3\n").replace("line 9\n", "").replace("line 25\n", "line 25\nmore\n")
+    df = spark.createDataFrame([("p", "f", before, after)], "project string, path string, before string, after string")
+    hunks = [tuple(r)[2:7] for r in diff.ordered_diff(df).orderBy("hunk").collect()]
+    assert hunks == [(1, 1, 13, 1, 12), (2, 24, 6, 23, 7)]
+    assert diff.ordered_diff(df).where("hunk = 2").first().body == " line 23\n line 24\n line 25\n+more\n line 26\n line 27\n line 28\n"
