@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shiftwright import fixed_values as fixed
 from shiftwright.catalog import Catalog, default_migration
 from shiftwright.operators import checks as checks_op
+from shiftwright.operators.diff import ordered_diff, unified_text
 from shiftwright.operators import detect, report, retrieve, rewrite, scan, score
 from shiftwright.session import cut
 
@@ -185,9 +186,9 @@ def migrate(
         return out
 
     outcome = union(finished).withColumn("completed", F.col("approved"))
-    last_texts = union(all_texts).groupBy("run_id", *FILE).agg(
-        F.max_by(F.struct("before", "after", "error"), "attempt").alias("t")
-    ).select("run_id", *FILE, "t.*")
+    # The attempt that decided a file, by its keys: no text goes through an aggregation.
+    last_texts = union(all_texts).join(outcome.select(*KEYS), KEYS, "left_semi").select(
+        "run_id", *FILE, "before", "after", "error")
     stages = union(all_results).join(outcome.select(*KEYS), KEYS, "left_semi").unionByName(
         outcome.filter(F.col("test_passed").isNotNull()).select(
             *KEYS, F.lit("Tests").alias("stage"), F.lit(100).alias("stage_order"),
@@ -212,7 +213,5 @@ def migrate(
 
 
 def _diffs(texts: DataFrame) -> DataFrame:
-    from shiftwright.operators.diff import diff_text, line_diff
-
     run_of = texts.select("run_id", *FILE)
-    return run_of.join(diff_text(line_diff(texts)), FILE)
+    return run_of.join(unified_text(ordered_diff(texts)), FILE)

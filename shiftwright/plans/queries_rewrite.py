@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from shiftwright.catalog import Rule
 from shiftwright.operators import diff, rewrite, state
 from shiftwright.plans.tables import ORDERS_SQL, PAGES_SQL, PARTS_SQL, order_files, pages, part_files, read
+from shiftwright.session import shared_path
 from shiftwright.sources import sinks
 
 
@@ -345,6 +346,20 @@ def rollback(spark, sf):
     return sinks.rollback(migrated, history, "run_1")
 
 
+def rollback_committed(spark, sf):
+    """The same over committed attempts: one repeated, one broken off before its record."""
+    files, tagged = pages(spark, sf), _tagged(spark, sf)
+    again = tagged.withColumns({"before": F.col("after"), "after": F.concat(F.col("after"), F.lit("<!-- 2 -->"))})
+    lost = tagged.withColumns({"before": F.lit("lost"), "after": F.lit("lost too")})
+    path = shared_path(spark, "history")
+    sinks.commit_history(spark, again, path, "run_1", 0)
+    sinks.commit_history(spark, tagged, path, "run_1", 0)
+    sinks.commit_history(spark, again, path, "run_1", 1)
+    sinks.history_rows(lost, "run_1", 2).write.parquet(f"{path}/data/lost/history")
+    history = sinks.committed_history(spark, path)
+    return sinks.rollback(sinks.apply_history(files, history), history, "run_1")
+
+
 def incremental(spark, sf):
     """Pages with bold text changed since the last run, which saw them without."""
     files = pages(spark, sf)
@@ -372,6 +387,7 @@ QUERIES = {
     "ordered_diff": ordered_diff,
     "diff_applies": diff_applies,
     "rollback": rollback,
+    "rollback_committed": rollback_committed,
     "incremental": incremental,
 }
 
@@ -437,6 +453,8 @@ body AS (
 SELECT project, path, hunk::INTEGER AS hunk, low AS before_from, size AS before_count, low AS after_from, size AS after_count, body
 FROM body""",
     "rollback": f"""WITH {_TAGGED_SQL}
+SELECT project, path, before AS content, (before <> after) AS restored FROM tagged""",
+    "rollback_committed": f"""WITH {_TAGGED_SQL}
 SELECT project, path, before AS content, (before <> after) AS restored FROM tagged""",
     "incremental": f"WITH {PAGES_SQL} SELECT project, path, sha256(content) AS content_hash FROM pages_corpus WHERE contains(content, '<b>')",
 }

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shiftwright.operators import scan
-from shiftwright.plans.queries_scan import PAGE_RULES, MATCHES_SQL
+from shiftwright.plans.queries_scan import MATCHES_SQL, ORACLES as SCAN_ORACLES, PAGE_RULES
 from shiftwright.plans.tables import pages, read
 from shiftwright.session import shared_path
+from shiftwright.sources import commits
 from shiftwright.streaming import attempts, incremental
 
 
@@ -55,17 +56,40 @@ def failure_sessions(spark, sf):
 
 def incremental_stream(spark, sf):
     """Pages as they arrive: matches per file of each micro-batch."""
+    out = _finished(spark, _page_stream(spark, sf), lambda b: scan.count_matches(b, PAGE_RULES), [], "append")
+    return out.withColumn("rank", F.col("rank").cast("bigint"))
+
+
+def _page_stream(spark, sf):
     schema = read(spark, sf, "pages").schema
-    stream = incremental.stream_table(spark, f"{sf}/pages.parquet", schema).select(
+    return incremental.stream_table(spark, f"{sf}/pages.parquet", schema).select(
         F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("project"),
         F.concat(F.lit("p"), F.col("page_id"), F.lit(".html")).alias("path"),
         F.col("html").alias("content"),
     )
-    out = _finished(spark, stream, lambda b: scan.count_matches(b, PAGE_RULES), [], "append")
-    return out.withColumn("rank", F.col("rank").cast("bigint"))
+
+
+def incremental_summary(spark, sf):
+    """The scan summary of pages that came in a stream, from the committed files and matches of its micro-batches."""
+    root = shared_path(spark, "committed")
+
+    def tables(batch):
+        return {"files": batch.select("project", "path"), "matches": scan.find_matches(batch, PAGE_RULES)}
+
+    incremental.process_together(_page_stream(spark, sf), tables, root, shared_path(spark, "stream-state")).awaitTermination()
+    files = commits.committed(spark, root, "files", "project string, path string")
+    matches = commits.committed(spark, root, "matches", "project string, path string, classification string")
+    kind = F.col("classification")
+    found = matches.groupBy("project").agg(
+        F.count(F.lit(1)).alias("patterns_found"), F.count_if(kind == "deterministic").alias("deterministic_count"),
+        F.count_if(kind == "ambiguous").alias("ambiguous_count"),
+    )
+    counts = ["patterns_found", "deterministic_count", "ambiguous_count"]
+    return files.groupBy("project").agg(F.count(F.lit(1)).alias("files_scanned")).join(found, "project", "left").fillna(0, counts)
 
 
 QUERIES = {
+    "incremental_summary": incremental_summary,
     "attempts_stream": attempts_stream,
     "failure_windows_stream": failure_windows_stream,
     "failure_windows_sliding": failure_windows_sliding,
@@ -74,6 +98,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "incremental_summary": SCAN_ORACLES["scan_summary"],
     "attempts_stream": """
 SELECT user_id, count(*) AS steps, count(*) FILTER (event_type = 'error') AS failures,
   arg_max(event_type, (ts, event_id)) AS latest, greatest(3 - count(*) FILTER (event_type = 'error'), 0)::BIGINT AS retries_left

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shiftwright.operators.report import in_text_order
+from shiftwright.sources import commits
 
 
 def run_id(at: Column) -> Column:
@@ -42,6 +43,19 @@ def write_history(rewrites: DataFrame, path: str, run: str, attempt: int = 0) ->
     history_rows(rewrites, run, attempt).write.mode("append").partitionBy("run_id").parquet(path)
 
 
+HISTORY = "run_id string, attempt int, project string, path string, before string, after string"
+
+
+def commit_history(spark: SparkSession, rewrites: DataFrame, path: str, run: str, attempt: int = 0) -> None:
+    """The same as one commit for each attempt: readers see it whole or not at all, and a repeated one replaces it."""
+    commits.commit(spark, path, f"{run}/{attempt}", {"history": history_rows(rewrites, run, attempt)})
+
+
+def committed_history(spark: SparkSession, path: str) -> DataFrame:
+    """The history of all committed attempts, for apply_history and rollback."""
+    return commits.committed(spark, path, "history", HISTORY)
+
+
 def history_rows(rewrites: DataFrame, run: str, attempt: int = 0) -> DataFrame:
     changed = F.col("after").isNotNull() & (F.col("after") != "") & ~F.col("before").eqNullSafe(F.col("after"))
     return rewrites.filter(changed).select(

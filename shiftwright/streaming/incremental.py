@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from shiftwright.catalog import Catalog
+from shiftwright.plans.migrate import Run, migrate
+from shiftwright.session import cut
+from shiftwright.sources import commits
+
 
 def stream_table(spark: SparkSession, path: str, schema) -> DataFrame:
     """A Parquet folder, or a single file, as a stream of rows.
@@ -39,6 +44,40 @@ def process_new(
     )
 
 
+def process_together(
+    stream: DataFrame, tables: Callable[[DataFrame], dict], root: str, checkpoint: str
+) -> StreamingQuery:
+    """Make several tables of everything new, commit those of a micro-batch together, then stop.
+
+    ``tables`` turns a micro-batch into tables by name. The record of a micro-batch names all of them, so that readers
+    see a batch whole or not at all, and a batch that is repeated after a failure replaces what it committed before.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        # Written once, so that the tables come from the same rows and the source is read once.
+        spark = batch.sparkSession
+        commits.commit(spark, root, f"batch={batch_id:012}", tables(cut(batch, "batch")))
+
+    return (
+        stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+
+
+def migrate_new(
+    stream: DataFrame, catalog: Catalog, run: Run, root: str, checkpoint: str, model=None,
+    external: DataFrame | None = None, tests: DataFrame | None = None,
+) -> StreamingQuery:
+    """A whole run, from scan to report, over the files of each micro-batch.
+
+    Committed are results, records, texts and tickets; summaries and totals follow from all committed results, with
+    operators.report. A file that comes again in a later batch has a row in each.
+    """
+    def tables(batch: DataFrame) -> dict:
+        made = migrate(batch, catalog, run, model, external, tests)
+        return {name: made[name] for name in ("results", "records", "texts", "tickets")}
+
+    return process_together(stream, tables, root, checkpoint)
+
+
 def written(spark: SparkSession, out: str, schema) -> DataFrame:
     """Rows of all batches, with their ``batch``."""
     from pyspark.sql.types import LongType, StructField, StructType
