@@ -11,10 +11,11 @@ teach it what the sample lacks.
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -50,9 +51,9 @@ OTHER_NAMES = frozenset((
     "comments commentlist reply widget toolbar masthead copyright button select option textarea label legend"
 ).split())
 
-_TAG = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S
-)
+_OPEN = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)|[!?/])")
+_COMMENT_END = re.compile(r"--!?>")
+_ENDS = re.compile(r"[>\"']")
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I | re.A) for name in RAW}
 _SCRIPT_MARK = re.compile(r"(<!(?=--))|(-->)|<(/?)script(?=[\s/>])", re.I | re.A)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -62,14 +63,64 @@ _NAME = re.compile(r"[^\s_-]+(?:-[^\s_-]+)*|[^\s_-]+")
 Element = tuple[str, tuple[str, ...]]
 
 
+class Node:
+    """An open element and the one around it. Pages may nest deeply, so a block keeps the innermost one only."""
+
+    __slots__ = ("around", "element", "cells")
+
+    def __init__(self, around: Node | None, element: Element):
+        self.around, self.element = around, element
+        self.cells: np.ndarray | None = None
+
+
 @dataclass
 class Block:
-    """A leaf block: its text, the elements it stands in, and how many of its characters are links."""
+    """A leaf block: its text, the innermost element it stands in, and how many of its characters are links."""
 
     text: str
-    path: tuple[Element, ...]
+    inside: Node | None
     linked: int
 
+    @property
+    def path(self) -> tuple[Element, ...]:
+        """All elements around, the outermost first."""
+        out, node = [], self.inside
+        while node:
+            out.append(node.element)
+            node = node.around
+        return tuple(out[::-1])
+
+
+def nested(path: Iterable[Element]) -> Node | None:
+    node = None
+    for element in path:
+        node = Node(node, element)
+    return node
+
+
+class TagEnds:
+    """Where tags end: at the first > outside of quotes, or if there is none, at the first of all. One pass per page."""
+
+    def __init__(self, page: str):
+        self.page, self.at = page, [m.start() for m in _ENDS.finditer(page)]
+        # From each of these characters on, read outside of quotes, behind " and behind '.
+        plain, double, single = -1, -1, -1
+        self.found = [-1] * (len(self.at) + 1)
+        for i in range(len(self.at) - 1, -1, -1):
+            char = page[self.at[i]]
+            if char == ">":
+                plain = self.at[i]
+            elif char == '"':
+                plain, double = double, plain
+            else:
+                plain, single = single, plain
+            self.found[i] = plain
+
+    def of(self, start: int) -> int:
+        """The end of a tag whose attributes begin at ``start``; -1 if the page ends first."""
+        end = self.found[bisect.bisect_left(self.at, start)]
+        return end if end >= 0 else self.page.find(">", start)
+
 
 def _names(attributes: str) -> tuple[str, ...]:
     """Classes, ids and roles, whole and by their parts."""
@@ -104,56 +155,111 @@ def _raw_end(name: str, page: str, at: int) -> int:
     return len(page)
 
 
+class Stack:
+    """Open elements, with what is asked of them at every step at hand."""
+
+    def __init__(self):
+        self.names: list[str] = []
+        self.nodes: list[Node | None] = []  # the innermost block element
+        self.blocks: list[int] = []  # places of block elements
+        self.open: dict[str, int] = {}
+        self.hidden = 0
+
+    def push(self, name: str, attributes: str) -> None:
+        node = self.nodes[-1] if self.nodes else None
+        if name in BLOCK:
+            node = Node(node, (name, _names(attributes) if attributes else ()))
+            self.blocks.append(len(self.names))
+        self.names.append(name)
+        self.nodes.append(node)
+        self.open[name] = self.open.get(name, 0) + 1
+        self.hidden += name in UNSEEN
+
+    def pop_to(self, place: int) -> None:
+        for name in self.names[place:]:
+            self.open[name] -= 1
+            self.hidden -= name in UNSEEN
+        del self.names[place:], self.nodes[place:]
+        while self.blocks and self.blocks[-1] >= place:
+            self.blocks.pop()
+
+    def close(self, name: str) -> None:
+        """Close the innermost element of the name and all inside it; nothing if none is open."""
+        if self.open.get(name):
+            place = len(self.names) - 1
+            while self.names[place] != name:
+                place -= 1
+            self.pop_to(place)
+
+    def make_room(self, name: str) -> None:
+        """Close what the start of an element ends by itself."""
+        ends = ENDS_ITSELF.get(name, ()) if name in ENDS_ITSELF else ({"p"} if name in BLOCK else ())
+        for place in reversed(self.blocks):
+            if self.names[place] in ends:
+                self.pop_to(place)
+                return
+            if self.names[place] not in ("p", "li", "dd", "dt", "td", "th"):
+                return
+
+
 def blocks_of(page: str | None) -> list[Block]:
-    """Leaf blocks with text, in page order. Character references are decoded; white space becomes one blank."""
+    """Leaf blocks with text, in page order. Character references are decoded; white space becomes one blank.
+
+    Every step takes as long as what it reads, so that a page takes as long as it is.
+    """
     if not page:
         return []
     page = _CUT_OFF.sub("", page)
     out: list[Block] = []
-    stack: list[Element] = []
+    stack, ends, last = Stack(), TagEnds(page), page.rfind(">")
     parts: list[str] = []
-    linked, hidden, at, path = 0, 0, 0, ()
+    linked, inside, at, search = 0, None, 0, 0
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, path, linked))
+                out.append(Block(text, inside, linked))
             parts.clear()
             linked = 0
 
-    def pop_to(index: int) -> None:
-        nonlocal hidden
-        for name, _ in stack[index:]:
-            hidden -= name in UNSEEN
-        del stack[index:]
-
     def add(text: str) -> None:
-        nonlocal linked, path
-        if text and not hidden:
+        nonlocal linked, inside
+        if text and not stack.hidden:
             if not parts:
                 if text.isspace():
                     return
-                path = tuple(x for x in stack if x[0] in BLOCK)
+                inside = stack.nodes[-1] if stack.nodes else None
             parts.append(text)
-            if any(name == "a" for name, _ in stack):
+            if stack.open.get("a"):
                 linked += len(text)
 
-    while match := _TAG.search(page, at):
-        add(page[at : match.start()])
-        at = match.end()
-        name = (match[2] or match[5] or "").lower()
+    while match := _OPEN.search(page, search):
+        start = match.start()
+        if match[1]:
+            end = _COMMENT_END.search(page, match.end())
+            add(page[at:start])
+            at = search = end.end() if end else len(page)
+            continue
+        if start > last:
+            # No tag can end any more; only a comment, which needs no end, may still hide text.
+            search = page.find("<!--", start)
+            if search < 0:
+                break
+            continue
+        name = (match[3] or "").lower()
+        end = ends.of(match.end()) if name else page.find(">", match.end())
+        add(page[at:start])
+        attributes, at = page[match.end() : end], end + 1
+        search = at
         if not name:
             continue
         block = name in BLOCK or name in UNSEEN
-        if match[1] or match[4]:
+        if match[2]:
             if block:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    pop_to(i)
-                    break
+            stack.close(name)
             continue
         if name == "br":
             if parts:
@@ -164,18 +270,10 @@ def blocks_of(page: str | None) -> list[Block]:
         if name in VOID:
             continue
         if block:
-            ends = ENDS_ITSELF.get(name, ()) if name in ENDS_ITSELF else ({"p"} if name in BLOCK else ())
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in ends:
-                    pop_to(i)
-                    break
-                if stack[i][0] in SCOPES or stack[i][0] in BLOCK and stack[i][0] not in ("p", "li", "dd", "dt", "td", "th"):
-                    break
-        attributes = match[3] if match[2] else match[6]
-        stack.append((name, _names(attributes) if attributes and name in BLOCK else ()))
-        hidden += name in UNSEEN
+            stack.make_room(name)
+        stack.push(name, attributes)
         if name in RAW:
-            at = _raw_end(name, page, at)
+            at = search = _raw_end(name, page, at)
     add(page[at:])
     flush()
     return out
@@ -186,29 +284,40 @@ def _cell(text: str, cells: int) -> int:
 
 
 class Vectors:
-    """Vectors of blocks; paths repeat, so their parts are kept."""
+    """Vectors of blocks. The part of an element's path is that of the one around it and its own cells."""
 
     def __init__(self):
-        self.paths: dict[tuple, np.ndarray] = {}
+        self.own: dict[Element, list[int]] = {}
 
-    def path(self, path: tuple[Element, ...]) -> np.ndarray:
-        found = self.paths.get(path)
+    def cells(self, element: Element) -> list[int]:
+        found = self.own.get(element)
         if found is None:
-            found = np.zeros(PATH_CELLS, np.float32)
-            for tag, names in path:
-                for name in (tag, *names):
-                    found[_cell(name, PATH_CELLS // 2)] = 1
-                    # A second cell, so that names that meet in one differ in the other.
-                    found[PATH_CELLS // 2 + _cell("2" + name, PATH_CELLS // 2)] = 1
-            if len(self.paths) >= 20_000:
-                self.paths.clear()
-            self.paths[path] = found
+            half, names = PATH_CELLS // 2, (element[0], *element[1])
+            # A second cell, so that names that meet in one differ in the other.
+            found = [_cell(n, half) for n in names] + [half + _cell("2" + n, half) for n in names]
+            if len(self.own) >= 20_000:
+                self.own.clear()
+            self.own[element] = found
+        return found
+
+    def path(self, node: Node | None) -> np.ndarray:
+        new = []
+        while node and node.cells is None:
+            new.append(node)
+            node = node.around
+        found = node.cells if node else np.zeros(PATH_CELLS, np.float32)
+        for node in reversed(new):
+            cells = self.cells(node.element)
+            if not found[cells].all():
+                found = found.copy()
+                found[cells] = 1
+            node.cells = found
         return found
 
     def page(self, blocks: list[Block]) -> np.ndarray:
         out = np.zeros((len(blocks), WIDTH), np.float32)
         for i, block in enumerate(blocks):
-            out[i, :PATH_CELLS] = self.path(block.path)
+            out[i, :PATH_CELLS] = self.path(block.inside)
             words = block.text.lower().encode("utf-8", "surrogatepass").split()
             cells = np.bincount([zlib.crc32(w) % WORD_CELLS for w in words], minlength=WORD_CELLS)
             out[i, PATH_CELLS : PATH_CELLS + WORD_CELLS] = 0.25 * np.log1p(cells)
@@ -365,7 +474,10 @@ def variant(blocks: list[Block], labels: np.ndarray, rng) -> tuple[list[Block],
         return some[int(rng.integers(len(some)))]
 
     swap = {"article": pick(_ARTICLES), "nav": pick(_MENUS), "footer": pick(_FOOTERS), "div": pick(_ADVERTS)}
-    out = [Block(b.text, tuple(swap.get(e[0], e) if e[0] != "div" or set(e[1]) & OTHER_NAMES else e for e in b.path), b.linked) for b in blocks]
+    out = [
+        Block(b.text, nested(swap.get(e[0], e) if e[0] != "div" or set(e[1]) & OTHER_NAMES else e for e in b.path), b.linked)
+        for b in blocks
+    ]
     marks = list(labels)
     if blocks:
         for _ in range(int(rng.integers(0, 4))):
@@ -375,7 +487,7 @@ def variant(blocks: list[Block], labels: np.ndarray, rng) -> tuple[list[Block],
             outer = tuple(e for e in outer if e[0] != "p")
             for _ in range(int(rng.integers(1, 4))):
                 text = blocks[int(rng.integers(len(blocks)))].text
-                out.insert(at, Block(text, (*outer, extra, inner), 0 if rng.random() < 0.7 else len(text)))
+                out.insert(at, Block(text, nested((*outer, extra, inner)), 0 if rng.random() < 0.7 else len(text)))
                 marks.insert(at, 0.0)
     return out, np.array(marks, np.float32)
 
