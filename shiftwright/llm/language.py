@@ -8,6 +8,7 @@ mean over its known n-grams, so only words without any known letter say nothing.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -17,6 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from shiftwright.llm.common import passed
 
@@ -24,17 +26,24 @@ from shiftwright.llm.common import passed
 DOCS_PER_LANG = 2_000
 # Languages the model learns: the most frequent ones. Their counts are sent to every task.
 MAX_LANGS = 1_000
-# What the model keeps: the most frequent words, and the most frequent n-grams of all lengths together.
-MAX_WORDS, MAX_GRAMS, MAX_LENGTH = 60_000, 40_000, 4
+# What the model keeps: about so many words, and n-grams of each length. Every language has an equal part of them for
+# the most frequent ones of its own, and at least MIN_ITEMS.
+MAX_WORDS, MAX_GRAMS, MAX_LENGTH, MIN_ITEMS = 60_000, 15_000, 4, 50
 CACHE_WORDS = 300_000
 UNKNOWN = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
+# Numbers that the pattern takes for letters, such as fractions and Roman numerals.
+_NUMBERS = frozenset(c for c in map(chr, range(0x80, 0x110000)) if unicodedata.category(c) in ("No", "Nl"))
+_NO_NUMBERS = dict.fromkeys(map(ord, _NUMBERS), " ")
 
 
 def words_of(text: str) -> list[str]:
     """Runs of letters in lower case."""
-    return _WORD.findall(text.lower())
+    text = text.lower()
+    if not text.isascii() and not _NUMBERS.isdisjoint(text):
+        text = text.translate(_NO_NUMBERS)
+    return _WORD.findall(text)
 
 
 def grams_of(word: str, length: int) -> list[str]:
@@ -134,9 +143,13 @@ def fit(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> Model:
         )
 
     def most_frequent(rows: DataFrame, most: int) -> list:
+        """Items that are among the ``most`` of a language, of their length, with their counts in all."""
+        each = max(MIN_ITEMS, most // max(1, rows.select("lang").distinct().count()))
+        order = W.partitionBy("lang", "length").orderBy(F.desc("n"), "item")
         return (
-            rows.groupBy("item").agg(F.sum("n").alias("n"), F.collect_list(F.struct("lang", "n")).alias("by_lang"))
-            .where("n > 1").orderBy(F.desc("n"), "item").limit(most).collect()
+            rows.withColumn("rank", F.row_number().over(order)).groupBy("item")
+            .agg(F.sum("n").alias("n"), F.min("rank").alias("rank"), F.collect_list(F.struct("lang", "n")).alias("by_lang"))
+            .where(F.col("rank") <= each).orderBy(F.desc("n"), "item").collect()
         )
 
     def total(rows: DataFrame) -> DataFrame:
@@ -144,8 +157,8 @@ def fit(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> Model:
 
     kind = "lang string, item string, n long"
     by_word = total(training_rows(docs, docs_per_lang).mapInArrow(words, kind)).persist()
-    word_rows = most_frequent(by_word, MAX_WORDS)
-    gram_rows = most_frequent(total(by_word.mapInArrow(grams, kind)), MAX_GRAMS)
+    word_rows = most_frequent(by_word.withColumn("length", F.lit(0)), MAX_WORDS)
+    gram_rows = most_frequent(total(by_word.mapInArrow(grams, kind)).withColumn("length", F.length("item")), MAX_GRAMS)
     by_word.unpersist()
     langs = sorted({x["lang"] for row in gram_rows for x in row["by_lang"]})
 
