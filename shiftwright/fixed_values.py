@@ -132,7 +132,6 @@ def element_pattern(directive: str) -> str:
 NGIF_SIMPLE_WIDE_LOOKAHEAD = r'\*ngIf="((?!.*\|\s*async\s+as\s+\w+)[^"]+)"'
 
 # Names an *ngFor microsyntax may bind; each becomes the same name behind a dollar sign.
-FOR_LOCALS = ["index", "first", "last", "even", "odd", "count"]
 
 # --- Fixed values: secret patterns (the first is the known one; the others are
 # --- published token formats) --------------------------------------------------

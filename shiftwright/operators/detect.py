@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -180,3 +182,18 @@ def validate_requests(requests: DataFrame, catalog) -> DataFrame:
         "display_name",
         error.alias("error"),
     )
+
+
+def custom_suffixes(migration: Column) -> Column:
+    """Suffixes of the files to read when the caller brings a rule set: by a word in the migration's name."""
+    def listed(word: str) -> Column:
+        return F.array(*map(F.lit, fixed.LEGACY_SUFFIXES[word]))
+
+    words = [w for w in fixed.LEGACY_SUFFIXES if w != "*"]
+    found = reduce(lambda acc, w: acc.when(migration.contains(w), listed(w)), words, F.when(F.lit(False), listed("*")))
+    return found.otherwise(listed("*"))
+
+
+def select_custom_files(files: DataFrame, migration: Column) -> DataFrame:
+    """Files with a suffix that the migration's name asks for; only the path is looked at."""
+    return files.filter(F.exists(custom_suffixes(migration), lambda s: F.endswith(F.col("path"), s)))

@@ -263,11 +263,34 @@ def run_history(totals: DataFrame, by: list, day: Column) -> DataFrame:
     return daily.withColumn("approved_change", F.col("auto_approved") - previous)
 
 
-def run_metrics(attempts: DataFrame) -> DataFrame:
-    """Per run: automatic rate, review rate and retry success rate.
+def next_fixes(approvals: DataFrame, fixes: DataFrame, keys: list, order: list) -> DataFrame:
+    """``approvals`` with ``fixed_at``, the order of the first fix or roll-back of the file after it; null without one.
 
-    ``attempts`` has run_id and action, as retry routing gives them, and retry_count.
+    A file is approved once, so the match of a busy file has as many rows as it has fixes, of which the smallest is
+    taken within tasks first.
     """
+    at, approved = F.struct(*order), "_approved_at"
+    asked = approvals.select(*keys, at.alias(approved))
+    first = fixes.select(*keys, at.alias("fixed_at")).join(asked, keys).where(F.col("fixed_at") > F.col(approved)).groupBy(
+        *keys).agg(F.min("fixed_at").alias("fixed_at"))
+    return approvals.join(first, keys, "left")
+
+
+def false_confidence(approvals: DataFrame) -> DataFrame:
+    """Per run the share of approved files that needed a later fix, from approvals with ``fixed_at``."""
+    return approvals.groupBy("run_id").agg(
+        (F.count("fixed_at") / F.count(F.lit(1))).alias("false_confidence_rate"))
+
+
+def run_metrics(attempts: DataFrame, fixes: DataFrame | None = None, keys: list | None = None, order: list | None = None) -> DataFrame:
+    """Per run: automatic rate, review rate, retry success rate and, with ``fixes``, false confidence rate.
+
+    ``attempts`` has run_id and action, as retry routing gives them, and retry_count. ``fixes`` are later fixes and
+    roll-backs by the same ``keys`` and ``order``; a run without approvals has no false confidence rate.
+    """
+    if fixes is not None:
+        approvals = attempts.where("action = 'approve'").select("run_id", *keys, *order)
+        return run_metrics(attempts).join(false_confidence(next_fixes(approvals, fixes, keys, order)), "run_id", "left")
     final = F.col("action").isin("approve", "escalate")
     approved = F.col("action") == "approve"
     decided = F.count_if(final)

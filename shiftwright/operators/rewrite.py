@@ -323,7 +323,7 @@ def _for_head(value: Column) -> Column:
     track = F.coalesce(
         F.concat(F.regexp_extract(last_track, track_by, 1), F.lit("($index, "), item, F.lit(")")), item
     )
-    # Each local maps to its own name behind a dollar sign (fixed.FOR_LOCALS and any other).
+    # Each local maps to its own name behind a dollar sign (index, first, any other).
     locals_ = F.transform(
         F.filter(clauses, lambda c: c.rlike(local)),
         lambda c: F.concat(

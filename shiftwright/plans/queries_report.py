@@ -120,8 +120,10 @@ def run_metrics(spark, sf):
 
     routed = score.retry_routing(_steps(spark, sf), ["user_id"], ["ts", "event_id"])
     per_month = routed.withColumn("run_id", F.date_format("ts", "yyyy-MM-dd"))
-    metrics = report.run_metrics(per_month)
-    rates = ["automatic_rate", "review_rate", "retry_success_rate"]
+    # A failure of a file that was approved is taken for the fix that it needed.
+    fixes = _steps(spark, sf).where("NOT passed")
+    metrics = report.run_metrics(per_month, fixes, ["user_id"], ["ts", "event_id"])
+    rates = ["automatic_rate", "review_rate", "retry_success_rate", "false_confidence_rate"]
     return metrics.select("run_id", "files", *[F.round(r, 6).alias(r) for r in rates])
 
 
@@ -298,15 +300,21 @@ n AS (
     coalesce(bool_or(passed OR secret) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS decided
   FROM s WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 a AS (
-  SELECT strftime(ts, '%Y-%m-%d') AS run_id, attempt,
+  SELECT strftime(ts, '%Y-%m-%d') AS run_id, attempt, user_id, ts, event_id,
     CASE WHEN decided OR attempt > 4 THEN 'closed' WHEN passed THEN 'approve' WHEN secret THEN 'escalate'
          WHEN attempt <= 3 THEN 'retry' ELSE 'escalate' END AS action FROM n),
+late AS (
+  SELECT a.event_id, any_value(a.run_id) AS run_id FROM a JOIN s ON s.user_id = a.user_id AND NOT s.passed
+    AND (s.ts, s.event_id) > (a.ts, a.event_id) WHERE action = 'approve' GROUP BY a.event_id),
+l AS (SELECT run_id, count(*) AS fixed FROM late GROUP BY run_id),
 g AS (
   SELECT run_id, count(*) FILTER (action IN ('approve', 'escalate')) AS files, count(*) FILTER (action = 'approve') AS ok,
     count(*) FILTER (action IN ('approve', 'escalate') AND attempt > 1) AS retried,
     count(*) FILTER (action = 'approve' AND attempt > 1) AS retried_ok FROM a GROUP BY run_id)
 SELECT run_id, files, round(ok / nullif(files, 0), 6) AS automatic_rate, round((files - ok) / nullif(files, 0), 6) AS review_rate,
-       round(retried_ok / nullif(retried, 0), 6) AS retry_success_rate FROM g""",
+       round(retried_ok / nullif(retried, 0), 6) AS retry_success_rate,
+       round(CASE WHEN ok > 0 THEN coalesce(fixed, 0) / ok END, 6) AS false_confidence_rate
+FROM g LEFT JOIN l USING (run_id)""",
     "migrate_records": f"""
 WITH {ORDERS_SQL},
 t AS (SELECT *, k::BIGINT % 11 = 0 AS secret, CASE WHEN k::BIGINT % 11 = 0 THEN 'AKIA' || lpad(k, 16, '0') ELSE '' END AS tail FROM o)

@@ -231,7 +231,15 @@ def scan_json(spark, sf):
     return scan.scan_documents(scan.find_matches(files, PAGE_RULES), files, "site", "cleanup")
 
 
+def custom_files(spark, sf):
+    """Parts as files of requests that bring their own rules."""
+    suffix = F.get(F.array(*map(F.lit, [".html", ".ts", ".js", ".jsx", ".css"])), F.pmod("p_partkey", F.lit(5)).cast("int"))
+    files = _requests(spark, sf).select("migration_type", F.concat(F.lit("src/p"), F.col("p_partkey"), suffix).alias("path"))
+    return detect.select_custom_files(files, F.col("migration_type"))
+
+
 QUERIES = {
+    "custom_files": custom_files,
     "select_files": select_files,
     "select_files_by_key": select_files_by_key,
     "detect_framework": detect_framework,
@@ -256,6 +264,11 @@ SELECT project, path, CASE WHEN bool_or(classification = 'ambiguous') THEN 'ambi
 FROM matches GROUP BY project, path"""
 
 ORACLES = {
+    "custom_files": f"""WITH {_REQUESTS_SQL},
+f AS (SELECT migration_type, ['.html', '.ts', '.js', '.jsx', '.css'][(p_partkey % 5 + 1)::INT] AS suffix, p_partkey FROM requests)
+SELECT migration_type, 'src/p' || p_partkey || suffix AS path FROM f
+WHERE CASE WHEN migration_type LIKE '%angular%' THEN suffix = '.html'
+           WHEN migration_type LIKE '%react%' THEN suffix IN ('.jsx', '.js', '.ts') ELSE suffix IN ('.html', '.ts', '.js') END""",
     "select_files": r"""
 WITH f AS (
   SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS project,

@@ -111,3 +111,10 @@ def test_manifests(spark):
     out = {r.id: r for r in df.withColumn("d", F.when(F.col("m").isNotNull(), sources.merged_dependencies(F.col("m")))).collect()}
     assert out["ok"].d == {"a": "2", "b": "1"}
     assert out["bad"].m is None and out["list"].m is None and out["empty"].d == {}
+
+
+def test_custom_suffixes_follow_the_name(spark):
+    files = spark.createDataFrame([("my_angular_rules", p) for p in ("a.html", "a.ts")] + [
+        ("react_x", p) for p in ("a.tsx", "a.html")] + [("other", p) for p in ("a.html", "a.ts", "a.py")], "m string, path string")
+    kept = {tuple(r) for r in detect.select_custom_files(files, F.col("m")).collect()}
+    assert kept == {("my_angular_rules", "a.html"), ("react_x", "a.tsx"), ("other", "a.html"), ("other", "a.ts")}

@@ -187,3 +187,12 @@ def test_failing_model_calls_stay_with_their_file(spark):
 def test_every_query_has_sql():
     assert set(registered.QUERIES) == set(registered.ORACLES)
     assert len(registered.QUERIES) > 60
+
+
+def test_false_confidence_counts_later_fixes_only(spark):
+    approvals = spark.createDataFrame(
+        [("r1", "a", 5), ("r1", "b", 5), ("r2", "c", 1)], "run_id string, file string, at int")
+    fixes = spark.createDataFrame([("a", 4), ("a", 9), ("a", 7), ("b", 5), ("d", 9)], "file string, at int")
+    matched = report.next_fixes(approvals, fixes, ["file"], ["at"])
+    assert {r.file: r.fixed_at and r.fixed_at.at for r in matched.collect()} == {"a": 7, "b": None, "c": None}
+    assert {r.run_id: r.false_confidence_rate for r in report.false_confidence(matched).collect()} == {"r1": 0.5, "r2": 0.0}
