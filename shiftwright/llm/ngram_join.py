@@ -419,14 +419,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that stand for their component: the one of the smallest id, and all without words.
 
-    Of rows that repeat both id and text one stays; rows of a component without any id all stay.
+    Of rows that repeat both id and text one stays; rows of a component without any id all stay. Null and empty texts
+    have no words, so they all stay. Other columns pass through, whatever their names. An empty table stays empty.
     """
-    found = near_duplicates(docs, **options)
+    # The caller's other columns travel as one, so that none can meet a name in use here.
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    caller = F.struct(F.lit(0).alias("no column"), *[F.col(f"`{c}`") for c in others]).alias("caller")
+    found = near_duplicates(docs.select("doc_id", "text"), **options)
     keepers = found.where(
         (F.col("n_shingles") == 0) | F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))
     ).select("_k1", "_k2", "n_shingles").dropDuplicates(["_k1", "_k2"])
-    kept = with_row_key(docs).join(keepers, ["_k1", "_k2"])
-    return (
-        kept.where("n_shingles > 0").dropDuplicates(["_k1", "_k2"])
-        .unionByName(kept.where("n_shingles = 0")).select(*docs.columns)
-    )
+    kept = with_row_key(docs.select("doc_id", "text", caller)).join(keepers, ["_k1", "_k2"])
+    out = kept.where("n_shingles > 0").dropDuplicates(["_k1", "_k2"]).unionByName(kept.where("n_shingles = 0"))
+    return out.select(*[F.col(f"caller.`{c}`").alias(c) if c in others else F.col(c) for c in docs.columns])

@@ -169,3 +169,12 @@ def test_pipeline_stages(spark, wide, bench, tmp_path):
                 assert out.columns == wide.columns
                 docs = out
         assert out.count() <= wide.count()
+
+
+def test_keep_one_takes_columns_of_any_name(spark, wide):
+    named = wide.withColumns({c: F.lit(5) for c in ("n_shingles", "component_id", "_k1", "_k2", "caller", "no column x")})
+    kept = ngram_join.keep_one(named, size=5, percent=80)
+    assert kept.columns == named.columns
+    rows = kept.collect()
+    assert {(r.n_shingles, r._k1, r.caller) for r in rows} == {(5, 5, 5)}
+    assert sorted(str(r.doc_id) for r in rows) == sorted(str(r.doc_id) for r in ngram_join.keep_one(wide, size=5, percent=80).collect())
