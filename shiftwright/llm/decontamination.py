@@ -90,17 +90,20 @@ def corpus_counts(docs: DataFrame, bits, sizes: list[int]) -> DataFrame:
     return docs.select("text").mapInArrow(rows, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
 
 
-def document_positions(docs: DataFrame, bits, sizes: list[int], window_words: int) -> DataFrame:
-    """One row per document: doc_id, n_words, and the marked positions with the words around each."""
+def document_positions(docs: DataFrame, bits, widest: dict[int, int]) -> DataFrame:
+    """One row per document: doc_id, n_words, and the marked positions with the words around each.
+
+    ``widest`` has, for each length of shingles, the words of the longest window with such: no window reaches further.
+    """
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, places = [], []
             for text in batch["text"]:
                 words = item_words(text.as_py())
                 hashed, found = hash_words(words), []
-                for size in sizes:
+                for size, window in widest.items():
                     shingles = hash_shingles(hashed, size)
-                    reach = window_words - size
+                    reach = window - size
                     for p in marked(shingles, bits.value).tolist():
                         first = max(0, p - reach)
                         around = b" ".join(words[first : p + size + reach]).decode("utf-8", "surrogatepass")
@@ -143,7 +146,8 @@ def contamination(
     spark = docs.sparkSession
     keyed = with_row_key(docs.select("doc_id", "text"))
     windows = cut(benchmark_windows(benchmark, window_words, shingle_words), "windows")
-    sizes = sorted(r[0] for r in windows.select("size").distinct().collect())
+    widest = dict(sorted(tuple(r) for r in windows.groupBy("size").agg(F.max("words")).collect()))
+    sizes = list(widest)
     all_bits = spark.sparkContext.broadcast(hash_bitmap(windows, "shingle"))
     counts = corpus_counts(keyed, all_bits, sizes)
     # The rarest shingle of a window is its prefix; ties go to the smaller hash, then the earlier offset.
@@ -156,7 +160,7 @@ def contamination(
     )
     bits = spark.sparkContext.broadcast(hash_bitmap(prefixes, "shingle"))
     found = cut(
-        document_positions(keyed, bits, sizes, window_words).withColumn("_row", F.monotonically_increasing_id()),
+        document_positions(keyed, bits, widest).withColumn("_row", F.monotonically_increasing_id()),
         "positions",
     )
     start = F.col("at") - F.col("offset")
