@@ -220,3 +220,52 @@ def evaluation_set(questions: DataFrame, retrieved: DataFrame, answers: DataFram
     return questions.join(contexts, key, "left").join(answers, key, "left").select(
         key, "question", F.coalesce("contexts", F.array().cast("array<string>")).alias("contexts"), "answer"
     )
+
+
+def _grams(text: Column, n: int) -> Column:
+    """Hashes of the runs of ``n`` words of a text, by place. A shorter text is one run, a text without words none."""
+    all_words = F.filter(F.split(F.lower(text), WORD), lambda w: w != "")
+    # Binding the words to a lambda keeps them from being computed for each run.
+    return F.flatten(F.transform(F.array(all_words), lambda own: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size(own) - (n - 1), F.lit(1))),
+        lambda at: F.xxhash64(F.array_join(F.slice(own, at, n), " ")),
+    )))
+
+
+def groundedness(evaluation: DataFrame, key: str, n: int = 3) -> DataFrame:
+    """How much of each answer stands in its contexts: words, grounded words, spans and the share of the words.
+
+    ``evaluation`` is an evaluation set with one row per ``key``. A word is grounded if some run of ``n`` words that
+    it lies in occurs in one of the contexts; spans are the longest stretches of grounded words. An answer of fewer words is
+    grounded if a context holds it as a whole. Null and wordless answers have no words, no
+    spans and a null share. The runs of answers meet an index of the runs of their own contexts, on key and run, so
+    that a run that all texts share is no hot key; spans are the union of the covered places of one answer.
+    """
+    kept = evaluation.select(key, "contexts", "answer")
+    words_of = F.filter(F.split(F.lower("answer"), WORD), lambda w: w != "")
+    sized = kept.select(key, "answer", "contexts", F.coalesce(F.size(words_of), F.lit(0)).alias("words"))
+    usable = sized.filter(F.col("words") > 0)
+    length = F.least(F.col("words"), F.lit(n))
+    runs = usable.select(key, "words", F.posexplode(_grams(F.col("answer"), n)).alias("at", "gram"))
+    # An answer below n words is looked up by runs of its own length.
+    index = None
+    for size in range(1, n + 1):
+        part = usable.filter(length == size).select(key, F.explode("contexts").alias("context")).select(
+            key, F.explode(_grams(F.col("context"), size)).alias("gram"))
+        index = part if index is None else index.unionByName(part)
+    covered = runs.join(index, [key, "gram"], "left_semi").groupBy(key).agg(
+        F.array_sort(F.collect_list("at")).alias("places"), F.first(F.least(F.col("words"), F.lit(n))).alias("run"))
+    steps = F.zip_with(F.slice("places", F.lit(2), F.size("places")), F.slice("places", F.lit(1), F.size("places") - 1),
+                       lambda later, earlier: later - earlier)
+    union = covered.select(key, "run", steps.alias("steps")).select(
+        key,
+        (F.col("run") + F.aggregate("steps", F.lit(0), lambda a, d: a + F.least(d, F.col("run")))).alias("grounded"),
+        (1 + F.size(F.filter("steps", lambda d: d > F.col("run")))).alias("spans"),
+    )
+    counted = sized.select(key, "words").join(union, key, "left")
+    grounded = F.coalesce("grounded", F.lit(0)).cast("bigint")
+    return counted.select(
+        key, F.col("words").cast("bigint").alias("words"), grounded.alias("grounded_words"),
+        F.coalesce("spans", F.lit(0)).cast("bigint").alias("spans"),
+        F.when(F.col("words") > 0, grounded / F.col("words")).alias("groundedness"),
+    )

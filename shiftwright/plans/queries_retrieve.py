@@ -122,7 +122,7 @@ def strip_fence(spark, sf):
     return _talk(spark, sf).select("conv_id", "turn", retrieve.strip_fence(response).alias("answer"))
 
 
-def eval_set(spark, sf):
+def _evaluation(spark, sf):
     """User turns as questions, the following assistant turn as answer, passages as contexts."""
     by_talk = Window.partitionBy("conv_id").orderBy("turn")
     talk = _talk(spark, sf).withColumns({
@@ -135,11 +135,20 @@ def eval_set(spark, sf):
         "id", F.lit("bench").alias("framework"), F.concat(F.lit("m"), F.col("conv_id") % 5).alias("migration"), "text"
     )
     retrieved = retrieve.rank_chunks_by_words(requests, _chunks_of_bench(spark, sf), ["id"], 3)
-    return retrieve.evaluation_set(questions, retrieved, answers, "id", 2).select(
+    return retrieve.evaluation_set(questions, retrieved, answers, "id", 2)
+
+
+def eval_set(spark, sf):
+    return _evaluation(spark, sf).select(
         "id", "question", F.array_join("contexts", "\n--\n").alias("contexts"), "answer"
     )
 
 
+def eval_overlap(spark, sf):
+    """How much of each answer stands in the passages found for its question, in runs of two words."""
+    return retrieve.groundedness(_evaluation(spark, sf), "id", 2)
+
+
 QUERIES = {
     "guides": guides,
     "doc_statistics": doc_statistics,
@@ -151,6 +160,7 @@ QUERIES = {
     "model_slot": model_slot,
     "strip_fence": strip_fence,
     "eval_set": eval_set,
+    "eval_overlap": eval_overlap,
 }
 
 
@@ -231,4 +241,26 @@ SELECT talk.id, text AS question,
   coalesce((SELECT string_agg(chunk_text, chr(10) || '--' || chr(10) ORDER BY rank) FROM ranked WHERE ranked.id = talk.id AND rank <= 2), '') AS contexts,
   CASE WHEN next_role = 'assistant' THEN next_text END AS answer
 FROM talk WHERE role = 'user'""",
+    "eval_overlap": f"""
+WITH talk AS (
+  SELECT conv_id || '/' || turn AS id, conv_id % 5 AS m, text, role,
+    lead(role) OVER w AS next_role, lead(text) OVER w AS next_text
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+requests AS (SELECT id, m, text FROM talk WHERE role = 'user'), {_RANKED_SQL},
+answers AS (
+  SELECT id, CASE WHEN next_role = 'assistant' THEN {_WORDS.format('next_text')} END AS w FROM talk WHERE role = 'user'),
+contexts AS (
+  SELECT a.id, least(len(a.w), 2) AS size, {_WORDS.format('chunk_text')} AS w FROM answers a JOIN ranked r ON r.id = a.id AND rank <= 2),
+held AS (
+  SELECT DISTINCT id, array_to_string(w[p:p + size - 1], ' ') AS gram
+  FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS p FROM contexts WHERE size > 0)),
+runs AS (
+  SELECT id, least(len(w), 2) AS size, p, array_to_string(w[p:p + least(len(w), 2) - 1], ' ') AS gram
+  FROM (SELECT *, unnest(range(1, len(w) - least(len(w), 2) + 2)) AS p FROM answers WHERE len(w) > 0)),
+hit AS (SELECT DISTINCT id, unnest(range(p, p + size)) AS p FROM runs SEMI JOIN held USING (id, gram)),
+starts AS (SELECT id, (SELECT count(*) FROM hit h WHERE h.id = hit.id AND h.p = hit.p - 1) > 0 AS goes_on FROM hit),
+found AS (SELECT id, count(*) AS n, count(*) FILTER (NOT goes_on) AS spans FROM starts GROUP BY id)
+SELECT a.id, coalesce(len(w), 0)::BIGINT AS words, coalesce(n, 0) AS grounded_words, coalesce(spans, 0) AS spans,
+  CASE WHEN len(w) > 0 THEN coalesce(n, 0) / len(w) END::DOUBLE AS groundedness
+FROM answers a LEFT JOIN found f ON f.id = a.id""",
 }
