@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shiftwright import fixed_values as fixed
+from shiftwright.operators.state import sessions
 
 
 def attempt_state(
@@ -48,10 +49,14 @@ def failure_windows(
 
 
 def failure_sessions(attempts: DataFrame, keys: list, at: str, gap: str = "30 minutes", late: str | None = None) -> DataFrame:
-    """Sessions of steps per key: runs of steps no further apart than ``gap``. A stream needs ``late``, as above."""
-    timed = attempts.withColumn("_at", F.col(at).cast("timestamp"))
-    if timed.isStreaming:
-        timed = timed.withWatermark("_at", _chosen(late))
+    """Sessions of steps per key: runs of steps no further apart than ``gap``. A stream needs ``late``, as above.
+
+    A table is cut into sessions by a scan that spreads a hot key over tasks; a stream keeps the open sessions as state.
+    """
+    failed = ~F.col("passed")
+    if not attempts.isStreaming:
+        return sessions(attempts, keys, at, gap, {"steps": F.lit(1), "failures": F.when(failed, 1).otherwise(0)})
+    timed = attempts.withColumn("_at", F.col(at).cast("timestamp")).withWatermark("_at", _chosen(late))
     return timed.groupBy(*keys, F.session_window("_at", gap).alias("_w")).agg(
-        F.count(F.lit(1)).alias("steps"), F.count_if(~F.col("passed")).alias("failures")
+        F.count(F.lit(1)).alias("steps"), F.count_if(failed).alias("failures")
     ).select(*keys, F.col("_w.start").alias("session_start"), F.col("_w.end").alias("session_end"), "steps", "failures")
