@@ -241,15 +241,19 @@ _HINT_ROWS = ", ".join(
 )
 
 
-def _steps(spark, sf):
+def with_outcome(events):
     """Events as attempts: the user is the file, an error a failure of some category."""
     k = F.get_json_object("props", "$.k").cast("int")
-    return read(spark, sf, "events").select(
+    return events.select(
         "event_id", "ts", "user_id", "event_type", "value", (F.col("event_type") != "error").alias("passed"),
         F.when((F.col("event_type") == "error") & (k % 5 == 0), "secrets_detected").alias("category"),
     )
 
 
+def _steps(spark, sf):
+    return with_outcome(read(spark, sf, "events"))
+
+
 def retry_routing(spark, sf):
     routed = score.retry_routing(_steps(spark, sf), ["user_id"], ["ts", "event_id"])
     return routed.select("event_id", "user_id", "attempt", "retry_count", "action")

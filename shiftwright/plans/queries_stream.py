@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shiftwright.operators import scan
+from shiftwright.plans.queries_checks import ORACLES as CHECK_ORACLES, with_outcome
 from shiftwright.plans.queries_scan import MATCHES_SQL, ORACLES as SCAN_ORACLES, PAGE_RULES
 from shiftwright.plans.tables import pages, read
 from shiftwright.session import shared_path
@@ -32,6 +33,17 @@ def attempts_stream(spark, sf):
     return _finished(spark, stream, lambda b: b, ["user_id"], "update")
 
 
+def retry_stream(spark, sf):
+    """The retry budget kept as the state of a stream, decisions as rows."""
+    schema = read(spark, sf, "events").schema
+    steps = with_outcome(incremental.stream_table(spark, f"{sf}/events.parquet", schema))
+    # The rows come in no order of time, so none of the table is late.
+    stream = attempts.retry_decisions(steps, ["user_id"], "ts", "event_id", "400 days")
+    files = _finished(spark, stream, lambda b: b, ["user_id"], "update")
+    return files.select("user_id", F.inline("decisions")).select(
+        F.col("id").alias("event_id"), "user_id", "attempt", "retry_count", "action")
+
+
 def failure_windows_stream(spark, sf):
     stream = attempts.failure_windows(_steps(spark, sf), "ts", "6 hours", late="40 days")
     out = _finished(spark, stream, lambda b: b, ["window_start", "window_end"], "update")
@@ -91,6 +103,7 @@ def incremental_summary(spark, sf):
 QUERIES = {
     "incremental_summary": incremental_summary,
     "attempts_stream": attempts_stream,
+    "retry_stream": retry_stream,
     "failure_windows_stream": failure_windows_stream,
     "failure_windows_sliding": failure_windows_sliding,
     "failure_sessions": failure_sessions,
@@ -103,6 +116,7 @@ ORACLES = {
 SELECT user_id, count(*) AS steps, count(*) FILTER (event_type = 'error') AS failures,
   arg_max(event_type, (ts, event_id)) AS latest, greatest(3 - count(*) FILTER (event_type = 'error'), 0)::BIGINT AS retries_left
 FROM events GROUP BY user_id""",
+    "retry_stream": f"SELECT * FROM ({CHECK_ORACLES['retry_routing']}) WHERE action <> 'closed'",
     "failure_windows_stream": """
 SELECT strftime(time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '2000-01-01'), '%Y-%m-%d %H:%M:%S') AS window_start,
   strftime(time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '2000-01-01') + INTERVAL '6 hours', '%Y-%m-%d %H:%M:%S') AS window_end,
