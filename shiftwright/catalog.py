@@ -110,6 +110,10 @@ class Catalog:
         found = [r for r in self.rules_for(framework, migration) if r.pattern_id == pattern_id]
         return found[0] if found else None
 
+    def keyed_rules(self) -> list:
+        """The rules of all migrations: (framework, migration, number within the migration, rule)."""
+        return [(fw, mig, i, r) for (fw, mig), rules in self.rules.items() for i, r in enumerate(rules)]
+
     # -- tables ---------------------------------------------------------------
 
     def migrations_table(self, spark: SparkSession) -> DataFrame:
@@ -229,6 +233,11 @@ def _arrow_schema(schema) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
+def same_key(framework: str, migration: str) -> Column:
+    """True on rows of one migration, by their ``framework`` and ``migration``; false where either is null."""
+    return F.coalesce((F.col("framework") == framework) & (F.col("migration") == migration), F.lit(False))
+
+
 def default_migration(migrations: DataFrame) -> DataFrame:
     """Per framework the first migration flagged as default, else the first one."""
     first = F.min_by(

@@ -62,19 +62,30 @@ def run_checks(texts: DataFrame, checks: list, content: str = "after") -> DataFr
 
 
 def external_results(
-    files: DataFrame, external: DataFrame, framework: str = "angular", stages: list | None = None
+    files: DataFrame, external: DataFrame, framework: str | None = "angular", stages: list | None = None
 ) -> DataFrame:
     """Ingested type and lint results per file; a missing one counts as passed, with a note.
 
-    ``files`` holds the keys, ``external`` (keys, stage, passed, errors).
+    ``files`` holds the keys, ``external`` (keys, stage, passed, errors). Without
+    ``framework``, ``files`` has it as a column.
     """
     keys = [c for c in ATTEMPT if c in files.columns]
     stages = EXTERNAL_STAGES if stages is None else stages
+
+    def note(stage: str) -> Column:
+        other = f"[SKIPPED] No {stage} result"
+        if framework is not None:
+            return F.lit(fixed.SKIPPED_NOTES.get((framework, stage), other))
+        out = F.when(F.lit(False), other)
+        for (name, s), text in fixed.SKIPPED_NOTES.items():
+            if s == stage:
+                out = out.when(F.col("framework") == name, text)
+        return out.otherwise(other)
+
     expected = files.select(
         *keys,
         F.inline(F.array(*[
-            F.struct(F.lit(s).alias("stage"), F.lit(STAGE_ORDER.get(s, 50)).alias("stage_order"),
-                     F.lit(fixed.SKIPPED_NOTES.get((framework, s), f"[SKIPPED] No {s} result")).alias("_note"))
+            F.struct(F.lit(s).alias("stage"), F.lit(STAGE_ORDER.get(s, 50)).alias("stage_order"), note(s).alias("_note"))
             for s in stages
         ])),
     )

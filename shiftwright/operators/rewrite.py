@@ -768,34 +768,44 @@ FEW_PASSES = 4
 GROWING_PASSES = 8
 
 
-def apply_rules(files: DataFrame, rules: list, rounds: int | None = None) -> DataFrame:
+def apply_rules(files: DataFrame, rules: list, rounds: int | None = None, applies: list | None = None) -> DataFrame:
     """Apply plug-in rules whose rewrite is a replacement text or a Column function.
 
     Every rule is repeated within the row until it changes nothing more. ``rounds`` bounds the passes; without it a
     rule may take as many as the text has characters, and two. It ends early when a text comes again or when its matches
     become more in eight passes in a row. A file with a rule that has not settled keeps its text and gets an error;
-    ``exhausted`` lists such rules.
+    ``exhausted`` lists such rules. ``applies`` has a condition per rule: other files pass it by.
     """
     from shiftwright.catalog import ELEMENT_EDIT
 
-    usable = [r for r in rules if r.rewrite is not None and r.rewrite != ELEMENT_EDIT]
+    usable = [(i, r) for i, r in enumerate(rules) if r.rewrite is not None and r.rewrite != ELEMENT_EDIT]
     none = F.array().cast("array<string>")
+    guard = ["_applies"] if applies else []
     out = files.select(
         *FILE, normalize_newlines(F.col("content")).alias("before"), none.alias("_applied"), none.alias("_open"),
+        *([F.array(*applies).alias("_applies")] if applies else []),
     ).withColumn("_text", F.col("before"))
-    kept = [*FILE, "before", "_applied", "_open"]
-    for rule in usable:
+    kept = [*FILE, "before", "_applied", "_open", *guard]
+    for i, rule in usable:
+        passes = _passes(F.col("_text"), rule, rounds)
+        if applies:
+            passes = F.when(F.get("_applies", F.lit(i)), passes).otherwise(
+                F.struct(F.col("_text").alias("text"), F.lit(True).alias("done")))
         # One-row inlines: what they compute is not repeated where it is used.
-        few = out.select(*kept, F.col("_text").alias("_was"), F.inline(F.array(_passes(F.col("_text"), rule, rounds))).alias("_text", "_done"))
+        few = out.select(*kept, F.col("_text").alias("_was"), F.inline(F.array(passes)).alias("_text", "_done"))
         long = few.select(*kept, "_was", F.inline(F.array(_until_settled(rule, rounds))).alias("_text", "_done"))
         name = F.array(F.lit(rule.pattern_id))
         out = long.select(
-            *FILE, "before", "_text",
+            *FILE, "before", "_text", *guard,
             F.when(F.col("_text") != F.col("_was"), F.concat("_applied", name)).otherwise(F.col("_applied")).alias("_applied"),
             F.when(~F.coalesce("_done", F.lit(True)), F.concat("_open", name)).otherwise(F.col("_open")).alias("_open"),
         )
     skipped = [
-        F.when(F.col("before").rlike(r.regex), F.lit(r.pattern_id)) for r in rules if r.rewrite is None
+        F.when(
+            F.get("_applies", F.lit(i)) & F.col("before").rlike(r.regex) if applies else F.col("before").rlike(r.regex),
+            F.lit(r.pattern_id),
+        )
+        for i, r in enumerate(rules) if r.rewrite is None
     ]
     settled = F.size("_open") == 0
     after = F.when(settled, F.col("_text")).otherwise(F.col("before"))
@@ -813,6 +823,39 @@ def apply_rules(files: DataFrame, rules: list, rounds: int | None = None) -> Dat
     )
 
 
+def rewrite_by_key(files: DataFrame, catalog) -> DataFrame:
+    """Rewrite files of many migrations, by their ``framework`` and ``migration``: before, after, error.
+
+    Element edits and plug-in rules each take all files they concern in one pass, whatever the number of migrations.
+    Where a migration has both, the element edits come first.
+    """
+    from shiftwright.catalog import ELEMENT_EDIT, same_key
+
+    keyed = catalog.keyed_rules()
+    rules, applies = [r for *_, r in keyed], [same_key(fw, mig) for fw, mig, *_ in keyed]
+    by_element = {(fw, mig) for fw, mig, _, r in keyed if r.rewrite == ELEMENT_EDIT}
+    by_text = {(fw, mig) for fw, mig, _, r in keyed if r.rewrite not in (None, ELEMENT_EDIT)}
+    outcome = [*FILE, "before", "after", "error"]
+
+    def of(keys: set) -> Column:
+        return reduce(lambda a, b: a | b, [same_key(*k) for k in sorted(keys)], F.lit(False))
+
+    out = rewrite_templates(files.filter(of(by_element))).select(*outcome)
+    both = by_element & by_text
+    if both:
+        # Only the keys of the files travel to their edited texts.
+        edited = out.join(files.filter(of(both)).select(*FILE, "framework", "migration"), FILE)
+        usable = edited.filter(F.col("error").isNull()).withColumn("content", F.col("after"))
+        again = apply_rules(usable, rules, applies=applies).select(*FILE, F.col("after").alias("_after"), F.col("error").alias("_error"))
+        out = out.join(again, FILE, "left").select(
+            *FILE, "before",
+            F.when(F.col("_error").isNotNull(), F.col("before")).otherwise(F.coalesce("_after", "after")).alias("after"),
+            F.coalesce("error", "_error").alias("error"),
+        )
+    rest = files.filter(~of(by_element))
+    return out.unionByName(apply_rules(rest, rules, applies=applies).select(*outcome))
+
+
 def _bound(value: Column, use) -> Column:
     """``use(value)`` with the value computed once."""
     return F.transform(F.array(value), use)[0]

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shiftwright import fixed_values as fixed
+from shiftwright.catalog import same_key
 from shiftwright.functions.text import normalize_newlines
 
 FILE = ["project", "path"]
@@ -125,19 +126,25 @@ _MEASURED = (
 )
 
 
-def find_matches(files: DataFrame, rules: list) -> DataFrame:
+def find_matches(files: DataFrame, rules: list, applies: list | None = None) -> DataFrame:
     """All matches of all rules, with class, offset, line, column and snippet.
 
     Matches of one rule do not overlap; matches of different rules may. The
-    offset counts code points from 0, line and column from 1.
+    offset counts code points from 0, line and column from 1. ``applies`` has a
+    condition per rule: on other files the rule is not looked for.
     """
     spark = files.sparkSession
     if not rules:
         return spark.createDataFrame([], _schema(files))
     text = files.filter(_any_needle(F.col("content"), rules)).select(
-        *FILE, prepared(F.col("content")).alias("_text")
+        *FILE, prepared(F.col("content")).alias("_text"), *([F.array(*applies).alias("_applies")] if applies else [])
     )
-    measured = [_measured(_marked(F.col("_text"), r), i) for i, r in enumerate(rules)]
+
+    def items(i: int, rule) -> Column:
+        marked = _marked(F.col("_text"), rule)
+        return F.when(F.get("_applies", F.lit(i)), marked) if applies else marked
+
+    measured = [_measured(items(i, r), i) for i, r in enumerate(rules)]
     rows = text.select(*FILE, F.inline(F.flatten(F.array(*measured)))).repartition(*FILE)
 
     by_match = Window.partitionBy(*FILE, "rule_idx").orderBy("nth")
@@ -189,18 +196,35 @@ def ordered(matches: DataFrame) -> DataFrame:
     return matches.orderBy(*FILE, "start", "rule_idx")
 
 
-def count_matches(files: DataFrame, rules: list, keep: list | None = None) -> DataFrame:
+def find_matches_by_key(files: DataFrame, catalog) -> DataFrame:
+    """The matches of files of many migrations, by their ``framework`` and ``migration``, in one pass.
+
+    Every file meets the rules of its own migration, numbered as there.
+    """
+    keyed = catalog.keyed_rules()
+    found = find_matches(files, [r for *_, r in keyed], [same_key(fw, mig) for fw, mig, *_ in keyed])
+    if not keyed:
+        return found
+    return found.withColumn("rule_idx", F.get(F.array(*[F.lit(i) for _, _, i, _ in keyed]), F.col("rule_idx")))
+
+
+def count_matches(
+    files: DataFrame, rules: list, keep: list | None = None, applies: list | None = None
+) -> DataFrame:
     """Per file: matches, deterministic and ambiguous ones, and the highest complexity rank.
 
-    A projection. Files without any match keep their row, with zeros.
+    A projection. Files without any match keep their row, with zeros. ``applies``
+    has a condition per rule, see find_matches.
     """
     text = prepared(F.col("content"))
     can_match = F.coalesce(_any_needle(F.col("content"), rules), F.lit(False))
+
+    def usable(i: int, rule) -> Column:
+        held = can_match if rule.needle is None else F.col("content").contains(rule.needle)
+        return applies[i] & held if applies else held
+
     counts = [
-        F.when(
-            can_match if r.needle is None else F.col("content").contains(r.needle),
-            F.regexp_count(text, F.lit(r.regex)),
-        ).otherwise(0).alias(f"_n{i}")
+        F.when(usable(i, r), F.regexp_count(text, F.lit(r.regex))).otherwise(0).alias(f"_n{i}")
         for i, r in enumerate(rules)
     ]
     keep = keep or []
@@ -254,7 +278,7 @@ def scan_rollup(matches: DataFrame) -> DataFrame:
 
 
 def file_tasks(
-    files: DataFrame, rules: list, route_unmatched: str = "skip", keep: list | None = None
+    files: DataFrame, rules: list, route_unmatched: str = "skip", keep: list | None = None, applies: list | None = None
 ) -> DataFrame:
     """One task per file with matches: strategy and complexity, no shuffle.
 
@@ -263,7 +287,7 @@ def file_tasks(
     content) stay on the row, which spares a join back to the files.
     """
     keep = keep or []
-    counted = count_matches(files, rules, keep)
+    counted = count_matches(files, rules, keep, applies)
     if route_unmatched == "skip":
         counted = counted.filter(F.col("matches") > 0)
     elif route_unmatched != "ambiguous":
@@ -276,6 +300,15 @@ def file_tasks(
     )
 
 
+def file_tasks_by_key(files: DataFrame, catalog, route_unmatched: str = "skip", keep: list | None = None) -> DataFrame:
+    """The tasks of files of many migrations, by their ``framework`` and ``migration``: one projection, no shuffle."""
+    keyed = catalog.keyed_rules()
+    return file_tasks(
+        files, [r for *_, r in keyed], route_unmatched, ["framework", "migration", *(keep or [])],
+        [same_key(fw, mig) for fw, mig, *_ in keyed],
+    )
+
+
 def tasks_from_matches(matches: DataFrame) -> DataFrame:
     """The same tasks from an existing match table."""
     rank = reduce(

@@ -22,11 +22,11 @@ ALWAYS = ["VerificationAgent", "SecretsScan"]
 
 @dataclass
 class Run:
-    """What one run covers and how it decides."""
+    """What one run covers and how it decides. A run over many projects names no framework and migration."""
 
     run_id: str
-    framework: str
-    migration: str
+    framework: str | None = None
+    migration: str | None = None
     max_retries: int = fixed.MAX_RETRIES
     threshold: float = fixed.AUTO_APPROVE_THRESHOLD
     route_unmatched: str = "skip"
@@ -67,12 +67,13 @@ def dry_run(files: DataFrame, catalog: Catalog, run: Run) -> DataFrame:
 
 
 def evaluate(
-    texts: DataFrame, catalog: Catalog, run: Run, external: DataFrame | None, tests: DataFrame | None
+    texts: DataFrame, places: DataFrame, catalog: Catalog, run: Run, external: DataFrame | None, tests: DataFrame | None
 ) -> tuple:
     """Check, test and score one attempt of each text: (scored rows, check rows).
 
     ``texts`` has the attempt keys, strategy, after and error and must be cheap
-    to read again (a written table). Found secrets leave no score.
+    to read again (a written table); ``places`` has the framework of each file.
+    Found secrets leave no score.
     """
     own = checks_op.run_checks(texts, catalog.checks).unionByName(
         # No text because reading or rewriting failed: the static stage fails with that error.
@@ -93,7 +94,8 @@ def evaluate(
     keyed = texts.select(*KEYS, "strategy")
     static = checks_op.gate(
         own.filter(~F.col("stage").isin(ALWAYS)).unionByName(
-            checks_op.external_results(keyed, external, run.framework)
+            checks_op.external_results(keyed.join(places, FILE), external, None)
+            if run.framework is None else checks_op.external_results(keyed, external, run.framework)
         )
     )
     results = own.filter(F.col("stage").isin(ALWAYS)).unionByName(static)
@@ -113,15 +115,50 @@ def migrate(
     files: DataFrame, catalog: Catalog, run: Run, model=None,
     external: DataFrame | None = None, tests: DataFrame | None = None,
 ) -> dict:
-    """Run everything and return the tables of the run.
+    """Run one migration over all files and return the tables of the run, see run_tasks."""
+    tasks = scan_tasks(files, catalog, run).withColumns(
+        {"framework": F.lit(run.framework), "migration": F.lit(run.migration)})
+    return run_tasks(tasks, catalog, run, model, external, tests)
+
+
+def migrate_projects(
+    files: DataFrame, catalog: Catalog, run: Run, model=None,
+    external: DataFrame | None = None, tests: DataFrame | None = None,
+) -> dict:
+    """One run over projects of many frameworks, each with the default migration of the framework its files show.
+
+    All rule sets are dispatched by key within one projection: no loop over frameworks or projects, and
+    no exchange of content by project. Beside the tables of run_tasks there are ``projects`` (what was chosen) and
+    ``by_migration`` (outcomes per migration).
+    """
+    placed = plan_files(files, catalog)
+    tables = run_tasks(
+        scan.file_tasks_by_key(placed, catalog, run.route_unmatched, ["content"]), catalog, run, model, external, tests)
+    approved = F.col("completed")
+    places = tables["tasks"].select(*FILE, "framework", "migration")
+    return tables | {
+        "projects": places.select("project", "framework", "migration").distinct(),
+        "by_migration": tables["results"].join(places, FILE).groupBy("run_id", "framework", "migration").agg(
+            F.count(F.lit(1)).alias("total_files"), F.count_if(approved).alias("auto_approved"),
+            F.count_if(~approved).alias("flagged_for_review"),
+        ),
+    }
+
+
+def run_tasks(
+    tasks: DataFrame, catalog: Catalog, run: Run, model=None,
+    external: DataFrame | None = None, tests: DataFrame | None = None,
+) -> dict:
+    """Run ``tasks``, each with content, framework and migration, and return the tables of the run.
 
     Every attempt is written to the shared folder once and read from there, so
     that neither a rewrite nor a model call is repeated when an executor is
     lost. Attempts are few (the retry budget), and rounds end when no file is left.
     Without ``model``, tasks for the model are escalated.
     """
-    spark = files.sparkSession
-    tasks = cut(scan_tasks(files, catalog, run), "tasks")
+    spark = tasks.sparkSession
+    tasks = cut(tasks, "tasks")
+    places = tasks.select(*FILE, "framework", "migration")
     run_id = F.lit(run.run_id).alias("run_id")
     direct = tasks.filter(F.col("strategy") == "deterministic")
     for_model = tasks.filter(F.col("strategy") == "ambiguous")
@@ -131,9 +168,9 @@ def migrate(
             run_id, *FILE, F.lit(attempt).alias("attempt"), "strategy", "before", "after", "error"
         )
 
-    rewritten = rewrite.rewrite_templates(direct).withColumn("strategy", F.lit("deterministic"))
+    rewritten = rewrite.rewrite_by_key(direct, catalog).withColumn("strategy", F.lit("deterministic"))
     texts = cut(attempt_rows(rewritten, 0), "attempts")
-    scored, results = evaluate(texts, catalog, run, external, tests)
+    scored, results = evaluate(texts, places, catalog, run, external, tests)
     scored = cut(scored, "scored")
     # A rewrite gives the same text every time: a failed one has no retry to gain from.
     finished = [
@@ -154,10 +191,7 @@ def migrate(
         finished.append(unanswered)
     else:
         prompt_table, hints = catalog.prompts_table(spark), catalog.hints_table(spark)
-        pending = for_model.withColumns(
-            {"framework": F.lit(run.framework), "migration": F.lit(run.migration),
-             "failure_context": F.lit(None).cast("string")}
-        )
+        pending = for_model.withColumn("failure_context", F.lit(None).cast("string"))
         for attempt in range(run.max_retries + 1):
             if pending.isEmpty():
                 break
@@ -165,18 +199,13 @@ def migrate(
             answered = retrieve.infer(asked.select(*FILE, "strategy", "before", "messages"), model)
             answers = answered.withColumn("after", retrieve.strip_fence(F.col("text")))
             texts = cut(attempt_rows(answers, attempt), "attempts")
-            scored, results = evaluate(texts, catalog, run, external, tests)
+            scored, results = evaluate(texts, places, catalog, run, external, tests)
             scored = cut(scored, "scored").withColumn("retry_count", F.lit(attempt))
             all_texts.append(texts)
             all_results.append(results)
             final = F.col("approved") | F.col("secret") | F.lit(attempt == run.max_retries)
             finished.append(scored.filter(final))
-            retry = score.failure_context(
-                scored.filter(~final).withColumns(
-                    {"framework": F.lit(run.framework), "migration": F.lit(run.migration)}
-                ),
-                hints,
-            ).select(*FILE, "failure_context")
+            retry = score.failure_context(scored.filter(~final).join(places, FILE), hints).select(*FILE, "failure_context")
             pending = cut(pending.drop("failure_context").join(retry, FILE), "pending")
 
     def union(parts: list) -> DataFrame:

@@ -175,7 +175,67 @@ def migrate_dry_run(spark, sf):
     return planned.select("project", "path", "strategy", "complexity", "confidence_score", "completed")
 
 
+# -- one run over customers whose projects show different frameworks -------------------
+
+
+def _mixed_catalog():
+    """The built-in frameworks, and one whose rules are replacements."""
+    from shiftwright.catalog import Rule
+
+    catalog = default_catalog()
+    catalog.register_framework(
+        "classic", "Classic", [("modern", "Modern", "From say to tell", True)],
+        lambda: F.bool_or(F.col("path") == "classic.json"), {"*": [".cls"]}, prompts={"*": "Rewrite.\n{context}"},
+    )
+    catalog.register_rule("classic", "modern", Rule("say", "say becomes tell", "simple", r"\bsay\(", "tell(", "say("))
+    catalog.register_rule("classic", "modern", Rule("old", "needs a model", "ambiguous", r"\bold\b", None, "old"))
+    return catalog
+
+
+def _mixed_files(spark, sf):
+    """A file per order; its customer is the project and has a manifest. Every text holds what other frameworks' rules match."""
+    kind = F.col("o_custkey") % 4
+    key, status = F.col("o_orderkey").cast("string"), F.col("o_orderstatus")
+    project = cat("c", F.col("o_custkey").cast("string")).alias("project")
+    orders = read(spark, sf, "orders")
+    template = F.when(status == "F", cat('<p *ngIf="a">say(', key, ")</p>")).when(
+        status == "O", cat('<p *ngIf="a$ | async as a">old ', key, "</p>")).otherwise(cat("<p>", key, "</p>"))
+    classic = F.when(status == "F", cat("say(say(", key, '))<b [ngSwitch]="s"></b>')).when(
+        status == "O", cat("say(old ", key, ")")).otherwise(cat("told ", key))
+    sources = orders.select(
+        project,
+        F.when(kind == 0, cat("src/app/o", key, ".component.html")).when(kind == 1, cat("src/o", key, ".jsx"))
+        .otherwise(cat("src/o", key, ".cls")).alias("path"),
+        F.when(kind == 0, template).when(kind == 1, cat("say(old ", key, ")")).otherwise(classic).alias("content"),
+    )
+    manifests = orders.select("o_custkey").distinct().filter(kind < 3).select(
+        project, F.when(kind == 2, "classic.json").otherwise("package.json").alias("path"),
+        F.when(kind == 0, '{"dependencies": {"@angular/core": "1"}}').when(kind == 1, '{"dependencies": {"react": "1"}}')
+        .otherwise("{}").alias("content"),
+    )
+    return sources.unionByName(manifests)
+
+
+def _plain_model():
+    """Stands in for a model: the text of the file without asterisks, behind a mark."""
+    def model(prompts):
+        return ["done " + messages[-1][1].split("\n", 1)[1].replace("*", "") for messages in prompts]
+
+    return model
+
+
+def migrate_projects(spark, sf):
+    run = migrate.Run("run_mixed", max_retries=1, route_unmatched="ambiguous")
+    tables = migrate.migrate_projects(_mixed_files(spark, sf), _mixed_catalog(), run, _plain_model())
+    texts = tables["texts"].select("project", "path", "after")
+    return tables["records"].join(texts, ["project", "path"]).join(tables["projects"], "project").select(
+        "project", "path", "framework", "migration", "strategy", "confidence_score",
+        F.col("retry_count").cast("bigint").alias("retry_count"), "failure_category", "human_review_required", "after",
+    )
+
+
 QUERIES = {
+    "migrate_projects": migrate_projects,
     "report_files": report_files,
     "report_summary": report_summary,
     "run_totals": run_totals,
@@ -334,4 +394,23 @@ WITH {ORDERS_SQL}
 SELECT project, path, CASE s WHEN 'O' THEN 'ambiguous' ELSE 'deterministic' END AS strategy,
   CASE WHEN s IN ('F', 'O') THEN 'simple' ELSE 'medium' END AS complexity,
   (CASE s WHEN 'O' THEN 40 ELSE 90 END)::DOUBLE AS confidence_score, s <> 'O' AS completed FROM o""",
+    "migrate_projects": """
+WITH f AS (
+  SELECT 'c' || o_custkey AS project, (o_custkey % 4)::INT AS kind, o_orderkey::VARCHAR AS k, o_orderstatus AS s FROM orders
+  WHERE o_custkey % 4 < 3),
+t AS (
+  SELECT *, kind <> 1 AND s = 'F' AS direct,
+    CASE kind WHEN 0 THEN CASE s WHEN 'F' THEN '' WHEN 'O' THEN '<p ngIf="a$ | async as a">old ' || k || '</p>' ELSE '<p>' || k || '</p>' END
+      WHEN 1 THEN 'say(old ' || k || ')'
+      ELSE CASE s WHEN 'O' THEN 'say(old ' || k || ')' ELSE 'told ' || k END END AS asked FROM f)
+SELECT project,
+  CASE kind WHEN 0 THEN 'src/app/o' || k || '.component.html' WHEN 1 THEN 'src/o' || k || '.jsx' ELSE 'src/o' || k || '.cls' END AS path,
+  ['angular', 'react', 'classic'][kind + 1] AS framework, ['control_flow', 'class_to_hooks', 'modern'][kind + 1] AS migration,
+  CASE WHEN direct THEN 'deterministic' ELSE 'ambiguous' END AS strategy,
+  CASE WHEN direct THEN 100 ELSE 60 END::DOUBLE AS confidence_score, CASE WHEN direct THEN 0 ELSE 1 END::BIGINT AS retry_count,
+  CASE WHEN NOT direct THEN 'unknown' END AS failure_category, NOT direct AS human_review_required,
+  CASE WHEN NOT direct THEN 'done ' || asked
+       WHEN kind = 0 THEN '@if (a) {' || chr(10) || '  <p>say(' || k || ')</p>' || chr(10) || '}'
+       ELSE 'tell(tell(' || k || '))<b [ngSwitch]="s"></b>' END AS after
+FROM t""",
 }
