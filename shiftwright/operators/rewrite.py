@@ -88,6 +88,11 @@ def _restored(text: Column) -> Column:
     return F.when(text.contains(ESCAPE), out).otherwise(text)
 
 
+def _dealt_out(files: DataFrame) -> DataFrame:
+    """The files by their keys, in a number of partitions that adaptive execution does not merge by size."""
+    return files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), *FILE)
+
+
 def _extract(text: Column, regex: str, group: int) -> Column:
     """A group of the first match, null if there is none or it is empty."""
     return F.nullif(F.regexp_extract(text, regex, group), F.lit(""))
@@ -775,13 +780,15 @@ def apply_rules(files: DataFrame, rules: list, rounds: int | None = None, applie
     rule may take as many as the text has characters, and two. It ends early when a text comes again or when its matches
     become more in eight passes in a row. A file with a rule that has not settled keeps its text and gets an error;
     ``exhausted`` lists such rules. ``applies`` has a condition per rule: other files pass it by.
+
+    Files are dealt out by their keys first: a rule may take hundreds of passes, and a source may come in few pieces.
     """
     from shiftwright.catalog import ELEMENT_EDIT
 
     usable = [(i, r) for i, r in enumerate(rules) if r.rewrite is not None and r.rewrite != ELEMENT_EDIT]
     none = F.array().cast("array<string>")
     guard = ["_applies"] if applies else []
-    out = files.select(
+    out = _dealt_out(files).select(
         *FILE, normalize_newlines(F.col("content")).alias("before"), none.alias("_applied"), none.alias("_open"),
         *([F.array(*applies).alias("_applies")] if applies else []),
     ).withColumn("_text", F.col("before"))

@@ -208,6 +208,13 @@ def test_rules_that_do_not_settle_end_with_an_error(corpus):
     assert out["fine"].success
 
 
+def test_rules_work_on_files_of_one_piece_in_many_tasks(spark):
+    files = spark.range(400).coalesce(1).selectExpr("'p' AS project", "'f' || id AS path", "repeat('(', 60) || repeat(')', 60) AS content")
+    out = rewrite.apply_rules(files, [Rule("brackets", "Brackets", "simple", r"\(\(\)\)", "()")])
+    tasks = out.groupBy(F.spark_partition_id()).agg(F.count_if(F.col("after") == "()").alias("n")).collect()
+    assert sum(r.n for r in tasks) == 400 and len(tasks) > 1
+
+
 def test_each_rule_is_folded_once_in_the_plan(corpus):
     rules = [Rule("a", "A", "simple", "<b>", "<i>"), Rule("b", "B", "simple", "</b>", "</i>")]
     out = rewrite.apply_rules(corpus({"a": "<b>x</b>"}), rules)
