@@ -1,14 +1,17 @@
 """Corpus rewrite: structural directives become control flow blocks.
 
 Each file is split into tags and the text between them. Opening and closing
-tags are paired by nesting depth with window functions, so that an element ends
-at its own closing tag however deep it nests. Every change is then a local edit
-of a token range, and a file is put together once from its tokens and edits.
-
-Files with directives are shuffled by file once; that serves all windows and the
-join of each text with its edits. Other files are passed through untouched. Only
-tags that can matter (those named like an element with a directive) become rows,
-and of these only the directive tags carry text.
+tags are paired by nesting depth, so that an element ends at its own closing tag
+however deep it nests. Every change is then a local edit of a token range, and a
+file is put together once from its tokens and edits.
+
+Files with directives are shuffled by file once, the others are passed through
+untouched. Files of few directives are planned within their row: each step is a
+transform of the array of directive tags, which looks at all pairs of them, so
+that no tag becomes a row. For files of many directives the same steps are window
+functions over rows of tags, which take time in proportion to the tags; only tags
+that can matter (those named like an element with a directive) become rows, and
+of these only the directive tags carry text.
 """
 
 from __future__ import annotations
@@ -53,6 +56,10 @@ AROUND_DIRECTIVE = (
     r'|\*ngSwitchCase="[^"]*"|\*ngSwitchDefault)(.*)>$'
 )
 
+# A file that holds more of these is planned with windows.
+FEW_DIRECTIVES = 128
+DIRECTIVE = r"\*ng(?:If|For|Switch)|\[ngSwitch\]|<ng-template"
+
 EDITED = ["if", "else", "then_else", "for", "for_with", "switch", "case", "default"]
 # Kind of element -> rule it falls under. Cases and defaults belong to their switch.
 PATTERN = {
@@ -113,12 +120,16 @@ def rewrite_templates(files: DataFrame, pattern_id: str | None = None) -> DataFr
         & F.col("project").isNotNull()
         & F.col("path").isNotNull()
     )
-    # Content moves once: the tags are read off it after the shuffle, and the edits
-    # meet it again in the same partition. A fixed number of partitions, because
-    # adaptive execution would merge them by size, while their cost is in the windows.
-    partitions = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = files.filter(candidate).select(*FILE, _escaped(text).alias("before")).repartition(partitions, *FILE)
-    edited = placed.join(edit_plans(placed, pattern_id), FILE, "left")
+    # Content moves once: the tags are read off it after the shuffle, and the edits of the
+    # windows meet it again in the same partition.
+    few = F.regexp_count("content", F.lit(DIRECTIVE)) <= FEW_DIRECTIVES
+
+    def placed(wanted: Column) -> DataFrame:
+        return _dealt_out(files.filter(candidate & wanted).select(*FILE, _escaped(text).alias("before")))
+
+    many = placed(~few)
+    edited = row_plans(placed(few), pattern_id).unionByName(
+        many.join(edit_plans(many, pattern_id), FILE, "left").withColumn("_tokens", tokens(F.col("before"))))
     passed = files.filter(~candidate).select(
         *FILE,
         text.alias("before"),
@@ -139,7 +150,8 @@ def rewrite_templates(files: DataFrame, pattern_id: str | None = None) -> DataFr
 def edit_plans(files: DataFrame, pattern_id: str | None = None) -> DataFrame:
     """Per file: units (the file and its fragments) with their edits, and what was applied.
 
-    ``files`` has the text as ``before`` and is partitioned by file; nothing here shuffles.
+    ``files`` has the text as ``before`` and is partitioned by file; nothing here shuffles. With windows, for files of
+    any number of directives; ``row_plans`` finds the same for few.
     """
     spans = _with_partners(_tag_rows(files))
     spans = _parsed(spans, pattern_id)
@@ -156,26 +168,10 @@ def edit_plans(files: DataFrame, pattern_id: str | None = None) -> DataFrame:
 def _tag_rows(files: DataFrame) -> DataFrame:
     """Tags named like some directive element or template of their file."""
     tag = F.col("tag")
-    marked = contains_any(tag, DIRECTIVES) | tag.startswith("<ng-template")
-    tags = F.filter(
-        F.transform(
-            F.col("_tokens"), lambda t, i: F.struct(i.cast("bigint").alias("pos"), t.alias("tag"))
-        ),
-        lambda x: (x["pos"] % 2 == 1) & ~x["tag"].rlike(OPAQUE),
-    )
-    names = F.array_distinct(
-        F.transform(
-            F.filter(
-                "_tags",
-                lambda x: contains_any(x["tag"], DIRECTIVES) | x["tag"].startswith("<ng-template"),
-            ),
-            lambda x: F.regexp_extract(x["tag"], NAME, 1),
-        )
-    )
     rows = (
         files.select(*FILE, tokens(F.col("before")).alias("_tokens"))
-        .select(*FILE, tags.alias("_tags"))
-        .select(*FILE, names.alias("_names"), "_tags")
+        .select(*FILE, _tags().alias("_tags"))
+        .select(*FILE, _names().alias("_names"), "_tags")
         # An inner inline, or a filter that needs _names not to be null, would make
         # the optimizer repeat the regex pass in a filter below.
         .select(*FILE, "_names", F.inline_outer("_tags"))
@@ -187,14 +183,35 @@ def _tag_rows(files: DataFrame) -> DataFrame:
         *FILE,
         "pos",
         "name",
-        F.when(tag.startswith("</"), -1)
-        .when(tag.endswith("/>") | F.col("name").isin(VOID), 0)
-        .otherwise(1)
-        .alias("step"),
-        F.when(marked & ~tag.startswith("</"), tag).alias("tag"),
+        _step(tag, F.col("name")).alias("step"),
+        F.when(_marked(tag) & ~tag.startswith("</"), tag).alias("tag"),
+    )
+
+
+def _tags() -> Column:
+    """The tags among ``_tokens`` with their places, without comments, scripts and style sheets."""
+    return F.filter(
+        F.transform(
+            F.col("_tokens"), lambda t, i: F.struct(i.cast("bigint").alias("pos"), t.alias("tag"))
+        ),
+        lambda x: (x["pos"] % 2 == 1) & ~(F.substring(x["tag"], 2, 1).isin("!", "s", "S") & x["tag"].rlike(OPAQUE)),
     )
 
 
+def _marked(tag: Column) -> Column:
+    return contains_any(tag, DIRECTIVES) | tag.startswith("<ng-template")
+
+
+def _names() -> Column:
+    """Names of the elements among ``_tags`` with a directive, and of templates."""
+    return F.array_distinct(F.transform(F.filter("_tags", lambda x: _marked(x["tag"])), lambda x: _name(x["tag"])))
+
+
+def _step(tag: Column, name: Column) -> Column:
+    """What a tag adds to the depth."""
+    return F.when(tag.startswith("</"), -1).when(tag.endswith("/>") | name.isin(VOID), 0).otherwise(1)
+
+
 def _with_partners(rows: DataFrame) -> DataFrame:
     """Pair each opening tag with the closing tag of its depth; keep directive tags."""
     by_name = _running(Window.partitionBy(*FILE, "name").orderBy("pos"))
@@ -226,14 +243,24 @@ def _parsed(spans: DataFrame, pattern_id: str | None) -> DataFrame:
     Its texts are read off the tag again when the file is put together: the
     windows in between carry numbers and flags only.
     """
-    tag = F.col("tag")
-    if_value = _extract(tag, IF_VALUE, 1)
-    for_value = _extract(tag, FOR_VALUE, 1)
+    if_value = _extract(F.col("tag"), IF_VALUE, 1)
+    found = spans.withColumns({
+        "kind": _kind(F.col("tag"), F.col("name"), if_value, _extract(F.col("tag"), FOR_VALUE, 1)), "_if": if_value,
+    }).filter(F.col("kind").isNotNull())
+    flags = _flags(F.col, pattern_id)
+    return found.select(
+        *FILE, "pos", "close", "kind", *[v.alias(k) for k, v in flags.items()],
+        F.explode_outer(_uses({"editable": flags["editable"]}.get, F.col)).alias("_use"),
+    )
+
+
+def _kind(tag: Column, name: Column, if_value: Column, for_value: Column) -> Column:
+    """The kind of a tag with a directive or of a template, from its values of ``*ngIf`` and ``*ngFor``; null for others."""
     count = reduce(
         lambda a, b: a + b, [F.when(tag.contains(d), 1).otherwise(0) for d in DIRECTIVES]
     )
-    kind = (
-        F.when(tag.rlike(TEMPLATE) & (F.col("name") == "ng-template"), "template")
+    return (
+        F.when(tag.rlike(TEMPLATE) & (name == "ng-template"), "template")
         # Other templates hold no directive and stay as they are.
         .when(count != 1, F.when(count > 1, "several"))
         .when(tag.contains("*ngIf"), F.when(if_value.isNull(), "invalid")
@@ -247,30 +274,34 @@ def _parsed(spans: DataFrame, pattern_id: str | None) -> DataFrame:
         .when(tag.contains("*ngSwitchCase"), F.when(tag.rlike(CASE_VALUE), "case").otherwise("invalid"))
         .otherwise("default")
     )
-    found = spans.withColumns({"kind": kind, "_if": if_value}).filter(F.col("kind").isNotNull())
-    kind = F.col("kind")
+
+
+def _flags(of, pattern_id: str | None) -> dict:
+    """What is known of a span by its kind; ``of`` gives its columns or fields by name."""
+    kind, closed = of("kind"), of("close").isNotNull()
     wanted = F.lit(True) if pattern_id is None else F.coalesce(
         kind.isin("template", "case", "default") | (_pattern(kind) == pattern_id), F.lit(False)
     )
-    closed = F.col("close").isNotNull()
-    editable = kind.isin(EDITED) & closed & wanted
+    return {
+        "wanted": wanted, "editable": kind.isin(EDITED) & closed & wanted, "is_template": (kind == "template") & closed,
+    }
+
 
+def _uses(flag, of) -> Column:
+    """The template names that a span defines or uses, or null."""
     def use(slot: str, ref: Column) -> Column:
         return F.struct(F.lit(slot).alias("slot"), ref.alias("ref"))
 
-    uses = (
-        F.when((kind == "template") & closed, F.array(use("template", F.regexp_extract("tag", TEMPLATE, 1))))
-        .when(editable & (kind == "then_else"), F.array(use("then", _then_ref(F.col("_if"))), use("else", _else_ref(F.col("_if")))))
-        .when(editable & (kind == "else"), F.array(use("else", _else_ref(F.col("_if")))))
+    kind, closed, editable, value = of("kind"), of("close").isNotNull(), flag("editable"), of("_if")
+    return (
+        F.when((kind == "template") & closed, F.array(use("template", F.regexp_extract(of("tag"), TEMPLATE, 1))))
+        .when(editable & (kind == "then_else"), F.array(use("then", _then_ref(value)), use("else", _else_ref(value))))
+        .when(editable & (kind == "else"), F.array(use("else", _else_ref(value))))
         .when(
-            ~editable & F.col("_if").isNotNull(),
-            F.transform(F.regexp_extract_all("_if", F.lit(ANY_REF), 1), lambda r: use("kept", r)),
+            ~editable & value.isNotNull(),
+            F.transform(F.regexp_extract_all(value, F.lit(ANY_REF), 1), lambda r: use("kept", r)),
         )
     )
-    return found.select(
-        *FILE, "pos", "close", "kind", wanted.alias("wanted"), editable.alias("editable"),
-        ((kind == "template") & closed).alias("is_template"), F.explode_outer(uses).alias("_use"),
-    )
 
 
 def _pattern(kind: Column) -> Column:
@@ -505,8 +536,16 @@ def _with_owner(spans: DataFrame) -> DataFrame:
 
 
 def _edits(spans: DataFrame) -> DataFrame:
-    """Each span with its edits: token ranges, and what to write there (see _written)."""
-    pos, close, kind = F.col("pos"), F.col("close"), F.col("kind")
+    """Each span with its edits."""
+    return spans.select(
+        *FILE, "pos", "close", "kind", "wanted", "editable", "removed", "moved", "is_child", "shown", "owner",
+        "spoiled", _edit_list(F.col).alias("edits"),
+    )
+
+
+def _edit_list(of) -> Column:
+    """The edits of a span: token ranges, and what to write there (see _written)."""
+    pos, close, kind = of("pos"), of("close"), of("kind")
     none = F.lit(None).cast("bigint")
 
     def edit(start: Column, end: Column, act: Column | str, a: Column = none, b: Column = none) -> Column:
@@ -516,25 +555,21 @@ def _edits(spans: DataFrame) -> DataFrame:
         )
 
     # A child writes everything since the child before it (or since the switch began).
-    previous, moved = F.col("previous"), F.col("moved_default")
+    previous, moved = of("previous"), of("moved_default")
     child_start = F.when(previous["is_child"], previous["close"]).otherwise(previous["pos"])
     child_act = F.when(previous["is_child"], "next child").otherwise("first child")
     child = edit(child_start, pos, child_act, previous["pos"])
-    child_end = edit(close, F.col("inside.close"), "children end", moved)
-    editable = F.col("editable")
-    edits = (
-        F.when(~F.col("shown"), F.array().cast(f"array<{EDIT}>"))
-        .when(F.col("removed"), F.array(edit(pos, close, "cut")))
+    child_end = edit(close, of("inside")["close"], "children end", moved)
+    editable = of("editable")
+    return (
+        F.when(~of("shown"), F.array().cast(f"array<{EDIT}>"))
+        .when(of("removed"), F.array(edit(pos, close, "cut")))
         .when(editable & kind.isin("if", "for", "for_with"), F.array(edit(pos, pos, "open"), edit(close, close, "close")))
-        .when(editable & (kind == "else"), F.array(edit(pos, pos, "open"), edit(close, close, "else", none, F.col("else_id"))))
-        .when(editable & (kind == "then_else"), F.array(edit(pos, close, "both", F.col("then_id"), F.col("else_id"))))
-        .when(editable & (kind == "switch") & F.col("is_last"), F.array(edit(pos, close, "no children", moved)))
-        .when(F.col("is_child") & ~F.col("moved") & F.col("is_last"), F.array(child, child_end))
-        .when(F.col("is_child") & ~F.col("moved"), F.array(child))
-    )
-    return spans.select(
-        *FILE, "pos", "close", "kind", "wanted", "editable", "removed", "moved", "is_child", "shown", "owner",
-        "spoiled", edits.alias("edits"),
+        .when(editable & (kind == "else"), F.array(edit(pos, pos, "open"), edit(close, close, "else", none, of("else_id"))))
+        .when(editable & (kind == "then_else"), F.array(edit(pos, close, "both", of("then_id"), of("else_id"))))
+        .when(editable & (kind == "switch") & of("is_last"), F.array(edit(pos, close, "no children", moved)))
+        .when(of("is_child") & ~of("moved") & of("is_last"), F.array(child, child_end))
+        .when(of("is_child") & ~of("moved"), F.array(child))
     )
 
 
@@ -578,23 +613,13 @@ def _written(edit: Column, all_tokens: Column) -> Column:
 
 def _collected(spans: DataFrame) -> DataFrame:
     """One row per file, through one row per unit. Both groupings keep the partitioning."""
-    kind = F.col("kind")
-    pattern = _pattern(kind)
-    is_case = kind.isin("case", "default")
-    applied = F.col("editable") & ~is_case & F.col("shown")
-    unresolved = (
-        (~F.col("editable") & F.col("wanted") & ~kind.isin("template", "async"))
-        | (F.col("editable") & is_case & ~F.col("is_child"))
-    )
     none = F.lit(None).cast("bigint")
     # A fragment adds a row that announces it to its own unit.
     rows = F.array(
         F.struct(
             F.col("owner").alias("unit"), none.alias("unit_from"), none.alias("unit_to"),
             F.lit(False).alias("trimmed"), F.col("edits").alias("edits"),
-            F.when(applied, F.struct("pos", pattern.alias("pattern"))).alias("applied"),
-            F.when((kind == "async") & F.col("wanted"), pattern).alias("skipped"),
-            F.when(unresolved, 1).otherwise(0).alias("unresolved"),
+            *[v.alias(k) for k, v in _counted(F.col).items()],
         ),
         F.when(
             F.col("removed") | F.col("moved"),
@@ -633,6 +658,238 @@ def _collected(spans: DataFrame) -> DataFrame:
     )
 
 
+def _counted(of) -> dict:
+    """What a span adds to the lists and the count of its file."""
+    kind, editable = of("kind"), of("editable")
+    pattern, is_case = _pattern(kind), kind.isin("case", "default")
+    unresolved = (~editable & of("wanted") & ~kind.isin("template", "async")) | (editable & is_case & ~of("is_child"))
+    return {
+        "applied": F.when(editable & ~is_case & of("shown"), F.struct(of("pos").alias("pos"), pattern.alias("pattern"))),
+        "skipped": F.when((kind == "async") & of("wanted"), pattern),
+        "unresolved": F.when(unresolved, 1).otherwise(0),
+    }
+
+
+# -- the same within the row ---------------------------------------------------------
+
+
+def _more(spans: Column | str, fields) -> Column:
+    """Each span of an array with the further fields that ``fields`` gives for it."""
+    return F.transform(spans, lambda s: reduce(lambda acc, f: acc.withField(*f), fields(s).items(), s))
+
+
+def _last(spans: Column) -> Column:
+    return F.try_element_at(spans, F.lit(-1))
+
+
+def _around(s: Column, markers: str, level: Column) -> Column:
+    """The innermost marker around a span, see _innermost. Few files have any."""
+    return F.when(F.size(markers) > 0, _last(F.filter(markers, lambda m: (m["pos"] < s["pos"]) & (m["_level"] == level))))
+
+
+def _open_at(markers: str, pos: Column) -> Column:
+    """How many markers are open at a place, one that begins there included."""
+    opened = F.size(F.filter(markers, lambda m: (m["pos"] <= pos) & (pos < m["close"])))
+    return F.when(F.size(markers) > 0, opened).otherwise(0)
+
+
+def row_plans(files: DataFrame, pattern_id: str | None = None) -> DataFrame:
+    """``files`` with their tokens and what ``edit_plans`` finds, step by step as there, but over arrays in the row.
+
+    Every step looks at the directive tags of a file for each of them.
+    """
+    spans = F.col("_spans")
+
+    def partner(s: Column) -> Column:
+        # The depth since the tag opened; once it falls below, the negative place where it did.
+        def step(acc: Column, t: Column) -> Column:
+            inside = (acc >= 0) & (t["pos"] > s["pos"]) & (t["name"] == s["name"])
+            return F.when(inside, F.when(acc + t["step"] < 0, -t["pos"]).otherwise(acc + t["step"])).otherwise(acc)
+
+        end = F.aggregate("_named", F.lit(0).cast("bigint"), step)
+        return F.when(s["step"] == 1, _bound(end, lambda e: F.when(e < 0, -e)))
+
+    named = F.transform(
+        F.filter(
+            F.transform("_tags", lambda t: F.struct(t["pos"].alias("pos"), t["tag"].alias("tag"), _name(t["tag"]).alias("name"))),
+            lambda t: F.array_contains("_names", t["name"]),
+        ),
+        lambda t: F.struct(
+            t["pos"].alias("pos"), t["name"].alias("name"), _step(t["tag"], t["name"]).cast("bigint").alias("step"),
+            F.when(_marked(t["tag"]) & ~t["tag"].startswith("</"), t["tag"]).alias("tag"),
+        ),
+    )
+    valued = F.transform(
+        F.filter("_named", lambda t: t["tag"].isNotNull()),
+        lambda s: F.struct(
+            s["pos"].alias("pos"), s["name"].alias("name"), s["tag"].alias("tag"), partner(s).alias("close"),
+            _extract(s["tag"], IF_VALUE, 1).alias("_if"), _extract(s["tag"], FOR_VALUE, 1).alias("_for"),
+        ),
+    )
+    kinds = F.filter(
+        _more(valued, lambda s: {"kind": _kind(s["tag"], s["name"], s["_if"], s["_for"])}), lambda s: s["kind"].isNotNull())
+    flagged = _more(kinds, lambda s: _flags(s.__getitem__, pattern_id))
+    used = F.transform(flagged, lambda s: F.struct(
+        *[s[f].alias(f) for f in ("pos", "close", "kind", "wanted", "editable", "is_template")],
+        F.coalesce(_uses(s.__getitem__, s.__getitem__), F.array().cast("array<struct<slot:string,ref:string>>")).alias("uses"),
+    ))
+
+    # Definitions and uses of templates, of all spans.
+    uses = F.flatten(F.transform(spans, lambda s: F.transform(s["uses"], lambda u: F.struct(
+        u["slot"].alias("slot"), u["ref"].alias("ref"), s["pos"].alias("pos")))))
+
+    def target(s: Column, slot: str) -> Column:
+        def first(u: Column) -> Column:
+            return F.array_min(F.transform(
+                F.filter("_uses", lambda v: (v["slot"] == "template") & (v["ref"] == u["ref"])), lambda v: v["pos"]))
+
+        return F.array_max(F.transform(F.filter(s["uses"], lambda u: u["slot"] == slot), first))
+
+    def used_as(s: Column, *slots: str) -> Column:
+        ref = F.get(s["uses"], F.lit(0))["ref"]
+        return F.when(s["is_template"], F.exists("_uses", lambda v: v["slot"].isin(*slots) & (v["ref"] == ref))).otherwise(False)
+
+    def referred(s: Column) -> dict:
+        removed = used_as(s, "then", "else")
+        return {
+            "then_id": target(s, "then"), "else_id": target(s, "else"), "removed": removed,
+            "conflict": removed & used_as(s, "kept"),
+        }
+
+    # Nesting: what is open where.
+    def marked(of, *fields: str) -> Column:
+        """The spans that others lie in, with some of their fields."""
+        return F.transform(F.filter(spans, of), lambda s: F.struct(*[s[f].alias(f) for f in fields]))
+
+    def marker(s: Column) -> Column:
+        return s["removed"] | (s["editable"] & s["kind"].isin("switch", "case", "default"))
+
+    paired = F.filter(spans, lambda s: s["editable"] | s["removed"])
+
+    def levels(s: Column) -> dict:
+        crossed = F.exists("_paired", lambda o: (s["pos"] < o["pos"]) & (o["pos"] < s["close"]) & (s["close"] < o["close"]))
+        return {
+            "_level": _open_at("_markers", s["pos"]),
+            "dropped_depth": F.size(F.filter("_paired", lambda o: (
+                (o["kind"] == "then_else") & (o["pos"] < s["pos"]) & (s["pos"] < o["close"])))),
+            "crossed": (s["editable"] | s["removed"]) & crossed,
+        }
+
+    def surrounded(s: Column) -> dict:
+        around = s["_level"] - F.when(marker(s), 1).otherwise(0)
+        return {"inside": _around(s, "_markers", around)}
+
+    def placed(s: Column) -> dict:
+        in_switch = F.coalesce(s["inside"]["kind"] == "switch", F.lit(False))
+        is_child = s["editable"] & s["kind"].isin("case", "default") & in_switch
+        is_switch = s["editable"] & (s["kind"] == "switch")
+        return {
+            "in_switch": in_switch, "is_child": is_child,
+            "spoiled": F.when(s["crossed"], 0).when(is_switch & in_switch, 1).when(s["conflict"], 2),
+            "switch_id": F.when(is_switch, s["pos"]).when(is_child, s["inside"]["pos"]),
+        }
+
+    # The cases of each switch.
+    def children(s: Column) -> Column:
+        return F.filter(spans, lambda o: o["is_child"] & (o["switch_id"] == s["switch_id"]))
+
+    def ordered(s: Column) -> dict:
+        def found(group: Column) -> Column:
+            return F.struct(
+                F.array_min(F.transform(F.filter(group, lambda o: o["kind"] == "default"), lambda o: o["pos"])).alias("default"),
+                F.array_max(F.transform(group, lambda o: o["pos"])).alias("last"),
+            )
+
+        def told(g: Column) -> Column:
+            is_default = s["is_child"] & (s["kind"] == "default")
+            return F.struct(
+                (is_default & ((s["pos"] != g["last"]) | (s["pos"] != g["default"]))).alias("moved"),
+                F.when(g["default"] != g["last"], g["default"]).alias("moved_default"),
+            )
+
+        known = F.when(s["switch_id"].isNotNull(), _bound(found(children(s)), told))
+        return {"group": known}
+
+    def unfolded(s: Column) -> dict:
+        return {"moved": F.coalesce(s["group"]["moved"], F.lit(False)), "moved_default": s["group"]["moved_default"]}
+
+    def neighbours(s: Column) -> dict:
+        stays = s["switch_id"].isNotNull() & ~s["moved"]
+        group = F.filter(spans, lambda o: (o["switch_id"] == s["switch_id"]) & ~o["moved"])
+        return {
+            "previous": F.when(stays, _last(F.transform(
+                F.filter(group, lambda o: o["pos"] < s["pos"]),
+                lambda o: F.struct(*[o[f].alias(f) for f in ("is_child", "pos", "close")])))),
+            "is_last": F.when(stays, ~F.exists(group, lambda o: o["pos"] > s["pos"])).otherwise(False),
+        }
+
+    # The fragments that spans belong to.
+    def fragment(s: Column) -> Column:
+        return s["removed"] | s["moved"]
+
+    def deeper(s: Column) -> dict:
+        return {"_level": _open_at("_markers", s["pos"])}
+
+    def owned(s: Column) -> dict:
+        around = s["_level"] - F.when(fragment(s), 1).otherwise(0)
+
+        def told(o: Column) -> Column:
+            hidden = (s["dropped_depth"] > F.coalesce(o["dropped_depth"], F.lit(0))) | (s["in_switch"] & ~s["is_child"])
+            return F.struct(F.coalesce(o["pos"], F.lit(-1).cast("bigint")).alias("owner"), (~hidden).alias("shown"))
+
+        return {"own": _bound(_around(s, "_markers", around), told)}
+
+    def finished(s: Column) -> Column:
+        def of(name: str) -> Column:
+            return s["own"][name] if name in ("owner", "shown") else s[name]
+
+        return F.struct(
+            of("pos").alias("pos"), of("close").alias("close"), of("removed").alias("removed"), of("moved").alias("moved"),
+            of("owner").alias("owner"), of("spoiled").alias("spoiled"), _edit_list(of).alias("edits"),
+            *[v.alias(k) for k, v in _counted(of).items()],
+        )
+
+    def unit(number: Column, start: Column, end: Column, trimmed: Column) -> Column:
+        edits = F.transform(
+            F.filter(spans, lambda s: (s["owner"] == number) & s["edits"].isNotNull()), lambda s: s["edits"])
+        return F.struct(
+            number.alias("unit"), start.alias("from"), end.alias("to"), trimmed.alias("trimmed"),
+            F.array_sort(F.flatten(edits)).alias("edits"),
+        )
+
+    def present(field: str) -> Column:
+        return F.transform(F.filter(spans, lambda s: s[field].isNotNull()), lambda s: s[field])
+
+    none = F.lit(None).cast("bigint")
+    units = F.concat(
+        F.array(unit(F.lit(-1).cast("bigint"), none, none, F.lit(False))),
+        F.transform(F.filter(spans, fragment), lambda s: unit(s["pos"], s["pos"] + 1, s["close"] - 1, s["removed"])),
+    )
+    out = (
+        files.withColumn("_tokens", tokens(F.col("before")))
+        .withColumn("_tags", _tags()).withColumn("_names", _names())
+        .withColumn("_named", named).drop("_tags", "_names")
+        .withColumn("_spans", used).drop("_named")
+        .withColumn("_uses", uses).withColumn("_spans", _more(spans, referred)).drop("_uses")
+        .withColumn("_paired", paired).withColumn("_markers", marked(marker, "pos", "close"))
+        .withColumn("_spans", _more(spans, levels)).drop("_paired")
+        .withColumn("_markers", marked(marker, "pos", "kind", "close", "_level"))
+    )
+    for step in (surrounded, placed, ordered, unfolded, neighbours):
+        out = out.withColumn("_spans", _more(spans, step))
+    out = out.withColumn("_markers", marked(fragment, "pos", "close")).withColumn("_spans", _more(spans, deeper))
+    out = out.withColumn("_markers", marked(fragment, "pos", "_level", "dropped_depth")).withColumn("_spans", _more(spans, owned))
+    out = out.withColumn("_spans", F.transform(spans, finished))
+    return out.select(
+        *FILE, "before", "_tokens",
+        F.when(F.size(spans) > 0, units).alias("units"),
+        F.transform(F.array_sort(present("applied")), lambda a: a["pattern"]).alias("applied"),
+        F.array_sort(F.array_distinct(present("skipped"))).alias("skipped"),
+        F.aggregate(spans, F.lit(0).cast("bigint"), lambda acc, s: acc + s["unresolved"]).alias("unresolved"),
+        F.get(F.array(*map(F.lit, SPOILED)), F.array_min(present("spoiled"))).alias("file_error"),
+    )
+
+
 # -- assembly ------------------------------------------------------------------------
 
 
@@ -662,7 +919,7 @@ def _filled(text: Column, fragments: Column) -> Column:
 
 
 def render(edited: DataFrame) -> DataFrame:
-    """Build ``after`` from ``before`` and its units, within the row.
+    """Build ``after`` from ``before``, its ``_tokens`` and its units, within the row.
 
     Fragments are filled from the inside out: each round completes those whose
     own slots are all filled, so that none is copied before it is complete.
@@ -682,7 +939,7 @@ def render(edited: DataFrame) -> DataFrame:
             ).alias("edits"),
         ),
     )
-    split_up = edited.withColumn("_tokens", F.when(has_units, tokens(before))).withColumn("_units", with_texts)
+    split_up = edited.withColumn("_units", with_texts)
     main_edits = F.coalesce(
         F.get(F.filter("_units", lambda u: u["unit"] == -1), F.lit(0))["edits"],
         F.array().cast("array<struct<from:bigint,to:bigint,text:string>>"),

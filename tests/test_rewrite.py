@@ -208,6 +208,40 @@ def test_rules_that_do_not_settle_end_with_an_error(corpus):
     assert out["fine"].success
 
 
+PIECES = [
+    '<div *ngIf="a">', '<div *ngIf="b; else t">', '<i *ngIf="c; then t; else u">', '<i *ngIf="d$ | async as d; else t">', '<div [ngSwitch]="s">',
+    '<b *ngSwitchCase="1">', '<b *ngSwitchDefault>', '<i *ngFor="let x of xs">', "<ng-template #t>", "<ng-template #u>", "<br *ngIf='e'>",
+    '<b *ngIf="g" *ngFor="let y of ys">', "</div>", "</div>", "</b>", "</b>", "</i>", "</i>", "</ng-template>", "</ng-template>", " x ", "<p>",
+]
+
+
+def test_windows_and_rows_plan_the_same_edits(spark, monkeypatch):
+    rng = random.Random(11)
+
+    def nested(depth):
+        if depth == 0:
+            return rng.choice(["x", " ", "<p>y</p>"])
+        opening = rng.choice([p for p in PIECES if p.startswith("<") and not p.startswith(("</", "<br", "<p"))])
+        inner = "".join(nested(depth - rng.randint(1, depth)) for _ in range(rng.randint(0, 4)))
+        return f"{opening}{inner}</{opening[1:].split(' ')[0].rstrip('>')}>"
+
+    texts = ["".join(rng.choices(PIECES, k=rng.randint(1, 14))) for _ in range(300)]
+    texts += ["".join(nested(4) for _ in range(rng.randint(1, 4))) for _ in range(300)]
+    files = spark.createDataFrame([("p", f"f{i}", t) for i, t in enumerate(texts)], "project string, path string, content string")
+    for pattern in (None, "ngswitch"):
+        within = {r.path: r for r in rewrite.rewrite_templates(files, pattern).collect()}
+        with monkeypatch.context() as m:
+            m.setattr(rewrite, "FEW_DIRECTIVES", 0)
+            assert {r.path: r for r in rewrite.rewrite_templates(files, pattern).collect()} == within
+        assert {r.error for r in within.values()} > {None, "misnested directives"}
+
+
+def test_files_of_few_directives_are_planned_without_windows(corpus):
+    files = corpus({"f": '<div *ngIf="a">x</div>'}).select("project", "path", F.col("content").alias("before"))
+    plan = rewrite.row_plans(files)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan
+
+
 def test_rules_work_on_files_of_one_piece_in_many_tasks(spark):
     files = spark.range(400).coalesce(1).selectExpr("'p' AS project", "'f' || id AS path", "repeat('(', 60) || repeat(')', 60) AS content")
     out = rewrite.apply_rules(files, [Rule("brackets", "Brackets", "simple", r"\(\(\)\)", "()")])
