@@ -54,7 +54,9 @@ def rank_chunks_by_words(
 
     Chunks travel to the requests as one array per (framework, migration), and
     each request is ranked within its row. The chunks are counted first; more
-    than ``limit`` of them go round in several portions, whose best are merged.
+    than ``limit`` of them are one array per portion, which each request meets in
+    a row of its own, and the best of all portions are merged. The words of a
+    request are cut out once, whatever the number of portions.
     Chunks without a common word are left out; ties go to the lower chunk.
     """
     portions = -(-max(guide_chunks.count(), 1) // limit)
@@ -63,17 +65,19 @@ def rank_chunks_by_words(
         best = _best_of_portion(asked, guide_chunks, n)
     else:
         spread = F.pmod(F.xxhash64("framework", "migration", "chunk"), F.lit(portions))
-        best = None
-        for portion in range(portions):
-            part = _best_of_portion(asked, guide_chunks.filter(spread == portion), n)
-            best = part if best is None else best.unionByName(part)
+        best = _best_of_portion(
+            asked.withColumn("_portion", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(portions - 1).cast("bigint")))),
+            guide_chunks.withColumn("_portion", spread.cast("bigint")), n, ["framework", "migration", "_portion"],
+        )
         merged = Window.partitionBy(*id_cols).orderBy(F.desc("score"), "chunk")
         best = best.withColumn("rank", F.row_number().over(merged).cast("bigint")).filter(F.col("rank") <= n)
-    return best.drop("_words", "text")
+    return best.drop("_words", "text", "_portion")
 
 
-def _best_of_portion(requests: DataFrame, guide_chunks: DataFrame, n: int) -> DataFrame:
-    keys = ["framework", "migration"]
+def _best_of_portion(
+    requests: DataFrame, guide_chunks: DataFrame, n: int, keys: list | tuple = ("framework", "migration")
+) -> DataFrame:
+    keys = list(keys)
     vocabulary = guide_chunks.groupBy(*keys).agg(
         F.collect_list(
             F.struct("chunk", F.col("text").alias("chunk_text"), words(F.col("text")).alias("words"))
