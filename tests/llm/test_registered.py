@@ -273,3 +273,14 @@ def test_pipeline(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     assert 0.5 * docs.count() < out.count() <= docs.count()
     assert out.select("doc_id").distinct().count() == out.count()
+
+
+def test_lm_network_reads_every_training_text(spark, monkeypatch):
+    fitted, fit = [], lm.fit
+    monkeypatch.setattr(lm, "fit", lambda *args: fitted.append((args[2], net := fit(*args))) or net)
+    texts = [(k, " ".join(f"word{k}x{i}" for i in range(1 + k % 40))) for k in range(2_500)] + [(-1, None), (-2, ""), (-3, "")]
+    table = spark.createDataFrame(texts, "doc_id long, text string")
+    lm.scored(table, table, public_tokenizers.path("word_bpe_49k.json"))
+    cutter, net = fitted[0]
+    read = [cutter.ids(lm.words_of(t))[0] for _, t in texts if t is not None]
+    assert net.windows_read == sum(-(-(len(ids) + 1) // lm.STEP) for ids in read)
