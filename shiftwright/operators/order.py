@@ -2,8 +2,9 @@
 
 Levels are peeled in rounds: files whose imports all have a level get the next one. Where no file is left to peel, the
 rest holds cycles; its strongly connected components are found by forward and backward reach, each becomes one node,
-and peeling goes on. Every round is a join on the edges that are left, is written to the shared folder, and ends with an
-empty frontier; nothing but such an emptiness comes to the driver.
+and peeling goes on. Files are numbered in the order of project and path, and rounds work on numbers. A round joins the
+edges that are left with the few nodes that the last one moved, is written to the shared folder, and ends with an empty
+frontier; nothing but such an emptiness comes to the driver.
 """
 
 from __future__ import annotations
@@ -38,7 +39,8 @@ def import_edges(files: DataFrame, pattern: str = IMPORTS, endings: str = ENDING
     Names resolve against the importing file; one that leaves out an ending means every file that differs by an ending
     only. Names of packages, of files that are not there and of the file itself give no edge, nor do null contents.
     """
-    names = files.where(F.col("content").rlike(r"[\"']\.{1,2}/")).select(
+    # Dealt out by file, as a scan of few large pieces would leave the patterns to few tasks.
+    names = files.repartition(*NODE).where(F.col("content").rlike(r"[\"']\.{1,2}/")).select(
         *NODE, F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(pattern), F.lit(1)))).alias("name")
     ).select(*NODE, resolved(F.col("path"), F.col("name")).alias("key"))
     keys = files.select(
@@ -48,61 +50,103 @@ def import_edges(files: DataFrame, pattern: str = IMPORTS, endings: str = ENDING
     return names.join(keys, ["project", "key"]).where("path <> target").select(*NODE, "target").distinct()
 
 
+EDGE = ["a", "b"]
+
+
+def _numbered(nodes: DataFrame) -> DataFrame:
+    """Distinct nodes with numbers in the order of project and path, so that rounds carry no text."""
+    return cut(nodes.orderBy(*NODE).withColumn("id", F.monotonically_increasing_id()), "order-nodes")
+
+
+def _ids(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges (project, path, target) as pairs of numbers; those of unknown files drop out."""
+    return edges.join(nodes.select(*NODE, F.col("id").alias("a")), NODE).join(
+        nodes.select("project", F.col("path").alias("target"), F.col("id").alias("b")), ["project", "target"]).select(*EDGE)
+
+
 def _without(edges: DataFrame, nodes: DataFrame, side: str) -> DataFrame:
     """Edges whose ``side`` is none of the nodes."""
-    gone = nodes.select("project", F.col("path").alias(side))
-    return edges.join(gone, ["project", side], "left_anti")
+    return edges.join(nodes.select(F.col("id").alias(side)), side, "left_anti")
+
+
+def _peeled(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, level) of all nodes that no cycle holds back, and the edges that are left.
+
+    A node can only become ready when an edge of it goes, so a round looks at the sources of such edges alone.
+    """
+    ready = cut(nodes.join(edges.select(F.col("a").alias("id")).distinct(), "id", "left_anti").select("id"), "order-ready")
+    out, level, rest = ready.withColumn("level", F.lit(0)), 0, edges
+    while True:
+        gone = ready.select(F.col("id").alias("b"))
+        freed = cut(rest.join(gone, "b", "left_semi").select("a").distinct(), "order-freed")
+        if freed.isEmpty():
+            return out, rest
+        rest = cut(rest.join(gone, "b", "left_anti").select(*EDGE), "order-edges")
+        held = rest.join(freed, "a", "left_semi").select("a").distinct()
+        ready = cut(freed.join(held, "a", "left_anti").select(F.col("a").alias("id")), "order-ready")
+        level += 1
+        out = out.unionByName(ready.withColumn("level", F.lit(level)))
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(project, path, component) of files on a cycle: the smallest path that reaches a file and that it reaches.
+    """(project, path, component) of files on a cycle: the smallest path that reaches a file and that it reaches."""
+    nodes = _numbered(edges.select(*NODE).union(edges.select("project", "target")).distinct())
+    groups = _components(cut(_ids(edges, nodes), "order-edges"))
+    return _named(groups, nodes)
 
-    Files that no other imports cannot be on a cycle and go first, in rounds. Then every file takes the smallest path
-    that reaches it, and those that reach back to that path are its component; what is left goes round again.
+
+def _named(groups: DataFrame, nodes: DataFrame) -> DataFrame:
+    name = nodes.select(F.col("id").alias("component"), F.col("path").alias("_name"))
+    return groups.join(nodes, "id").join(name, "component").select(*NODE, F.col("_name").alias("component"))
+
+
+def _components(rest: DataFrame) -> DataFrame:
+    """(id, component) of nodes on a cycle: the smallest number of those that reach a node and that it reaches.
+
+    Nodes that no edge enters, or none leaves, cannot be on a cycle and go first, in rounds. Then every node takes the
+    smallest number that reaches it, and those that reach back to it are its component; what is left goes round again.
     """
-    empty = edges.select(*NODE, F.col("path").alias("component")).limit(0)
-    found = [empty]
-    rest = cut(edges, "order-edges")
+    found = [rest.select(F.col("a").alias("id"), F.col("a").alias("component")).limit(0)]
     while not rest.isEmpty():
-        while True:  # no way in, or no way out
-            sources, targets = rest.select(*NODE), rest.select("project", F.col("target").alias("path"))
-            idle = cut(sources.distinct().join(targets.distinct(), NODE, "left_anti").union(
-                targets.distinct().join(sources.distinct(), NODE, "left_anti")), "order-idle")
-            if idle.isEmpty():
-                break
-            rest = cut(_without(_without(rest, idle, "path"), idle, "target"), "order-edges")
+        rest = _peeled_back(rest)
+        _, rest = _peeled(rest.select(F.col("a").alias("id")).union(rest.select("b")).distinct(), rest)
         if rest.isEmpty():
             break
-        nodes = rest.select(*NODE).distinct().withColumn("low", F.col("path"))
-        low = cut(nodes, "order-low")
+        low = cut(rest.select(F.col("a").alias("id")).distinct().withColumn("low", F.col("id")), "order-low")
         while True:
-            # The smallest path among those that import a file; minima are taken within tasks first.
-            taken = rest.join(low, NODE).groupBy("project", F.col("target").alias("path")).agg(F.min("low").alias("into"))
-            low = cut(low.join(taken, NODE, "left").select(
-                *NODE, F.least("low", F.coalesce("into", "low")).alias("low"), (F.col("into") < F.col("low")).alias("moved")
+            # The smallest number among those that lead to a node; minima are taken within tasks first.
+            taken = rest.join(low, rest["a"] == low["id"]).groupBy(F.col("b").alias("id")).agg(F.min("low").alias("into"))
+            low = cut(low.join(taken, "id", "left").select(
+                "id", F.least("low", F.coalesce("into", "low")).alias("low"), (F.col("into") < F.col("low")).alias("moved")
             ), "order-low")
             moved = not low.where("moved").isEmpty()
             low = low.drop("moved")
             if not moved:
                 break
-        # Back along edges within one smallest path.
-        ends = low.select("project", F.col("path").alias("target"), F.col("low").alias("target_low"))
-        inside = cut(rest.join(low, NODE).join(ends, ["project", "target"]).where("low = target_low").select(
-            *NODE, "target", "low"), "order-inside")
-        reached = frontier = cut(low.where("path = low"), "order-reached")
+        # Back along edges within one smallest number.
+        inside = cut(rest.join(low.select(F.col("id").alias("a"), "low"), "a").join(
+            low.select(F.col("id").alias("b"), F.col("low").alias("_low")), "b").where("low = _low").select(*EDGE, "low"), "order-inside")
+        reached = frontier = cut(low.where("id = low"), "order-reached")
         while not frontier.isEmpty():
-            back = inside.join(frontier.select("project", F.col("path").alias("target")), ["project", "target"], "left_semi")
-            frontier = cut(back.select(*NODE, "low").distinct().join(reached, NODE, "left_anti"), "order-frontier")
+            back = inside.join(frontier.select(F.col("id").alias("b")), "b", "left_semi")
+            frontier = cut(back.select(F.col("a").alias("id"), "low").distinct().join(reached, ["id", "low"], "left_anti"), "order-frontier")
             reached = reached.unionByName(frontier)
-        group = cut(reached.select(*NODE, F.col("low").alias("component")), "order-component")
+        group = cut(reached.select("id", F.col("low").alias("component")), "order-component")
         found.append(group)
-        rest = cut(_without(_without(rest, group, "path"), group, "target"), "order-edges")
+        rest = cut(_without(_without(rest, group, "a"), group, "b"), "order-edges")
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
     return out
 
 
+def _peeled_back(edges: DataFrame) -> DataFrame:
+    """The edges that are left when nodes that no edge enters are peeled, as _peeled does with those that none leaves."""
+    turned = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    nodes = turned.select(F.col("a").alias("id")).union(turned.select("b")).distinct()
+    return _peeled(nodes, turned)[1].select(F.col("b").alias("a"), F.col("a").alias("b"))
+
+
 def migration_order(files: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     """(project, path, component, level) of every file: files of a level can be migrated at the same time.
 
@@ -111,33 +155,19 @@ def migration_order(files: DataFrame, edges: DataFrame | None = None) -> DataFra
     target) may be given instead of those read from contents; edges to files that are not there do not count. Repeated
     files and edges count once. An empty table gives an empty result.
     """
-    nodes = cut(files.select(*NODE).distinct(), "order-nodes")
+    nodes = _numbered(files.select(*NODE).distinct())
     found = import_edges(files) if edges is None else edges.select(*NODE, "target").distinct()
-    there = nodes.select("project", F.col("path").alias("target"))
-    edges = cut(found.where("path <> target").join(there, ["project", "target"], "left_semi").join(
-        nodes, NODE, "left_semi"), "order-edges")
-    levels, rest = _peeled(nodes, edges)
+    edges = cut(_ids(found.where("path <> target"), nodes), "order-edges")
+    levels, rest = _peeled(nodes.select("id"), edges)
     if rest.isEmpty():
-        return levels.select(*NODE, F.col("path").alias("component"), "level")
-    # What is left are cycles and what imports them. Each cycle becomes its smallest path, and levels begin anew.
-    groups = components(rest)
-    each = cut(nodes.join(groups, NODE, "left").select(*NODE, F.coalesce("component", "path").alias("component")), "order-components")
-    its = each.select("project", F.col("path").alias("target"), F.col("component").alias("below"))
-    between = edges.join(each, NODE).join(its, ["project", "target"]).select(
-        "project", F.col("component").alias("path"), F.col("below").alias("target")).where("path <> target").distinct()
-    one = each.select("project", F.col("component").alias("path")).distinct()
-    levels, _ = _peeled(cut(one, "order-nodes"), cut(between, "order-edges"))
-    return each.join(levels.withColumnRenamed("path", "component"), ["project", "component"]).select(*NODE, "component", "level")
-
-
-def _peeled(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(project, path, level) of all nodes that no cycle holds back, and the edges that are left."""
-    out, level, waiting, rest = nodes.withColumn("level", F.lit(0)).limit(0), 0, nodes, edges
-    while True:
-        ready = cut(waiting.join(rest.select(*NODE).distinct(), NODE, "left_anti").withColumn("level", F.lit(level)), "order-level")
-        if ready.isEmpty():
-            return out, rest
-        out = out.unionByName(ready)
-        waiting = cut(waiting.join(ready, NODE, "left_anti"), "order-waiting")
-        rest = cut(_without(rest, ready, "target"), "order-edges")
-        level += 1
+        return nodes.join(levels, "id").select(*NODE, F.col("path").alias("component"), "level")
+    # What is left are cycles and what imports them. Each cycle becomes its smallest number, and levels begin anew.
+    groups = _components(rest)
+    each = cut(nodes.join(groups, "id", "left").select("id", F.coalesce("component", "id").alias("component")), "order-components")
+    between = edges.join(each.select(F.col("id").alias("a"), F.col("component").alias("above")), "a").join(
+        each.select(F.col("id").alias("b"), F.col("component").alias("below")), "b").select(
+        F.col("above").alias("a"), F.col("below").alias("b")).where("a <> b").distinct()
+    levels, _ = _peeled(each.select(F.col("component").alias("id")).distinct(), cut(between, "order-edges"))
+    placed = each.join(levels.withColumnRenamed("id", "component"), "component").join(nodes, "id")
+    name = nodes.select(F.col("id").alias("component"), F.col("path").alias("_name"))
+    return placed.join(name, "component").select(*NODE, F.col("_name").alias("component"), "level")
