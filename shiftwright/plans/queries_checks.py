@@ -123,7 +123,9 @@ def _external(spark, sf):
 def _all_checks(spark, sf):
     texts = _attempts(spark, sf)
     # Both branches below read these rows: the texts are checked once.
-    own = cut(checks.run_checks(texts, checks.BUILT_IN, "content"), "checks")
+    # They are dealt out by file first, as a scan of few large pieces would leave them to few tasks.
+    dealt = texts.repartition("run_id", "project", "path")
+    own = cut(checks.run_checks(dealt, checks.BUILT_IN, "content"), "checks")
     static = own.filter(F.col("stage") == "AST").unionByName(checks.external_results(texts, _external(spark, sf)))
     return own.filter(F.col("stage") != "AST").unionByName(checks.gate(static))
 
@@ -163,9 +165,10 @@ def _scored(spark, sf, mode="signals"):
     )
 
 
-def _decided(spark, sf):
+def _decided(spark, sf, stages=None):
+    stages = _all_checks(spark, sf) if stages is None else stages
     return score.decide(
-        _tasks(spark, sf), _all_checks(spark, sf), checks.test_results(_attempts(spark, sf), _tests(spark, sf))
+        _tasks(spark, sf), stages, checks.test_results(_attempts(spark, sf), _tests(spark, sf))
     )
 
 

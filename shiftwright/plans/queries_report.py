@@ -18,9 +18,14 @@ from shiftwright.session import cut, shared_path
 from shiftwright.sources import files, sinks
 
 
-def _results(spark, sf):
+def _stages(spark, sf):
+    """What the checks of every document found, for its outcome and its record. Written once."""
+    return cut(_all_checks(spark, sf), "stages")
+
+
+def _results(spark, sf, stages=None):
     """Outcome per document: score, category and whether it completed. Written once."""
-    decided = _decided(spark, sf).withColumns({
+    decided = _decided(spark, sf, stages).withColumns({
         "completed": F.col("approved"),
         "failure_category": F.when(~F.col("approved"), F.col("failure_category")),
         "retry_count": F.when(F.col("approved"), 0).otherwise(3),
@@ -28,9 +33,8 @@ def _results(spark, sf):
     return cut(decided.drop("approved"), "results")
 
 
-def _records(spark, sf, results=None):
-    results = _results(spark, sf) if results is None else results
-    return report.file_records(results, _all_checks(spark, sf).drop("attempt"))
+def _records(results, stages):
+    return report.file_records(results, stages.drop("attempt"))
 
 
 def _runs(spark, sf):
@@ -42,7 +46,8 @@ def _runs(spark, sf):
 
 
 def report_files(spark, sf):
-    return _records(spark, sf).select(
+    stages = _stages(spark, sf)
+    return _records(_results(spark, sf, stages), stages).select(
         "run_id", "file", "strategy", "confidence_score", "validation.*",
         F.col("retry_count").cast("bigint").alias("retry_count"), "failure_category", "human_review_required", "trace_url",
     )
@@ -61,17 +66,19 @@ def live_counts(spark, sf):
 
 
 def report_markdown(spark, sf):
-    results = _results(spark, sf)
-    return report.markdown_lines(_runs(spark, sf), _records(spark, sf, results), report.summaries(results)).select(
+    stages = _stages(spark, sf)
+    results = _results(spark, sf, stages)
+    return report.markdown_lines(_runs(spark, sf), _records(results, stages), report.summaries(results)).select(
         "run_id", F.col("section").cast("bigint").alias("section"), "item", F.col("nth").cast("bigint").alias("nth"), "line"
     )
 
 
 def _stored(spark, sf):
     """Reports written to the shared folder and read back."""
-    results = _results(spark, sf)
+    stages = _stages(spark, sf)
+    results = _results(spark, sf, stages)
     path = shared_path(spark, "reports")
-    sinks.write_reports(report.report_documents(_runs(spark, sf), _records(spark, sf, results), report.summaries(results)), path)
+    sinks.write_reports(report.report_documents(_runs(spark, sf), _records(results, stages), report.summaries(results)), path)
     return files.read_reports(spark, path)
 
 
