@@ -98,7 +98,8 @@ def evaluate(
             if run.framework is None else checks_op.external_results(keyed, external, run.framework)
         )
     )
-    results = own.filter(F.col("stage").isin(ALWAYS)).unionByName(static)
+    # Scores and reports read these rows: checks and their order are worked out once.
+    results = cut(own.filter(F.col("stage").isin(ALWAYS)).unionByName(static), "checks")
     tested = checks_op.test_results(keyed, tests)
     secret = F.col("secret_errors").isNotNull()
     decided = score.decide(keyed, results, tested, run.score_mode, run.threshold).withColumns({
@@ -116,7 +117,8 @@ def migrate(
     external: DataFrame | None = None, tests: DataFrame | None = None,
 ) -> dict:
     """Run one migration over all files and return the tables of the run, see run_tasks."""
-    tasks = scan_tasks(files, catalog, run).withColumns(
+    # Dealt out by file, as a scan of few large pieces would leave the rules to few tasks.
+    tasks = scan_tasks(files.repartition(*FILE), catalog, run).withColumns(
         {"framework": F.lit(run.framework), "migration": F.lit(run.migration)})
     return run_tasks(tasks, catalog, run, model, external, tests)
 
@@ -131,7 +133,7 @@ def migrate_projects(
     no exchange of content by project. Beside the tables of run_tasks there are ``projects`` (what was chosen) and
     ``by_migration`` (outcomes per migration).
     """
-    placed = plan_files(files, catalog)
+    placed = plan_files(files, catalog).repartition(*FILE)
     tables = run_tasks(
         scan.file_tasks_by_key(placed, catalog, run.route_unmatched, ["content"]), catalog, run, model, external, tests)
     approved = F.col("completed")
