@@ -1,5 +1,6 @@
 """The registered queries at a small scale: against their SQL, or against brute force and held-out accuracy."""
 
+import json
 import os
 import zlib
 from collections import Counter
@@ -284,3 +285,57 @@ def test_lm_network_reads_every_training_text(spark, monkeypatch):
     cutter, net = fitted[0]
     read = [cutter.ids(lm.words_of(t))[0] for _, t in texts if t is not None]
     assert net.windows_read == sum(-(-(len(ids) + 1) // lm.STEP) for ids in read)
+
+
+def test_lm_cuts_all_words_at_once_as_one_by_one():
+    cutter = lm.Subwords(public_tokenizers.path("word_bpe_49k.json"))
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        vocab = json.load(file)["model"]["vocab"]
+    symbols = dict(enumerate(lm.byte_symbols()))
+
+    def plain(word):
+        text, ids = word.decode("latin-1").translate(symbols), []
+        while text:
+            if text + lm.WORD_END in vocab:
+                return [*ids, vocab[text + lm.WORD_END]]
+            length = next(n for n in range(len(text), 0, -1) if text[:n] in vocab)
+            ids.append(vocab[text[:length]])
+            text = text[length:]
+        return ids
+
+    texts = [["the", "thethe", "Ünï", "q" * 300, "中文字"], [], ["unbelievably", "the", "x1y2z3", "\x00\x01"], ["-" * 9]]
+    texts = [[w.encode() for w in words] for words in texts] + [[bytes(range(33, 256)), b"\xff\xfe"]]
+    cutter.whole = {b"the": 0, b"q" * 300: 1}
+    for _ in range(2):  # the second time the words are known
+        for words, (ids, begins, place) in zip(texts, cutter.all_ids(texts), strict=True):
+            assert [x.tolist() for x in np.split(ids, begins[1:])][: len(words)] == [plain(w) for w in words]
+            assert place.tolist() == [cutter.whole.get(w, -1) for w in words]
+
+
+def test_lm_gradients_are_right_in_single_precision():
+    rng = np.random.default_rng(5)
+    net = lm.Attention(40)
+    net.begin(np.ones(40), rng.integers(1, 9, (12, lm.KINDS)).astype(float))
+    x = rng.integers(0, 40, (6, 2 * lm.STEP)).astype(np.int32)
+    x[0, : lm.STEP] = -1
+    y, whole = (rng.integers(-1, n, (6, lm.STEP)).astype(np.int32) for n in (40, 12))
+    found, made = net.gradients(x, y, whole)
+    assert made.dtype == np.float32 and made.shape == ((y >= 0).sum(), lm.CLASSES)
+
+    def loss():
+        mix, kind = net.forward(x, whole >= 0)
+        told = np.log((mix * net.emit[y]).sum(axis=2)[y >= 0].astype(float)).sum()
+        return -(told + np.log((kind * net.words[whole[whole >= 0]]).sum(axis=1).astype(float)).sum()) / (y >= 0).sum()
+
+    for name, grad in found.items():
+        step, at = np.zeros_like(net.w[name]), slice(None)
+        if name == "emb":
+            at, grad = grad
+        assert grad.dtype == np.float32
+        step[at] = grad * (1e-2 / np.sqrt((grad**2).sum()))
+        net.w[name] += step
+        high = loss()
+        net.w[name] -= 2 * step
+        change = (high - loss()) / 2e-2
+        net.w[name] += step
+        assert change == pytest.approx(np.sqrt((grad.astype(float) ** 2).sum()), rel=0.03, abs=1e-5)
