@@ -6,18 +6,19 @@ however deep it nests. Every change is then a local edit of a token range, and a
 file is put together once from its tokens and edits.
 
 Files with directives are shuffled by file once, the others are passed through
-untouched. Files of few directives are planned within their row: each step is a
-transform of the array of directive tags, which looks at all pairs of them, so
-that no tag becomes a row. For files of many directives the same steps are window
-functions over rows of tags, which take time in proportion to the tags; only tags
-that can matter (those named like an element with a directive) become rows, and
-of these only the directive tags carry text.
+untouched. Files of few directives are planned and put together within their row,
+by one pass over their tags in a Python worker, so that no tag becomes a row. For
+files of many directives the same steps are window functions over rows of tags;
+only tags that can matter (those named like an element with a directive) become
+rows, and of these only the directive tags carry text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,6 +50,8 @@ THEN_ELSE = r'(?sU)^([^";]+);\s*then\s+(\w+);\s*else\s+(\w+)\z'
 ELSE = r'(?sU)^([^";]+);\s*else\s+(\w+)\z'
 ASYNC_ALIAS = r"(?sU)\|\s*async\s+as\s+\w+"
 FOR = r"(?sU)^let\s+(\w+)\s+of\s+([\w.]+)(?:;\s*([^\"]+))?\z"
+TRACK_BY = r"(?U)^trackBy:\s*(\w+)"
+LOCAL = r"(?U)^let\s+(\w+)\s*=\s*(\w+)"
 TEMPLATE = r"(?sU)^<ng-template\s+#(\w+)\s*>$"
 ANY_REF = r"(?U)(?:then|else)\s+(\w+)"
 AROUND_DIRECTIVE = (
@@ -58,7 +61,9 @@ AROUND_DIRECTIVE = (
 
 # A file that holds more of these is planned with windows.
 FEW_DIRECTIVES = 128
-DIRECTIVE = r"\*ng(?:If|For|Switch)|\[ngSwitch\]|<ng-template"
+DIRECTIVE_STARTS = ["*ng", "[ngSwitch]", "<ng-template"]
+# Characters of edited texts that a Python worker holds before it passes them on.
+ROW_BATCH_CHARS = 1 << 24
 
 EDITED = ["if", "else", "then_else", "for", "for_with", "switch", "case", "default"]
 # Kind of element -> rule it falls under. Cases and defaults belong to their switch.
@@ -100,6 +105,11 @@ def _dealt_out(files: DataFrame) -> DataFrame:
     return files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), *FILE)
 
 
+def _count(text: Column, needle: str) -> Column:
+    """How often ``needle`` occurs, by the bytes that go with it: cheaper than a pattern."""
+    return (F.octet_length(text) - F.octet_length(F.replace(text, F.lit(needle), F.lit("")))) / len(needle)
+
+
 def _extract(text: Column, regex: str, group: int) -> Column:
     """A group of the first match, null if there is none or it is empty."""
     return F.nullif(F.regexp_extract(text, regex, group), F.lit(""))
@@ -115,22 +125,25 @@ def rewrite_templates(files: DataFrame, pattern_id: str | None = None) -> DataFr
     text = normalize_newlines(F.col("content"))
     # The null tests stand apart: a join on the keys would add them on one side, and
     # two different filters would keep Spark from reusing the shuffle of the content.
-    candidate = (
-        F.coalesce(contains_any(F.col("content"), START_TEXTS), F.lit(False))
-        & F.col("project").isNotNull()
-        & F.col("path").isNotNull()
-    )
-    # Content moves once: the tags are read off it after the shuffle, and the edits of the
-    # windows meet it again in the same partition.
-    few = F.regexp_count("content", F.lit(DIRECTIVE)) <= FEW_DIRECTIVES
-
-    def placed(wanted: Column) -> DataFrame:
-        return _dealt_out(files.filter(candidate & wanted).select(*FILE, _escaped(text).alias("before")))
-
-    many = placed(~few)
-    edited = row_plans(placed(few), pattern_id).unionByName(
-        many.join(edit_plans(many, pattern_id), FILE, "left").withColumn("_tokens", tokens(F.col("before"))))
-    passed = files.filter(~candidate).select(
+    keyed = F.col("project").isNotNull() & F.col("path").isNotNull()
+    found = F.coalesce(contains_any(F.col("content"), START_TEXTS), F.lit(False))
+    few = reduce(lambda a, b: a + b, [_count(F.col("content"), t) for t in DIRECTIVE_STARTS]) <= FEW_DIRECTIVES
+
+    def told(rows: DataFrame, flag: Column) -> DataFrame:
+        # A one-row inline: filters on the flag stay above it. Below, each of their tests would
+        # put the text together anew, and the files of few and of many directives would move apart.
+        return rows.select("*", F.inline(F.array(F.struct(flag.alias("_is")))))
+
+    known = told(files.select(*FILE, "content"), found)
+    candidate = keyed & F.col("_is")
+    # Content moves once: files of few and of many directives read the same shuffle, the tags are
+    # read off it, and the edits of the windows meet it again in the same partition.
+    moved = _dealt_out(known.filter(candidate).select(*FILE, _escaped(text).alias("before"), few.alias("_few")))
+    placed = told(moved, F.col("_few")).drop("_few")
+    many = placed.filter(~F.col("_is")).drop("_is")
+    edited = row_plans(placed.filter("_is").drop("_is"), pattern_id).unionByName(render(
+        many.join(edit_plans(many, pattern_id), FILE, "left").withColumn("_tokens", tokens(F.col("before")))))
+    passed = known.filter(~candidate).select(
         *FILE,
         text.alias("before"),
         text.alias("after"),
@@ -140,7 +153,7 @@ def rewrite_templates(files: DataFrame, pattern_id: str | None = None) -> DataFr
         F.when(F.col("content").isNull(), "unreadable text").alias("error"),
     )
     return (
-        render(edited).withColumns({c: _restored(F.col(c)) for c in ("before", "after")})
+        edited.withColumns({c: _restored(F.col(c)) for c in ("before", "after")})
         .unionByName(passed)
         .withColumn("was_modified", ~F.col("before").eqNullSafe(F.col("after")))
         .withColumn("success", F.col("error").isNull())
@@ -353,17 +366,15 @@ def _for_head(value: Column) -> Column:
     item = F.regexp_extract(value, FOR, 1)
     collection = F.regexp_extract(value, FOR, 2)
     clauses = F.transform(F.split(F.regexp_extract(value, FOR, 3), ";"), lambda c: strip(c))
-    track_by = r"(?U)^trackBy:\s*(\w+)"
-    local = r"(?U)^let\s+(\w+)\s*=\s*(\w+)"
-    last_track = F.try_element_at(F.filter(clauses, lambda c: c.rlike(track_by)), F.lit(-1))
+    last_track = F.try_element_at(F.filter(clauses, lambda c: c.rlike(TRACK_BY)), F.lit(-1))
     track = F.coalesce(
-        F.concat(F.regexp_extract(last_track, track_by, 1), F.lit("($index, "), item, F.lit(")")), item
+        F.concat(F.regexp_extract(last_track, TRACK_BY, 1), F.lit("($index, "), item, F.lit(")")), item
     )
     # Each local maps to its own name behind a dollar sign (index, first, any other).
     locals_ = F.transform(
-        F.filter(clauses, lambda c: c.rlike(local)),
+        F.filter(clauses, lambda c: c.rlike(LOCAL)),
         lambda c: F.concat(
-            F.lit("; let "), F.regexp_extract(c, local, 1), F.lit(" = $"), F.regexp_extract(c, local, 2)
+            F.lit("; let "), F.regexp_extract(c, LOCAL, 1), F.lit(" = $"), F.regexp_extract(c, LOCAL, 2)
         ),
     )
     return F.concat(
@@ -673,221 +684,38 @@ def _counted(of) -> dict:
 # -- the same within the row ---------------------------------------------------------
 
 
-def _more(spans: Column | str, fields) -> Column:
-    """Each span of an array with the further fields that ``fields`` gives for it."""
-    return F.transform(spans, lambda s: reduce(lambda acc, f: acc.withField(*f), fields(s).items(), s))
-
-
-def _last(spans: Column) -> Column:
-    return F.try_element_at(spans, F.lit(-1))
-
-
-def _around(s: Column, markers: str, level: Column) -> Column:
-    """The innermost marker around a span, see _innermost. Few files have any."""
-    return F.when(F.size(markers) > 0, _last(F.filter(markers, lambda m: (m["pos"] < s["pos"]) & (m["_level"] == level))))
-
-
-def _open_at(markers: str, pos: Column) -> Column:
-    """How many markers are open at a place, one that begins there included."""
-    opened = F.size(F.filter(markers, lambda m: (m["pos"] <= pos) & (pos < m["close"])))
-    return F.when(F.size(markers) > 0, opened).otherwise(0)
-
-
 def row_plans(files: DataFrame, pattern_id: str | None = None) -> DataFrame:
-    """``files`` with their tokens and what ``edit_plans`` finds, step by step as there, but over arrays in the row.
+    """``files`` with what ``edit_plans`` and ``render`` make of them, one file at a time (see row_edits).
 
-    Every step looks at the directive tags of a file for each of them.
+    Texts go to the Python workers in Arrow batches and come back where they were edited.
     """
-    spans = F.col("_spans")
-
-    def partner(s: Column) -> Column:
-        # The depth since the tag opened; once it falls below, the negative place where it did.
-        def step(acc: Column, t: Column) -> Column:
-            inside = (acc >= 0) & (t["pos"] > s["pos"]) & (t["name"] == s["name"])
-            return F.when(inside, F.when(acc + t["step"] < 0, -t["pos"]).otherwise(acc + t["step"])).otherwise(acc)
-
-        end = F.aggregate("_named", F.lit(0).cast("bigint"), step)
-        return F.when(s["step"] == 1, _bound(end, lambda e: F.when(e < 0, -e)))
-
-    named = F.transform(
-        F.filter(
-            F.transform("_tags", lambda t: F.struct(t["pos"].alias("pos"), t["tag"].alias("tag"), _name(t["tag"]).alias("name"))),
-            lambda t: F.array_contains("_names", t["name"]),
-        ),
-        lambda t: F.struct(
-            t["pos"].alias("pos"), t["name"].alias("name"), _step(t["tag"], t["name"]).cast("bigint").alias("step"),
-            F.when(_marked(t["tag"]) & ~t["tag"].startswith("</"), t["tag"]).alias("tag"),
-        ),
-    )
-    valued = F.transform(
-        F.filter("_named", lambda t: t["tag"].isNotNull()),
-        lambda s: F.struct(
-            s["pos"].alias("pos"), s["name"].alias("name"), s["tag"].alias("tag"), partner(s).alias("close"),
-            _extract(s["tag"], IF_VALUE, 1).alias("_if"), _extract(s["tag"], FOR_VALUE, 1).alias("_for"),
-        ),
-    )
-    kinds = F.filter(
-        _more(valued, lambda s: {"kind": _kind(s["tag"], s["name"], s["_if"], s["_for"])}), lambda s: s["kind"].isNotNull())
-    flagged = _more(kinds, lambda s: _flags(s.__getitem__, pattern_id))
-    used = F.transform(flagged, lambda s: F.struct(
-        *[s[f].alias(f) for f in ("pos", "close", "kind", "wanted", "editable", "is_template")],
-        F.coalesce(_uses(s.__getitem__, s.__getitem__), F.array().cast("array<struct<slot:string,ref:string>>")).alias("uses"),
-    ))
-
-    # Definitions and uses of templates, of all spans.
-    uses = F.flatten(F.transform(spans, lambda s: F.transform(s["uses"], lambda u: F.struct(
-        u["slot"].alias("slot"), u["ref"].alias("ref"), s["pos"].alias("pos")))))
-
-    def target(s: Column, slot: str) -> Column:
-        def first(u: Column) -> Column:
-            return F.array_min(F.transform(
-                F.filter("_uses", lambda v: (v["slot"] == "template") & (v["ref"] == u["ref"])), lambda v: v["pos"]))
-
-        return F.array_max(F.transform(F.filter(s["uses"], lambda u: u["slot"] == slot), first))
-
-    def used_as(s: Column, *slots: str) -> Column:
-        ref = F.get(s["uses"], F.lit(0))["ref"]
-        return F.when(s["is_template"], F.exists("_uses", lambda v: v["slot"].isin(*slots) & (v["ref"] == ref))).otherwise(False)
-
-    def referred(s: Column) -> dict:
-        removed = used_as(s, "then", "else")
-        return {
-            "then_id": target(s, "then"), "else_id": target(s, "else"), "removed": removed,
-            "conflict": removed & used_as(s, "kept"),
-        }
-
-    # Nesting: what is open where.
-    def marked(of, *fields: str) -> Column:
-        """The spans that others lie in, with some of their fields."""
-        return F.transform(F.filter(spans, of), lambda s: F.struct(*[s[f].alias(f) for f in fields]))
-
-    def marker(s: Column) -> Column:
-        return s["removed"] | (s["editable"] & s["kind"].isin("switch", "case", "default"))
-
-    paired = F.filter(spans, lambda s: s["editable"] | s["removed"])
-
-    def levels(s: Column) -> dict:
-        crossed = F.exists("_paired", lambda o: (s["pos"] < o["pos"]) & (o["pos"] < s["close"]) & (s["close"] < o["close"]))
-        return {
-            "_level": _open_at("_markers", s["pos"]),
-            "dropped_depth": F.size(F.filter("_paired", lambda o: (
-                (o["kind"] == "then_else") & (o["pos"] < s["pos"]) & (s["pos"] < o["close"])))),
-            "crossed": (s["editable"] | s["removed"]) & crossed,
-        }
-
-    def surrounded(s: Column) -> dict:
-        around = s["_level"] - F.when(marker(s), 1).otherwise(0)
-        return {"inside": _around(s, "_markers", around)}
-
-    def placed(s: Column) -> dict:
-        in_switch = F.coalesce(s["inside"]["kind"] == "switch", F.lit(False))
-        is_child = s["editable"] & s["kind"].isin("case", "default") & in_switch
-        is_switch = s["editable"] & (s["kind"] == "switch")
-        return {
-            "in_switch": in_switch, "is_child": is_child,
-            "spoiled": F.when(s["crossed"], 0).when(is_switch & in_switch, 1).when(s["conflict"], 2),
-            "switch_id": F.when(is_switch, s["pos"]).when(is_child, s["inside"]["pos"]),
-        }
-
-    # The cases of each switch.
-    def children(s: Column) -> Column:
-        return F.filter(spans, lambda o: o["is_child"] & (o["switch_id"] == s["switch_id"]))
-
-    def ordered(s: Column) -> dict:
-        def found(group: Column) -> Column:
-            return F.struct(
-                F.array_min(F.transform(F.filter(group, lambda o: o["kind"] == "default"), lambda o: o["pos"])).alias("default"),
-                F.array_max(F.transform(group, lambda o: o["pos"])).alias("last"),
-            )
-
-        def told(g: Column) -> Column:
-            is_default = s["is_child"] & (s["kind"] == "default")
-            return F.struct(
-                (is_default & ((s["pos"] != g["last"]) | (s["pos"] != g["default"]))).alias("moved"),
-                F.when(g["default"] != g["last"], g["default"]).alias("moved_default"),
-            )
-
-        known = F.when(s["switch_id"].isNotNull(), _bound(found(children(s)), told))
-        return {"group": known}
-
-    def unfolded(s: Column) -> dict:
-        return {"moved": F.coalesce(s["group"]["moved"], F.lit(False)), "moved_default": s["group"]["moved_default"]}
-
-    def neighbours(s: Column) -> dict:
-        stays = s["switch_id"].isNotNull() & ~s["moved"]
-        group = F.filter(spans, lambda o: (o["switch_id"] == s["switch_id"]) & ~o["moved"])
-        return {
-            "previous": F.when(stays, _last(F.transform(
-                F.filter(group, lambda o: o["pos"] < s["pos"]),
-                lambda o: F.struct(*[o[f].alias(f) for f in ("is_child", "pos", "close")])))),
-            "is_last": F.when(stays, ~F.exists(group, lambda o: o["pos"] > s["pos"])).otherwise(False),
-        }
-
-    # The fragments that spans belong to.
-    def fragment(s: Column) -> Column:
-        return s["removed"] | s["moved"]
-
-    def deeper(s: Column) -> dict:
-        return {"_level": _open_at("_markers", s["pos"])}
-
-    def owned(s: Column) -> dict:
-        around = s["_level"] - F.when(fragment(s), 1).otherwise(0)
-
-        def told(o: Column) -> Column:
-            hidden = (s["dropped_depth"] > F.coalesce(o["dropped_depth"], F.lit(0))) | (s["in_switch"] & ~s["is_child"])
-            return F.struct(F.coalesce(o["pos"], F.lit(-1).cast("bigint")).alias("owner"), (~hidden).alias("shown"))
-
-        return {"own": _bound(_around(s, "_markers", around), told)}
-
-    def finished(s: Column) -> Column:
-        def of(name: str) -> Column:
-            return s["own"][name] if name in ("owner", "shown") else s[name]
-
-        return F.struct(
-            of("pos").alias("pos"), of("close").alias("close"), of("removed").alias("removed"), of("moved").alias("moved"),
-            of("owner").alias("owner"), of("spoiled").alias("spoiled"), _edit_list(of).alias("edits"),
-            *[v.alias(k) for k, v in _counted(of).items()],
-        )
-
-    def unit(number: Column, start: Column, end: Column, trimmed: Column) -> Column:
-        edits = F.transform(
-            F.filter(spans, lambda s: (s["owner"] == number) & s["edits"].isNotNull()), lambda s: s["edits"])
-        return F.struct(
-            number.alias("unit"), start.alias("from"), end.alias("to"), trimmed.alias("trimmed"),
-            F.array_sort(F.flatten(edits)).alias("edits"),
-        )
-
-    def present(field: str) -> Column:
-        return F.transform(F.filter(spans, lambda s: s[field].isNotNull()), lambda s: s[field])
-
-    none = F.lit(None).cast("bigint")
-    units = F.concat(
-        F.array(unit(F.lit(-1).cast("bigint"), none, none, F.lit(False))),
-        F.transform(F.filter(spans, fragment), lambda s: unit(s["pos"], s["pos"] + 1, s["close"] - 1, s["removed"])),
-    )
-    out = (
-        files.withColumn("_tokens", tokens(F.col("before")))
-        .withColumn("_tags", _tags()).withColumn("_names", _names())
-        .withColumn("_named", named).drop("_tags", "_names")
-        .withColumn("_spans", used).drop("_named")
-        .withColumn("_uses", uses).withColumn("_spans", _more(spans, referred)).drop("_uses")
-        .withColumn("_paired", paired).withColumn("_markers", marked(marker, "pos", "close"))
-        .withColumn("_spans", _more(spans, levels)).drop("_paired")
-        .withColumn("_markers", marked(marker, "pos", "kind", "close", "_level"))
-    )
-    for step in (surrounded, placed, ordered, unfolded, neighbours):
-        out = out.withColumn("_spans", _more(spans, step))
-    out = out.withColumn("_markers", marked(fragment, "pos", "close")).withColumn("_spans", _more(spans, deeper))
-    out = out.withColumn("_markers", marked(fragment, "pos", "_level", "dropped_depth")).withColumn("_spans", _more(spans, owned))
-    out = out.withColumn("_spans", F.transform(spans, finished))
-    return out.select(
-        *FILE, "before", "_tokens",
-        F.when(F.size(spans) > 0, units).alias("units"),
-        F.transform(F.array_sort(present("applied")), lambda a: a["pattern"]).alias("applied"),
-        F.array_sort(F.array_distinct(present("skipped"))).alias("skipped"),
-        F.aggregate(spans, F.lit(0).cast("bigint"), lambda acc, s: acc + s["unresolved"]).alias("unresolved"),
-        F.get(F.array(*map(F.lit, SPOILED)), F.array_min(present("spoiled"))).alias("file_error"),
-    )
+    from shiftwright.operators.row_edits import rewritten
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, begin, size = [], 0, 0
+            for end, text in enumerate(_texts(batch["before"]), 1):
+                found.append(rewritten(text, pattern_id))
+                size += len(found[-1][0] or "")
+                if size > ROW_BATCH_CHARS or end == len(batch):
+                    columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*batch.slice(begin, end - begin).columns, *columns], [*names, *outcome])
+                    found, begin, size = [], end, 0
+
+    names, outcome = [*FILE, "before"], ["_edited", "applied", "skipped", "unresolved", "error"]
+    types = [pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.int64(), pa.string()]
+    told = "_edited string, applied array<string>, skipped array<string>, unresolved bigint, error string"
+    source = files.select(*[F.col(c).cast("string") for c in names])
+    return source.mapInArrow(rows, f"{', '.join(f'{c} string' for c in names)}, {told}").select(
+        *names, F.coalesce("_edited", "before").alias("after"), *outcome[1:])
+
+
+def _texts(column: pa.Array) -> list[str]:
+    """The texts of a column; bytes that are no UTF-8 become replacement characters, as in Spark's expressions."""
+    try:
+        return column.to_pylist()
+    except UnicodeDecodeError:
+        return [t.decode("utf-8", "replace") for t in column.view(pa.binary()).to_pylist()]
 
 
 # -- assembly ------------------------------------------------------------------------

@@ -242,6 +242,61 @@ def test_files_of_few_directives_are_planned_without_windows(corpus):
     assert "Window" not in plan and "Join" not in plan
 
 
+def test_files_of_few_directives_take_no_steps_over_arrays(corpus):
+    files = corpus({"f": '<div *ngIf="a">x</div>'}).select("project", "path", F.col("content").alias("before"))
+    plan = rewrite.row_plans(files)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "lambdafunction" not in plan
+
+
+def test_files_with_directives_are_read_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def rows(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    texts = spark.range(100).selectExpr("'p' AS project", "'f' || id AS path", """'<p *ngIf="a">' || id || '</p>' AS content""")
+    files = texts.mapInArrow(rows, "project string, path string, content string")
+    assert rewrite.rewrite_templates(files).where("was_modified").count() == 100
+    assert read.value == 100
+
+
+ODD_PIECES = [
+    '<b *ngIf="é; else tü">', "<ng-template #tü>", '<i *ngIf="x; else@NBSPt">', '<i *ngIf="x;@FSelse t">', '<i *ngFor="let @CIRCLED of xs">',
+    '<i *ngFor="let x of xs; trackBy: né; let ² = a; let o=odd">', '<script@E *ngIf="q">', "</script>", '<@LONGS *ngIf="k">', "<B *ngIf='h'>", "</B>",
+    "<ng-template #@ACUTE>", '<div *ngIf="a@MARK; else t"/>', "@MARK", "<!--", "-->", "@THIN", '<b *ngIf="r">', '<div [ngSwitch]=" s ">', "$1@BACK",
+]
+ODD = {"NBSP": 0xA0, "FS": 0x1C, "CIRCLED": 0x24B6, "E": 0xE9, "LONGS": 0x17F, "ACUTE": 0x301, "MARK": 0x4, "THIN": 0x2009, "BACK": 0x5C}
+
+
+def test_windows_and_rows_read_odd_characters_alike(spark, monkeypatch):
+    pieces = list(ODD_PIECES)
+    for name, code in ODD.items():
+        pieces = [p.replace(f"@{name}", chr(code)) for p in pieces]
+    rng = random.Random(5)
+    texts = ["".join(rng.choices(pieces + PIECES, k=rng.randint(1, 16))) for _ in range(400)]
+    files = spark.createDataFrame([("p", f"f{i}", t) for i, t in enumerate(texts)], "project string, path string, content string")
+    # Some with bytes that are no UTF-8.
+    broken = F.concat(F.col("content").cast("binary"), F.unhex(F.lit("C3E282")), F.lit('<b *ngIf="a">').cast("binary"), F.unhex(F.lit("FF")))
+    files = files.unionByName(files.limit(50).select("project", F.concat(F.lit("b"), "path").alias("path"), broken.cast("string").alias("content")))
+
+    def found():
+        out = rewrite.rewrite_templates(files).withColumns({c: F.hex(c) for c in ("before", "after")})
+        return {r.path: r for r in out.collect()}
+
+    within = found()
+    monkeypatch.setattr(rewrite, "FEW_DIRECTIVES", 0)
+    assert found() == within and len(within) == 450
+
+
+def test_long_results_leave_a_worker_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(rewrite, "ROW_BATCH_CHARS", 50)
+    files = spark.range(40).coalesce(1).selectExpr("'p' AS project", "'f' || id AS path", """'<p *ngIf="a">' || id || '</p>' AS content""")
+    out = {r.path: r.after for r in rewrite.rewrite_templates(files).collect()}
+    assert out == {f"f{i}": f"@if (a) {{\n  <p>{i}</p>\n}}" for i in range(40)}
+
+
 def test_rules_work_on_files_of_one_piece_in_many_tasks(spark):
     files = spark.range(400).coalesce(1).selectExpr("'p' AS project", "'f' || id AS path", "repeat('(', 60) || repeat(')', 60) AS content")
     out = rewrite.apply_rules(files, [Rule("brackets", "Brackets", "simple", r"\(\(\)\)", "()")])
