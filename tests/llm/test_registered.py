@@ -287,6 +287,19 @@ def test_lm_network_reads_every_training_text(spark, monkeypatch):
     assert net.windows_read == sum(-(-(len(ids) + 1) // lm.STEP) for ids in read)
 
 
+def test_lm_kinds_read_every_word_of_a_text(spark):
+    texts = [" ".join(f"w{i}" for i in range(k, 250 + k) for _ in range(1 + i % 3)) for k in range(0, 40, 7)] + [None, "", "unlike"]
+    table = spark.createDataFrame([(t,) for t in texts], "text string")
+    wanted = [Counter(lm.words_of(t)) for t in texts]
+    assert {bytes(r.word): r.n for r in lm._tallies(table).groupBy("word").agg({"n": "sum"}).toDF("word", "n").collect()} == \
+        Counter(w for tally in wanted for w in tally)
+    kinds = lm.fit_kinds(table)
+    names = list(kinds.place)
+    found = [Counter({names[w]: n for w, n in zip(r.words, r.times)}) for r in lm._tallies(table, kinds).collect()]
+    assert sorted(map(sorted, (c.items() for c in found))) == sorted(map(sorted, (c.items() for c in wanted)))
+    assert max(map(len, found)) == 250
+
+
 def test_lm_cuts_all_words_at_once_as_one_by_one():
     cutter = lm.Subwords(public_tokenizers.path("word_bpe_49k.json"))
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
